@@ -38,27 +38,39 @@ def line(rank, seq, quantity, item, item_original) -> Column:
     )
 
 
-def parse_token(token: Column, seq: Column, quantity_only_numeric: bool = False) -> Column:
-    """Split a trimmed token at its first ``x`` and classify it.
+def parse_cart(order: Column, quantity_only_numeric: bool = False) -> Column:
+    """Split every token at its first ``x`` and classify it.
 
-    With ``quantity_only_numeric`` the text before ``x`` must be a number, so that
-    an item holding an ``x`` of its own stays whole.
+    One step per array pass, so that no text is searched twice. With
+    ``quantity_only_numeric`` the text before ``x`` must be a number, so that an item
+    holding an ``x`` of its own stays whole.
     """
-    split_at = F.instr(token, "x")
-    splits = split_at > 0
-    if quantity_only_numeric:
-        splits = splits & token.rlike(r"^\d*\.?\d+x")
-    before = F.when(splits, F.substring_index(token, "x", 1))
-    item = F.when(splits, F.substr(token, split_at + 1)).otherwise(token)
-    quantity = F.when(before != item, before)
-    plain = quantity.isNull() & item.isNotNull() & ~item.isin(ORDER_ONLY_ITEMS)
-    rank = F.when(plain, 1).when(token.contains(PICKUP_MARK), 2).otherwise(3)
-    return line(rank, seq, quantity, item, token)
 
+    def with_head(token: Column) -> Column:
+        splits = token.contains("x")
+        if quantity_only_numeric:
+            splits = splits & token.rlike(r"^\d*\.?\d+x")
+        head = F.when(splits, F.substring_index(token, "x", 1))
+        return F.struct(token.alias("token"), head.alias("head"))
+
+    def with_item(t: Column) -> Column:
+        rest = F.substr(t["token"], F.length(t["head"]) + 2)
+        return F.struct(
+            t["token"].alias("token"), t["head"].alias("head"), F.coalesce(rest, t["token"]).alias("item")
+        )
+
+    def classified(t: Column, seq: Column) -> Column:
+        has_quantity = t["head"] != t["item"]
+        rank = (
+            F.when(t["item"].isNull(), 3)
+            .when(has_quantity, F.when(t["token"].contains(PICKUP_MARK), 2).otherwise(3))
+            .when(t["item"].isin(ORDER_ONLY_ITEMS), 3)
+            .otherwise(1)
+        )
+        return line(rank, seq, F.when(has_quantity, t["head"]), t["item"], t["token"])
 
-def parse_cart(order: Column, quantity_only_numeric: bool = False) -> Column:
     trimmed = F.transform(order_tokens(order), trim_blanks)
-    return F.transform(trimmed, lambda t, i: parse_token(t, i, quantity_only_numeric))
+    return F.transform(F.transform(F.transform(trimmed, with_head), with_item), classified)
 
 
 def of_rank(cart: Column, rank: int) -> Column:
@@ -95,6 +107,6 @@ def printed_lines(cart: Column, lastname: Column, firstname: Column) -> Column:
     name = name_text(lastname, firstname)
     return F.concat(
         F.array(line(0, NAME_SEQ, None, name, name)),
-        F.array_sort(cart),
+        F.sort_array(cart),
         F.array(line(4, SPACER_SEQ, None, None, None)),
     )

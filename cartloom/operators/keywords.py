@@ -24,7 +24,7 @@ def keyword_lookup(
         .groupBy("name", "emoji")
         .agg(
             F.array_join(
-                F.array_sort(F.collect_list(F.coalesce("keyword", F.lit("NA")))), ","
+                F.sort_array(F.collect_list(F.coalesce("keyword", F.lit("NA")))), ","
             ).alias("keyword_list")
         )
     )

@@ -66,7 +66,7 @@ def item_symbols(lines: DataFrame, rules: DataFrame) -> DataFrame:
     return (
         _rule_hits(items, texts, ["symbol"])
         .groupBy("item")
-        .agg(F.array_join(F.array_sort(F.collect_list("symbol")), "").alias("symbol_text"))
+        .agg(F.array_join(F.sort_array(F.collect_list("symbol")), "").alias("symbol_text"))
     )
 
 

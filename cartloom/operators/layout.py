@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from cartloom.functions.cart import line, printed_lines
 from cartloom.functions.fixed_values import PAGE_ROWS
 from cartloom.operators.deletes import is_order_only_member, is_plant
-from cartloom.operators.lines import exploded
+from cartloom.operators.lines import each_line, exploded
 from cartloom.plans.ordering import join_on_keys, ordered_slots, running_offsets
 
 MAX_LITERAL_ITEMS = 10_000
@@ -72,10 +72,10 @@ def printable_rows(carts: DataFrame, deletes: DataFrame) -> DataFrame:
 
 
 def _joined_deletes(named: DataFrame, items: DataFrame) -> DataFrame:
-    lines = named.select("id", F.explode("rows").alias("row")).withColumn("item", F.col("row.item"))
+    lines = each_line(named, F.col("rows"), "id").withColumn("item", F.col("line.item"))
     left = lines.join(items, "item", "left_anti").filter(~is_plant(F.col("item")))
     # a member's rows come from one record, so this list is bounded by the record
-    carts = left.groupBy("id").agg(F.array_sort(F.collect_list("row")).alias("rows"))
+    carts = left.groupBy("id").agg(F.sort_array(F.collect_list("line")).alias("rows"))
     gone_groups = items.select(F.col("item").alias("group_name"), F.lit(False).alias("listed"))
     return (
         named.drop("rows")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cartloom.functions.cart import NAME_SEQ, order_tokens, printed_lines
@@ -13,14 +13,19 @@ LINE_FIELDS = ["rank", "seq", "quantity", "item", "item_original"]
 SORT_KEYS = ["group_name", "description", "time", "lastname", "firstname", "id", "rank", "seq"]
 
 
+def each_line(carts: DataFrame, lines: Column, *keep: str) -> DataFrame:
+    """``keep`` and ``line``, one row per struct of an array of lines.
+
+    The outer explode keeps Catalyst from testing the array's size in a filter of its own,
+    which would parse every order text twice; its row for an empty array goes at once.
+    """
+    return carts.select(*keep, F.explode_outer(lines).alias("line")).filter("line is not null")
+
+
 def exploded(carts: DataFrame, column: str = "cart") -> DataFrame:
     """One row per element of the cart column, its fields next to the member's columns."""
-    return (
-        carts.withColumn("line", F.explode(column))
-        .drop(column)
-        .select("*", "line.*")
-        .drop("line")
-    )
+    others = [c for c in carts.columns if c != column]
+    return each_line(carts, F.col(column), *others).select(*others, "line.*")
 
 
 def order_lines(carts: DataFrame) -> DataFrame:
@@ -29,7 +34,6 @@ def order_lines(carts: DataFrame) -> DataFrame:
 
 def group_rows(carts: DataFrame) -> DataFrame:
     """One header row per group: rank -1, id 0, names '0'."""
-    name = F.concat_ws("", F.lit("0, 0 [0]"))
     groups = carts.select("group_name").distinct()
     none = F.lit(None).cast("string")
     return groups.select(
@@ -37,7 +41,7 @@ def group_rows(carts: DataFrame) -> DataFrame:
         F.lit("0").alias("firstname"),
         F.lit("0").alias("lastname"),
         F.lit(0).cast("long").alias("id"),
-        name.alias("name_long"),
+        F.lit("0, 0 [0]").alias("name_long"),
         none.alias("time_descr"),
         F.lit(GROUP_SORT_TEXT).alias("description"),
         none.alias("time"),
@@ -68,7 +72,7 @@ def in_print_order(lines: DataFrame) -> DataFrame:
 
 def line_class_counts(carts: DataFrame) -> DataFrame:
     return (
-        carts.select("group_name", F.explode("cart.rank").alias("rank"))
+        exploded(carts.select("group_name", "cart"))
         .groupBy("group_name", "rank")
         .agg(F.count("*").alias("n_lines"))
     )

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cartloom.functions.cart import of_rank, slot_description, slot_time
 from cartloom.functions.text import piece, zero_pad_week
+from cartloom.operators.lines import each_line
 
 
 def pickup_dates(rotation: DataFrame, extra_days: int = 2) -> DataFrame:
@@ -49,7 +50,7 @@ def run_of(calendar: DataFrame, day: dt.date) -> dict:
 
 def pickup_histogram(carts: DataFrame) -> DataFrame:
     counts = (
-        carts.select(F.explode(of_rank(F.col("cart"), 2)).alias("line"))
+        each_line(carts, of_rank(F.col("cart"), 2))
         .groupBy(F.col("line.item").alias("item"))
         .agg(F.count("*").alias("n_lines"))
     )

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cartloom.functions.cart import printed_lines
 from cartloom.operators.deletes import is_plant
+from cartloom.operators.lines import each_line
 from cartloom.operators.members import shares_by_short_name
 
 
@@ -40,8 +41,8 @@ def cart_search(
                     lambda x: F.coalesce(F.lower(x["item_original"]).rlike(pattern), F.lit(False)),
                 )
             )
-    return scoped.select(
-        "group_name", "name_long", F.explode("cart.item_original").alias("item_original")
+    return each_line(scoped, F.col("cart"), "group_name", "name_long").select(
+        "group_name", "name_long", "line.item_original"
     )
 
 
@@ -52,7 +53,7 @@ def member_picklist(carts: DataFrame, shares: DataFrame, food_groups: Sequence[s
 def item_picklist(carts: DataFrame, shares: DataFrame, food_groups: Sequence[str]) -> DataFrame:
     scoped = food_group_scope(carts.select("group_name", "cart"), shares, food_groups)
     return (
-        scoped.select(F.explode("cart").alias("line"))
+        each_line(scoped, F.col("cart"))
         .filter(F.col("line.rank") == 3)
         .select("line.item_original", "line.item")
         .distinct()

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cartloom.functions.cart import SPACER_SEQ, line, of_rank, parse_token
+from cartloom.functions.cart import line, of_rank
 from cartloom.functions.fixed_values import FOOD_GROUPS, STANDARD_LABEL
+from cartloom.operators.lines import each_line
 from cartloom.operators.members import shares_by_short_name
 from cartloom.plans.ordering import join_on_keys
 
@@ -48,8 +49,9 @@ def standard_lines(carts: DataFrame, std_members: DataFrame, std_items: DataFram
     of_member = (
         carts.select("name_long", "cart")
         .join(named, "name_long")
-        .select("food_list_group_name", F.explode(of_rank(F.col("cart"), 3)).alias("line"))
-        .select("food_list_group_name", "line.item_original", "line.item")
+    )
+    of_member = each_line(of_member, of_rank(F.col("cart"), 3), "food_list_group_name").select(
+        "food_list_group_name", "line.item_original", "line.item"
     )
     token = F.col("item_original")
     at = F.instr(token, "x")
@@ -83,7 +85,7 @@ def standard_sets(std_lines: DataFrame, shares: DataFrame) -> DataFrame:
         .join(groups, "food_list_group_name")
         .groupBy("group_name")
         .agg(
-            F.array_sort(F.collect_set(token)).alias("known"),
+            F.sort_array(F.collect_set(token)).alias("known"),
             F.max(token.isNull()).alias("has_null"),
             F.count("*").alias("std_size"),
         )

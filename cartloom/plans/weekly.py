@@ -13,6 +13,7 @@ from cartloom.operators import labels as L
 from cartloom.operators import layout as P
 from cartloom.operators import members as M
 from cartloom.operators import standards as S
+from cartloom.operators.lines import each_line
 from cartloom.plans.ordering import join_on_keys
 from cartloom.plans.pinning import pin_settings, pin_table
 
@@ -47,7 +48,7 @@ def flag_sets(std_flags: DataFrame) -> DataFrame:
     """One row per group: its flagged items as an array (a missing item included)."""
     item = F.col("item")
     none = F.array(F.lit(None).cast("string"))
-    found = F.array_sort(F.collect_set(item))
+    found = F.sort_array(F.collect_set(item))
     return std_flags.groupBy("group_name").agg(
         F.when(F.max(item.isNull()), F.concat(found, none)).otherwise(found).alias("std_flags")
     )
@@ -95,7 +96,7 @@ def weekly_sheet(orders: DataFrame, settings: Settings, run: dict, max_rows: int
     symbols = L.item_symbols(cells, settings.label_rules)
     labelled = L.with_run_suffix(L.labelled(cells, symbols), run)
     grid = P.page_grid(labelled, max_rows)
-    lines = collapsed.select("group_name", "lastname", "firstname", F.explode("cart").alias("line"))
+    lines = each_line(collapsed, F.col("cart"), "group_name", "lastname", "firstname")
     return WeeklySheet(
         sheet=P.sheet_rows(P.two_column_sheet(grid, "label"), max_rows),
         styles=L.cell_styles(cells, settings.shares, L.item_formats(cells, settings.format_rules)),

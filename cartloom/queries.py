@@ -471,7 +471,7 @@ def keyword_lookup(spark, sf):
         parts.select("p_brand", "p_name")
         .distinct()
         .groupBy(F.col("p_brand").alias("keyword"))
-        .agg(F.array_join(F.array_sort(F.collect_list("p_name")), ",").alias("name_list"))
+        .agg(F.array_join(F.sort_array(F.collect_list("p_name")), ",").alias("name_list"))
     )
     return K.keyword_lookup(names, words, ["Brand#7", "Brand#11"])
 

@@ -13,8 +13,19 @@ from cartloom.functions.fixed_values import ORDER_ONLY_ITEMS
 from cartloom.plans.pinning import pin_settings
 
 
+# columns read from each table
+TABLES = {
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int",
+    "part": "p_partkey bigint, p_name string, p_brand string",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_mktsegment string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "region": "r_regionkey int, r_name string",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _site():
@@ -36,17 +47,20 @@ def _item_token():
 
 
 def packed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Item tokens of each order, packed. A packed text is one field of one source record,
-    so a cart is bounded by the record, never by the table."""
+    """Item tokens of each order, packed as the order files hold them: the text is one field
+    of one record, so an order is bounded by what a record can hold."""
     lines = table(spark, sf_dir, "lineitem").join(
         table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")
     )
     keyed = lines.select(
         "l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey", _item_token().alias("token")).alias("t")
     )
-    in_order = F.array_sort(F.collect_list("t"))
-    return keyed.groupBy("l_orderkey").agg(
-        F.array_join(F.transform(in_order, lambda t: t["token"]), ", ").alias("items")
+    # lines of an order are scattered over the table, so collecting before the shuffle gains nothing
+    in_order = F.sort_array(F.collect_list("t"))
+    return (
+        keyed.repartition("l_orderkey")
+        .groupBy("l_orderkey")
+        .agg(F.array_join(in_order.getField("token"), ", ").alias("items"))
     )
 
 
