@@ -25,6 +25,7 @@ from cartloom.functions.cart import line, printed_lines
 from cartloom.functions.fixed_values import PAGE_ROWS
 from cartloom.operators.deletes import is_order_only_member, is_plant
 from cartloom.operators.lines import each_line, exploded
+from cartloom.operators.standards import listed
 from cartloom.plans.ordering import join_on_keys, ordered_slots, running_offsets
 
 MAX_LITERAL_ITEMS = 10_000
@@ -41,11 +42,12 @@ def printable_rows(carts: DataFrame, deletes: DataFrame) -> DataFrame:
     constant set tested inside the row; a longer one is joined.
     """
     rows = printed_lines(F.col("cart"), F.col("lastname"), F.col("firstname"))
-    kept = carts.filter(~is_order_only_member(F.col("cart")))
-    flags = F.col("std_flags") if "std_flags" in carts.columns else F.lit(None).cast("array<string>")
+    order_only = F.col("order_only") if "order_only" in carts.columns else is_order_only_member(F.col("cart"))
+    kept = carts.filter(~order_only)
+    has_flags = "std_flags" in carts.columns
 
     def flagged(x: Column) -> Column:
-        standard = F.size(F.array_intersect(flags, F.array(x["item"]))) > 0
+        standard = listed(F.col("std_flags"), F.col("flag_null"), x["item"]) if has_flags else F.lit(False)
         return F.struct(
             x["rank"].alias("rank"),
             x["seq"].alias("seq"),
@@ -54,21 +56,22 @@ def printable_rows(carts: DataFrame, deletes: DataFrame) -> DataFrame:
             F.when(standard, 1).alias("standard_item"),
         )
 
-    named = kept.withColumn("rows", F.transform(rows, flagged)).drop("cart", "std_flags")
+    named = kept.withColumn("rows", F.transform(rows, flagged)).select(
+        "group_name", "firstname", "lastname", "id", "name_long", "description", "time", "rows"
+    )
     items = deletes.filter(F.col("item").isNotNull()).select("item").distinct()
-    listed = [r.item for r in items.limit(MAX_LITERAL_ITEMS + 1).collect()]
-    if len(listed) <= MAX_LITERAL_ITEMS:
+    known = [r.item for r in items.limit(MAX_LITERAL_ITEMS + 1).collect()]
+    if len(known) <= MAX_LITERAL_ITEMS:
 
         def goes(item: Column) -> Column:
-            return F.coalesce(item.isin(listed), F.lit(False)) | is_plant(item)
+            return F.coalesce(item.isin(known), F.lit(False)) | is_plant(item)
 
-        return named.withColumns(
-            {
-                "rows": F.filter("rows", lambda x: ~goes(x["item"])),
-                "has_header": ~goes(F.col("group_name")),
-            }
-        ).filter(F.size("rows") > 0)
-    return _joined_deletes(named, items)
+        kept_rows = F.filter("rows", lambda x: ~goes(x["item"]))
+        # the spacer has no item, so every member keeps at least one row
+        out = named.withColumns({"rows": kept_rows, "has_header": ~goes(F.col("group_name"))})
+    else:
+        out = _joined_deletes(named, items)
+    return out.withColumn("n", F.size("rows"))
 
 
 def _joined_deletes(named: DataFrame, items: DataFrame) -> DataFrame:
@@ -88,7 +91,7 @@ def _joined_deletes(named: DataFrame, items: DataFrame) -> DataFrame:
 
 def rows_per_member(members: DataFrame) -> DataFrame:
     return members.select(
-        "group_name", "description", "time", "lastname", "firstname", "id", F.size("rows").alias("n")
+        "group_name", "description", "time", "lastname", "firstname", "id", "n", "has_header"
     )
 
 
@@ -167,8 +170,10 @@ def pack_pages(
     order = [F.col(c).asc_nulls_last() for c in ("description", "time", "lastname", "firstname")]
     order += [F.col("n").desc(), F.col("id").asc()]
     placed = ordered_slots(
-        sizes.select(*group_cols, "description", "time", "lastname", "firstname", "id", "n"), group_cols, order
-    ).select(*group_cols, "chunk", "slot", "id", "n")
+        sizes.select(*group_cols, "description", "time", "lastname", "firstname", "id", "n", "has_header"),
+        group_cols,
+        order,
+    ).select(*group_cols, "chunk", "slot", "id", "n", "has_header")
     fields = {f.name: f.dataType.simpleString() for f in placed.schema}
     key_ddl = ", ".join(f"`{c}` {fields[c]}" for c in group_cols)
     chunk_keys = [*group_cols, "chunk"]
@@ -230,7 +235,7 @@ def pack_pages(
             pages.append(page)
             columns.append(column)
             ahead.append(before)
-        out = members[[*group_cols, "id", "n"]].copy()
+        out = members[[*group_cols, "id", "n", "has_header"]].copy()
         out["page_n"], out["column_n"], out["rows_ahead"] = pages, columns, ahead
         return out
 
@@ -238,7 +243,7 @@ def pack_pages(
         placed.groupBy(*chunk_keys)
         .cogroup(starts.groupBy(*chunk_keys))
         .applyInPandas(
-            place, f"{key_ddl}, id bigint, n int, page_n bigint, column_n int, rows_ahead int"
+            place, f"{key_ddl}, id bigint, n int, has_header boolean, page_n bigint, column_n int, rows_ahead int"
         )
     )
 
@@ -263,7 +268,7 @@ def page_cells(members: DataFrame, packed: DataFrame) -> DataFrame:
         F.lit(None).cast("int").alias("standard_item"),
     )
     opens = (F.col("rows_ahead") == 0) & F.col("has_header")
-    placed = members.join(packed.drop("group_name"), "id")
+    placed = members.join(packed.select("id", "page_n", "column_n", "rows_ahead"), "id")
     rows = F.concat(F.when(opens, F.array(header)).otherwise(F.slice("rows", 1, 0)), F.col("rows"))
     skip = F.col("rows_ahead") + F.when(F.col("has_header") & (F.col("rows_ahead") > 0), 1).otherwise(0)
     cells = placed.select(
@@ -304,11 +309,15 @@ def require_no_overflow(cells: DataFrame, max_rows: int = PAGE_ROWS) -> DataFram
     return cells
 
 
-def blank_cells(cells: DataFrame, max_rows: int = PAGE_ROWS) -> DataFrame:
-    """The empty rest of both columns of every page, so each page has all its rows twice."""
-    used = cells.groupBy("group_name", "page_n").agg(
-        F.coalesce(F.max(F.when(F.col("column_n") == 1, F.col("row_n"))), F.lit(0)).alias("used1"),
-        F.coalesce(F.max(F.when(F.col("column_n") == 2, F.col("row_n"))), F.lit(0)).alias("used2"),
+def blank_cells(packed: DataFrame, max_rows: int = PAGE_ROWS) -> DataFrame:
+    """The empty rest of both columns of every page, so each page has all its rows twice.
+
+    Worked out from the placements: one small row per member instead of the cells.
+    """
+    end = F.col("rows_ahead") + F.col("n") + F.col("has_header").cast("int")
+    used = packed.groupBy("group_name", "page_n").agg(
+        F.coalesce(F.max(F.when(F.col("column_n") == 1, end)), F.lit(0)).alias("used1"),
+        F.coalesce(F.max(F.when(F.col("column_n") == 2, end)), F.lit(0)).alias("used2"),
     )
 
     def rest(column: int, name: str) -> Column:
@@ -322,10 +331,10 @@ def blank_cells(cells: DataFrame, max_rows: int = PAGE_ROWS) -> DataFrame:
     return spots.select("group_name", "page_n", "spot.row_n", "spot.column_n")
 
 
-def page_grid(cells: DataFrame, max_rows: int = PAGE_ROWS) -> DataFrame:
+def page_grid(cells: DataFrame, packed: DataFrame, max_rows: int = PAGE_ROWS) -> DataFrame:
     """Both columns of every page, rows 1 to ``max_rows``; unused cells hold no member."""
     printed = cells.filter(F.col("row_n") <= max_rows)
-    return printed.unionByName(blank_cells(cells, max_rows), allowMissingColumns=True)
+    return printed.unionByName(blank_cells(packed, max_rows), allowMissingColumns=True)
 
 
 def two_column_sheet(grid: DataFrame, value: str = "item") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cartloom.functions.cart import line, of_rank
 from cartloom.functions.fixed_values import FOOD_GROUPS, STANDARD_LABEL
+from cartloom.operators.deletes import is_order_only_member
 from cartloom.operators.lines import each_line
 from cartloom.operators.members import shares_by_short_name
 from cartloom.plans.ordering import join_on_keys
@@ -75,35 +76,32 @@ def standard_items(std_lines: DataFrame, shares: DataFrame) -> DataFrame:
     )
 
 
-def standard_sets(std_lines: DataFrame, shares: DataFrame) -> DataFrame:
-    """One settings-sized row per group: its standard tokens (with quantity) and their number."""
+def group_standards(std_lines: DataFrame, shares: DataFrame) -> DataFrame:
+    """One row per group: its standard tokens (``std``, with quantity), how many they are
+    (``std_size``), and its standard items (``std_flags``). Missing entries are told by
+    ``std_null`` and ``flag_null``. As large as the settings, not the orders.
+    """
     groups = shares_by_short_name(shares).select("group_name", "food_list_group_name")
-    token = F.col("item_original")
-    return (
-        std_lines.select("food_list_group_name", "item_original")
-        .distinct()
-        .join(groups, "food_list_group_name")
-        .groupBy("group_name")
-        .agg(
-            F.sort_array(F.collect_set(token)).alias("known"),
-            F.max(token.isNull()).alias("has_null"),
-            F.count("*").alias("std_size"),
-        )
-        .select(
-            "group_name",
-            F.when(F.col("has_null"), F.concat("known", F.array(F.lit(None).cast("string"))))
-            .otherwise(F.col("known"))
-            .alias("std"),
-            "std_size",
-        )
+    token, item = F.col("item_original"), F.col("item")
+    sets = std_lines.groupBy("food_list_group_name").agg(
+        F.sort_array(F.collect_set(token)).alias("std"),
+        F.max(token.isNull()).alias("std_null"),
+        F.sort_array(F.collect_set(item)).alias("std_flags"),
+        F.max(item.isNull()).alias("flag_null"),
+    )
+    size = F.size("std") + F.col("std_null").cast("int")
+    return sets.join(groups, "food_list_group_name").select(
+        "group_name", "std", "std_null", size.alias("std_size"), "std_flags", "flag_null"
     )
 
 
-def _in_std(std: Column, token: Column) -> Column:
-    return F.size(F.array_intersect(std, F.array(token))) > 0
+def listed(values: Column, has_null: Column, value: Column) -> Column:
+    """Membership where a missing value can be a member; False when there is no list."""
+    inside = F.when(value.isNull(), has_null).otherwise(F.array_contains(values, value))
+    return F.coalesce(inside, F.lit(False))
 
 
-def matched_carts(carts: DataFrame, std_sets: DataFrame, extras: str = "last_line") -> DataFrame:
+def matched_carts(carts: DataFrame, group_std: DataFrame, extras: str = "last_line") -> DataFrame:
     """Adds ``full`` and ``with_extras`` to every member.
 
     Tokens are compared with their quantity, repeated tokens count once. A cart with
@@ -113,19 +111,24 @@ def matched_carts(carts: DataFrame, std_sets: DataFrame, extras: str = "last_lin
     if extras not in ("last_line", "containment"):
         raise ValueError(f"unknown extras rule {extras!r}")
     lines = F.array_distinct(F.transform(of_rank(F.col("cart"), 3), lambda x: x["item_original"]))
-    with_sets = join_on_keys(carts, std_sets, ["group_name"], "left").withColumn("lines", lines)
-    held = F.size(F.array_intersect("lines", "std"))
-    whole = (F.col("std_size") > 0) & (held == F.col("std_size"))
-    more = F.size("lines") > held
+    with_sets = join_on_keys(carts, group_std, ["group_name"], "left").withColumn("lines", lines)
+    held = F.size(F.filter("lines", lambda t: listed(F.col("std"), F.col("std_null"), t)))
+    whole = (F.col("std_size") > 0) & (F.col("held") == F.col("std_size"))
+    more = F.size("lines") > F.col("held")
     extra_match = whole & more
     if extras == "last_line":
-        extra_match = extra_match & _in_std(F.col("std"), F.element_at(F.col("lines"), -1))
-    return with_sets.withColumns(
-        {
-            "full": F.coalesce(whole & ~more, F.lit(False)),
-            "with_extras": F.coalesce(extra_match, F.lit(False)),
-        }
-    ).drop("lines", "std_size")
+        last = F.element_at(F.col("lines"), -1)
+        extra_match = extra_match & listed(F.col("std"), F.col("std_null"), last)
+    return (
+        with_sets.withColumn("held", held)
+        .withColumns(
+            {
+                "full": F.coalesce(whole & ~more, F.lit(False)),
+                "with_extras": F.coalesce(extra_match, F.lit(False)),
+            }
+        )
+        .drop("lines", "held", "std_size")
+    )
 
 
 def with_keep_flag(matched: DataFrame, std_members: DataFrame) -> DataFrame:
@@ -146,50 +149,57 @@ def collapsed_carts(
     """Matched members keep shares and pickups, one label line, and their extra lines.
 
     A member marked for removal is printed in full; ``drop_removed`` leaves it out.
+    ``order_only`` is decided here on the cart as ordered; a collapsed cart has its label
+    line besides, so it never is.
     """
     cart = F.col("cart")
     kept = F.filter(cart, lambda x: x["rank"] <= 2)
     label_line = F.array(line(3, COLLAPSED_SEQ, None, label, None))
-    extra = F.filter(cart, lambda x: (x["rank"] == 3) & ~_in_std(F.col("std"), x["item_original"]))
+    extra = F.filter(
+        cart, lambda x: (x["rank"] == 3) & ~listed(F.col("std"), F.col("std_null"), x["item_original"])
+    )
     short = F.concat(kept, label_line, F.when(F.col("with_extras"), extra).otherwise(F.slice(cart, 1, 0)))
     hit = F.col("keep") & (F.col("full") | F.col("with_extras"))
-    out = matched.withColumn("cart", F.when(hit, short).otherwise(cart))
+    out = matched.withColumns(
+        {"order_only": is_order_only_member(cart) & ~hit, "cart": F.when(hit, short).otherwise(cart)}
+    )
     if drop_removed:
         out = out.filter(F.col("keep"))
-    return out.drop("std", "keep")
+    return out.drop("std", "std_null", "keep")
 
 
 def apply_standards(
     carts: DataFrame,
     std_members: DataFrame,
-    std_sets: DataFrame,
+    group_std: DataFrame,
     extras: str = "last_line",
     label: str = STANDARD_LABEL,
     drop_removed: bool = False,
 ) -> DataFrame:
     """Match and collapse in one pass over the carts; keeps the match flags."""
-    flagged = with_keep_flag(matched_carts(carts, std_sets, extras), std_members)
+    flagged = with_keep_flag(matched_carts(carts, group_std, extras), std_members)
     return collapsed_carts(flagged, label, drop_removed)
 
 
-def standard_full_match(carts: DataFrame, std_members: DataFrame, std_sets: DataFrame) -> DataFrame:
+def standard_full_match(carts: DataFrame, std_members: DataFrame, group_std: DataFrame) -> DataFrame:
     return (
-        with_keep_flag(matched_carts(carts, std_sets), std_members)
+        with_keep_flag(matched_carts(carts, group_std), std_members)
         .filter("full")
         .select("id", F.col("keep").alias("keep_remove"))
     )
 
 
-def standard_with_extras(carts: DataFrame, std_sets: DataFrame, extras: str = "last_line") -> DataFrame:
+def standard_with_extras(carts: DataFrame, group_std: DataFrame, extras: str = "last_line") -> DataFrame:
     """(id, item_original): the distinct extra lines of members who match with extras."""
-    hits = matched_carts(carts, std_sets, extras).filter("with_extras")
+    hits = matched_carts(carts, group_std, extras).filter("with_extras")
     tokens = F.array_distinct(F.transform(of_rank(F.col("cart"), 3), lambda x: x["item_original"]))
-    return hits.select("id", F.explode(F.array_except(tokens, F.col("std"))).alias("item_original"))
+    extra = F.filter(tokens, lambda t: ~listed(F.col("std"), F.col("std_null"), t))
+    return hits.select("id", F.explode(extra).alias("item_original"))
 
 
-def standard_summary(carts: DataFrame, std_members: DataFrame, std_sets: DataFrame) -> DataFrame:
+def standard_summary(carts: DataFrame, std_members: DataFrame, group_std: DataFrame) -> DataFrame:
     return (
-        with_keep_flag(matched_carts(carts, std_sets), std_members)
+        with_keep_flag(matched_carts(carts, group_std), std_members)
         .filter(F.col("full") | F.col("with_extras"))
         .select(
             "group_name",

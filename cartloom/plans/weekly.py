@@ -14,7 +14,6 @@ from cartloom.operators import layout as P
 from cartloom.operators import members as M
 from cartloom.operators import standards as S
 from cartloom.operators.lines import each_line
-from cartloom.plans.ordering import join_on_keys
 from cartloom.plans.pinning import pin_settings, pin_table
 
 
@@ -38,20 +37,10 @@ def cleaned_carts(orders: DataFrame, shares: DataFrame) -> DataFrame:
     return M.member_carts(clean_members(orders, shares))
 
 
-def standard_tables(carts: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]:
-    """Per-group standard sets and item flags, pinned: they are settings from here on."""
-    std_lines = pin_settings(S.standard_lines(carts, settings.std_members, settings.std_items))
-    return S.standard_sets(std_lines, settings.shares), S.standard_items(std_lines, settings.shares)
-
-
-def flag_sets(std_flags: DataFrame) -> DataFrame:
-    """One row per group: its flagged items as an array (a missing item included)."""
-    item = F.col("item")
-    none = F.array(F.lit(None).cast("string"))
-    found = F.sort_array(F.collect_set(item))
-    return std_flags.groupBy("group_name").agg(
-        F.when(F.max(item.isNull()), F.concat(found, none)).otherwise(found).alias("std_flags")
-    )
+def group_standards(carts: DataFrame, settings: Settings) -> DataFrame:
+    """Per-group standards, pinned: they are settings from here on."""
+    std_lines = S.standard_lines(carts, settings.std_members, settings.std_items)
+    return pin_settings(S.group_standards(std_lines, settings.shares))
 
 
 def final_members(
@@ -61,12 +50,15 @@ def final_members(
     label: str = STANDARD_LABEL,
     drop_removed: bool = False,
 ) -> DataFrame:
-    """Members with their printed rows after standards and deletes; no row is shuffled."""
-    std_sets, std_flags = standard_tables(carts, settings)
-    short = S.apply_standards(carts, settings.std_members, std_sets, extras, label, drop_removed)
-    flagged = join_on_keys(short, flag_sets(std_flags), ["group_name"], "left")
+    """Members with their printed rows after standards and deletes, as a table.
+
+    The settings are broadcast, so no member is shuffled. The result is written once: the
+    packing reads it for the sizes and the grid for the rows.
+    """
+    group_std = group_standards(carts, settings)
+    short = S.apply_standards(carts, settings.std_members, group_std, extras, label, drop_removed)
     gone = D.all_deletes(settings.permanent_deletes, settings.temporary_deletes)
-    return P.printable_rows(flagged, gone)
+    return pin_table(P.printable_rows(short, gone))
 
 
 def packed_pages(members: DataFrame, max_rows: int = PAGE_ROWS) -> DataFrame:
@@ -87,15 +79,15 @@ def weekly_sheet(orders: DataFrame, settings: Settings, run: dict, max_rows: int
     cleaned = M.normalise_home_delivery(orders)
     M.require_known_groups(cleaned, settings.shares)
     carts = pin_table(M.member_carts(M.short_group_names(cleaned, settings.shares)))
-    std_sets, _ = standard_tables(carts, settings)
-    collapsed = S.apply_standards(carts, settings.std_members, std_sets)
+    group_std = group_standards(carts, settings)
+    collapsed = S.apply_standards(carts, settings.std_members, group_std)
     members = final_members(carts, settings)
     packed = packed_pages(members, max_rows)
     cells = pin_table(P.page_cells(members, packed))
     P.require_no_overflow(cells, max_rows)
     symbols = L.item_symbols(cells, settings.label_rules)
     labelled = L.with_run_suffix(L.labelled(cells, symbols), run)
-    grid = P.page_grid(labelled, max_rows)
+    grid = P.page_grid(labelled, packed, max_rows)
     lines = each_line(collapsed, F.col("cart"), "group_name", "lastname", "firstname")
     return WeeklySheet(
         sheet=P.sheet_rows(P.two_column_sheet(grid, "label"), max_rows),

@@ -136,13 +136,15 @@ def pinned_carts(spark: SparkSession, sf: str) -> DataFrame:
 def standards(spark: SparkSession, sf: str):
     rows = pinned_carts(spark, sf)
     chosen = settings(spark, sf, rows)
-    std_sets, std_flags = W.standard_tables(rows, chosen)
-    return rows, chosen, std_sets, std_flags
+    return rows, chosen, W.group_standards(rows, chosen)
 
 
 def collapsed(spark: SparkSession, sf: str) -> tuple[DataFrame, W.Settings, DataFrame]:
-    rows, chosen, std_sets, std_flags = standards(spark, sf)
-    return S.apply_standards(rows, chosen.std_members, std_sets), chosen, std_flags
+    """Collapsed carts, the settings, and the standard lines behind them."""
+    rows, chosen, group_std = standards(spark, sf)
+    short = S.apply_standards(rows, chosen.std_members, group_std)
+    columns = ["group_name", "firstname", "lastname", "id", "name_long", "time_descr", "description", "time"]
+    return short.select(*columns, "cart", "order_only"), chosen, rows
 
 
 def final(spark: SparkSession, sf: str) -> DataFrame:
@@ -256,35 +258,40 @@ def synthetic_rows(spark, sf):
     )
 
 
+def _flags(rows, chosen):
+    return S.standard_items(S.standard_lines(rows, chosen.std_members, chosen.std_items), chosen.shares)
+
+
 def standard_items(spark, sf):
-    _, _, _, std_flags = standards(spark, sf)
-    return std_flags
+    rows = pinned_carts(spark, sf)
+    return _flags(rows, settings(spark, sf, rows))
 
 
 def standard_full_match(spark, sf):
-    rows, chosen, std_sets, _ = standards(spark, sf)
-    return S.standard_full_match(rows, chosen.std_members, std_sets)
+    rows, chosen, group_std = standards(spark, sf)
+    return S.standard_full_match(rows, chosen.std_members, group_std)
 
 
 def standard_with_extras(spark, sf):
-    rows, _, std_sets, _ = standards(spark, sf)
-    return S.standard_with_extras(rows, std_sets)
+    rows, _, group_std = standards(spark, sf)
+    return S.standard_with_extras(rows, group_std)
 
 
 def standard_containment(spark, sf):
-    rows, _, std_sets, _ = standards(spark, sf)
-    return S.standard_with_extras(rows, std_sets, extras="containment")
+    rows, _, group_std = standards(spark, sf)
+    return S.standard_with_extras(rows, group_std, extras="containment")
 
 
 def standard_collapsed(spark, sf):
-    short, _, std_flags = collapsed(spark, sf)
-    lines = S.flag_standard_items(N.long_lines(short.drop("full", "with_extras")), std_flags)
+    short, chosen, rows = collapsed(spark, sf)
+    flags = pin_settings(_flags(rows, chosen))
+    lines = S.flag_standard_items(N.long_lines(short.drop("order_only")), flags)
     return lines.select("group_name", "id", "name_long", "rank", "quantity", "item", "standard_item")
 
 
 def standard_summary(spark, sf):
-    rows, chosen, std_sets, _ = standards(spark, sf)
-    return S.standard_summary(rows, chosen.std_members, std_sets)
+    rows, chosen, group_std = standards(spark, sf)
+    return S.standard_summary(rows, chosen.std_members, group_std)
 
 
 def _named_members(spark, sf):
@@ -320,7 +327,7 @@ def item_picklist(spark, sf):
 
 def _collapsed_lines(spark, sf):
     short, chosen, _ = collapsed(spark, sf)
-    return N.long_lines(short.drop("full", "with_extras")), chosen
+    return N.long_lines(short.drop("order_only")), chosen
 
 
 def deletable_items(spark, sf):
@@ -333,12 +340,12 @@ def delete_report(spark, sf):
 
 
 def order_only_members(spark, sf):
-    return D.order_only_members(collapsed(spark, sf)[0])
+    return collapsed(spark, sf)[0].filter("order_only").select("id")
 
 
 def lines_after_delete(spark, sf):
     short, chosen, _ = collapsed(spark, sf)
-    kept = N.member_rows(D.without_order_only(short.drop("full", "with_extras")))
+    kept = N.member_rows(short.filter("not order_only").drop("order_only"))
     lines = kept.unionByName(N.group_rows(short))
     return D.without_deleted_items(lines, chosen.permanent_deletes, chosen.temporary_deletes).select(
         "group_name", "id", "name_long", "rank", "quantity", "item"
@@ -350,28 +357,33 @@ def plant_extract(spark, sf):
 
 
 def rows_per_member(spark, sf):
-    return P.rows_per_member(final(spark, sf))
+    return P.rows_per_member(final(spark, sf)).drop("has_header")
 
 
 def page_packing(spark, sf):
-    return packed(spark, sf)[1]
+    return packed(spark, sf)[1].drop("has_header")
+
+
+def _grid(spark, sf):
+    members, pages = packed(spark, sf)
+    return P.page_grid(P.page_cells(members, pages), pages)
 
 
 def page_grid(spark, sf):
-    grid = P.page_grid(cells(spark, sf))
+    grid = _grid(spark, sf)
     return _cell_view(grid, "id", "n", "rank", "quantity", "item", "standard_item")
 
 
 def two_column_sheet(spark, sf):
-    return P.two_column_sheet(P.page_grid(cells(spark, sf)))
+    return P.two_column_sheet(_grid(spark, sf))
 
 
 def sheet_rows(spark, sf):
-    return P.sheet_rows(P.two_column_sheet(P.page_grid(cells(spark, sf))))
+    return P.sheet_rows(P.two_column_sheet(_grid(spark, sf)))
 
 
 def page_subset(spark, sf):
-    return P.page_subset(P.two_column_sheet(P.page_grid(cells(spark, sf))), "N1", 1)
+    return P.page_subset(P.two_column_sheet(_grid(spark, sf)), "N1", 1)
 
 
 def page_overflow(spark, sf):
