@@ -88,9 +88,12 @@ def legacy_line_numbers(members: DataFrame) -> DataFrame:
         "id",
         order_tokens(F.col("order")).alias("tokens"),
     ).withColumn("n_tokens", F.size("tokens").cast("long"))
-    placed = running_offsets(packed, names, [F.col("id").asc()], "n_tokens")
+    # only the counts are put in order; the texts join their offsets by id
+    counts = packed.select(*names, "id", "n_tokens")
+    offsets = running_offsets(counts, names, [F.col("id").asc()], "n_tokens").select("id", "before", "total")
     rank_v = F.col("before") + F.col("pos") + 1
-    return placed.select("*", F.posexplode("tokens").alias("pos", "order_token")).select(
+    placed = packed.join(offsets, "id").filter("n_tokens > 0")
+    return placed.select("*", F.posexplode_outer("tokens").alias("pos", "order_token")).select(
         *names,
         "id",
         "order_token",

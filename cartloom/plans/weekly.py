@@ -65,6 +65,16 @@ def packed_pages(members: DataFrame, max_rows: int = PAGE_ROWS) -> DataFrame:
     return pin_table(P.pack_pages(P.rows_per_member(members), max_rows=max_rows))
 
 
+def symbol_table(lines: DataFrame, rules: DataFrame) -> DataFrame:
+    """Symbols per matching item, pinned, so that lines meet a table of known size. Lines
+    without an item share one join key; broadcasting keeps them where they are."""
+    return pin_settings(L.item_symbols(lines, rules))
+
+
+def format_table(cells: DataFrame, rules: DataFrame) -> DataFrame:
+    return pin_settings(L.item_formats(cells, rules))
+
+
 @dataclass
 class WeeklySheet:
     sheet: DataFrame
@@ -85,13 +95,13 @@ def weekly_sheet(orders: DataFrame, settings: Settings, run: dict, max_rows: int
     packed = packed_pages(members, max_rows)
     cells = pin_table(P.page_cells(members, packed))
     P.require_no_overflow(cells, max_rows)
-    symbols = L.item_symbols(cells, settings.label_rules)
+    symbols = symbol_table(cells, settings.label_rules)
     labelled = L.with_run_suffix(L.labelled(cells, symbols), run)
     grid = P.page_grid(labelled, packed, max_rows)
     lines = each_line(collapsed, F.col("cart"), "group_name", "lastname", "firstname")
     return WeeklySheet(
         sheet=P.sheet_rows(P.two_column_sheet(grid, "label"), max_rows),
-        styles=L.cell_styles(cells, settings.shares, L.item_formats(cells, settings.format_rules)),
+        styles=L.cell_styles(cells, settings.shares, format_table(cells, settings.format_rules)),
         reconciliation=M.reconciliation(
             M.member_counts(carts, "n_start"), M.member_counts(members, "n_end")
         ),

@@ -190,7 +190,7 @@ def order_lines(spark, sf):
 
 
 def legacy_line_numbers(spark, sf):
-    return N.legacy_line_numbers(A.member_orders(spark, sf))
+    return N.legacy_line_numbers(pin_table(A.member_orders(spark, sf)))
 
 
 def line_class_counts(spark, sf):
@@ -398,8 +398,8 @@ def item_symbols(spark, sf):
 
 
 def item_labels(spark, sf):
-    lines = N.long_lines(carts(spark, sf))
-    symbols = L.item_symbols(lines, L.label_rules(spark, LABEL_EXAMPLES))
+    lines = N.long_lines(pinned_carts(spark, sf))
+    symbols = W.symbol_table(lines, L.label_rules(spark, LABEL_EXAMPLES))
     return L.labelled(lines, symbols).select("id", "group_name", "rank", "seq", "item_symbol")
 
 
@@ -410,8 +410,8 @@ def _run(spark, sf):
 
 
 def header_labels(spark, sf):
-    shown = cells(spark, sf)
-    symbols = L.item_symbols(shown, L.label_rules(spark, LABEL_EXAMPLES))
+    shown = pin_table(cells(spark, sf))
+    symbols = W.symbol_table(shown, L.label_rules(spark, LABEL_EXAMPLES))
     with_label = L.with_run_suffix(L.labelled(shown, symbols), _run(spark, sf))
     return _cell_view(with_label, "label")
 
@@ -425,13 +425,13 @@ def cell_standard_bold(spark, sf):
 
 
 def cell_format_rules(spark, sf):
-    shown = cells(spark, sf)
-    return L.cell_format_rules(shown, L.item_formats(shown, L.format_rules(spark, FORMAT_EXAMPLES)))
+    shown = pin_table(cells(spark, sf))
+    return L.cell_format_rules(shown, W.format_table(shown, L.format_rules(spark, FORMAT_EXAMPLES)))
 
 
 def cell_styles(spark, sf):
-    shown = cells(spark, sf)
-    formats = L.item_formats(shown, L.format_rules(spark, FORMAT_EXAMPLES))
+    shown = pin_table(cells(spark, sf))
+    formats = W.format_table(shown, L.format_rules(spark, FORMAT_EXAMPLES))
     return L.cell_styles(shown, A.shares(spark, sf), formats)
 
 
