@@ -178,7 +178,7 @@ def pack_pages(
     key_ddl = ", ".join(f"`{c}` {fields[c]}" for c in group_cols)
     chunk_keys = [*group_cols, "chunk"]
 
-    def chunk_sums(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def chunk_sums(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         head, ends = _chunk_sums(_sizes(pdf), cap)
         flat = [v for end in ends for v in end]
         row = dict(zip(chunk_keys, key)) | {"head": head, "ends": flat}
@@ -196,7 +196,7 @@ def pack_pages(
     )
     marked = join_on_keys(sums, firsts, group_cols, "left")
 
-    def chain(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def chain(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         out, page, state = [], 1, EMPTY_PAGE
         for at, row in enumerate(pdf.sort_values("chunk").to_dict("records")):
             forced = at == 0 and bool(row["opens_run"])
@@ -216,7 +216,7 @@ def pack_pages(
         *group_cols
     ).applyInPandas(chain, f"{key_ddl}, chunk int, page bigint, {_STATE}, forced boolean")
 
-    def place(key, members: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
+    def place(key: tuple, members: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
         members = members.sort_values("slot")
         begin = start.iloc[0]
         page, forced = int(begin["page"]), bool(begin["forced"])
