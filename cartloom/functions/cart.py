@@ -11,21 +11,25 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from cartloom.functions.fixed_values import ORDER_ONLY_ITEMS, PICKUP_MARK
-from cartloom.functions.text import name_text, piece, trim_blanks
-
-# rank and seq come first: the natural order of the struct is the print order.
-LINE_TYPE = "struct<rank:int,seq:int,quantity:string,item:string,item_original:string>"
+from cartloom.functions.text import name_text, piece
 
+# A line is a struct (rank, seq, quantity, item, item_original). rank and seq come first:
+# the natural order of the struct is the print order.
 NAME_SEQ = -1
 SPACER_SEQ = 2147483647
 
 
-def order_tokens(order: Column) -> Column:
+def _tokens_sql(order: str) -> str:
+    name = f"`{order}`"
+    return f"""CASE
+        WHEN {name} IS NULL THEN array(CAST(NULL AS STRING))
+        WHEN {name} = '' THEN CAST(array() AS ARRAY<STRING>)
+        ELSE split(if(endswith({name}, ','), left({name}, length({name}) - 1), {name}), ',') END"""
+
+
+def order_tokens(order: str) -> Column:
     """Comma-separated pieces; one empty last piece is dropped, '' has none, NULL has one NULL."""
-    pieces = F.split(order, ",")
-    last_empty = F.element_at(pieces, -1) == ""
-    kept = F.when(last_empty, F.slice(pieces, F.lit(1), F.size(pieces) - 1)).otherwise(pieces)
-    return F.when(order.isNull(), F.array(F.lit(None).cast("string"))).otherwise(kept)
+    return F.expr(_tokens_sql(order))
 
 
 def line(rank, seq, quantity, item, item_original) -> Column:
@@ -38,39 +42,29 @@ def line(rank, seq, quantity, item, item_original) -> Column:
     )
 
 
-def parse_cart(order: Column, quantity_only_numeric: bool = False) -> Column:
-    """Split every token at its first ``x`` and classify it.
+def parse_cart(order: str, quantity_only_numeric: bool = False) -> Column:
+    """Split every token at its first ``x`` and classify it: (rank, seq, quantity, item, item_original).
 
     One step per array pass, so that no text is searched twice. With
     ``quantity_only_numeric`` the text before ``x`` must be a number, so that an item
     holding an ``x`` of its own stays whole.
     """
-
-    def with_head(token: Column) -> Column:
-        splits = token.contains("x")
-        if quantity_only_numeric:
-            splits = splits & token.rlike(r"^\d*\.?\d+x")
-        head = F.when(splits, F.substring_index(token, "x", 1))
-        return F.struct(token.alias("token"), head.alias("head"))
-
-    def with_item(t: Column) -> Column:
-        rest = F.substr(t["token"], F.length(t["head"]) + 2)
-        return F.struct(
-            t["token"].alias("token"), t["head"].alias("head"), F.coalesce(rest, t["token"]).alias("item")
-        )
-
-    def classified(t: Column, seq: Column) -> Column:
-        has_quantity = t["head"] != t["item"]
-        rank = (
-            F.when(t["item"].isNull(), 3)
-            .when(has_quantity, F.when(t["token"].contains(PICKUP_MARK), 2).otherwise(3))
-            .when(t["item"].isin(ORDER_ONLY_ITEMS), 3)
-            .otherwise(1)
-        )
-        return line(rank, seq, F.when(has_quantity, t["head"]), t["item"], t["token"])
-
-    trimmed = F.transform(order_tokens(order), trim_blanks)
-    return F.transform(F.transform(F.transform(trimmed, with_head), with_item), classified)
+    splits = "contains(t, 'x')"
+    if quantity_only_numeric:
+        splits += r" AND t RLIKE r'^\d*\.?\d+x'"
+    order_only = ", ".join(f"'{t}'" for t in ORDER_ONLY_ITEMS)
+    trimmed = rf"transform({_tokens_sql(order)}, t -> btrim(t, '\t\r\n '))"
+    heads = f"transform({trimmed}, t -> struct(t AS token, if({splits}, substring_index(t, 'x', 1), NULL) AS head))"
+    items = f"""transform({heads}, t -> struct(
+        t.token, t.head, coalesce(substr(t.token, length(t.head) + 2), t.token) AS item))"""
+    return F.expr(f"""transform({items}, (t, i) -> struct(
+        CASE WHEN t.item IS NULL THEN 3
+            WHEN t.head <> t.item THEN if(contains(t.token, '{PICKUP_MARK}'), 2, 3)
+            WHEN t.item IN ({order_only}) THEN 3 ELSE 1 END AS rank,
+        i AS seq,
+        if(t.head <> t.item, t.head, NULL) AS quantity,
+        t.item AS item,
+        t.token AS item_original))""")
 
 
 def of_rank(cart: Column, rank: int) -> Column:

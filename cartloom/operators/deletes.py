@@ -26,16 +26,17 @@ def order_only_members(carts: DataFrame) -> DataFrame:
 def delete_report(lines: DataFrame, permanent: DataFrame, temporary: DataFrame) -> DataFrame:
     """Lines per item that each list, and the plant rule, removes.
 
-    The lines are counted per item first; the lists then meet item counts, not lines.
+    The lines are read once and counted per item; the lists then meet item counts, not lines.
     """
     counts = lines.groupBy("item").agg(F.count("*").alias("n_lines"))
-
-    def listed(items: DataFrame, name: str) -> DataFrame:
-        wanted = items.filter(F.col("item").isNotNull()).select("item").distinct()
-        return counts.join(wanted, "item", "left_semi").withColumn("list_name", F.lit(name))
-
-    plants = counts.filter(is_plant(F.col("item"))).withColumn("list_name", F.lit("plants"))
-    return listed(permanent, "permanent").unionByName(listed(temporary, "temporary")).unionByName(plants)
+    named = permanent.select("item", F.lit("permanent").alias("list_name")).unionByName(
+        temporary.select("item", F.lit("temporary").alias("list_name"))
+    )
+    # at most two names per item
+    lists = named.filter(F.col("item").isNotNull()).groupBy("item").agg(F.collect_set("list_name").alias("lists"))
+    plant = F.when(is_plant(F.col("item")), F.lit("plants"))
+    every = F.array_compact(F.array_append(F.coalesce("lists", F.array().cast("array<string>")), plant))
+    return counts.join(lists, "item", "left").select("item", "n_lines", F.explode(every).alias("list_name"))
 
 
 def all_deletes(permanent: DataFrame, temporary: DataFrame) -> DataFrame:

@@ -86,7 +86,7 @@ def legacy_line_numbers(members: DataFrame) -> DataFrame:
         F.col("firstname").alias("first_name"),
         F.col("lastname").alias("last_name"),
         "id",
-        order_tokens(F.col("order")).alias("tokens"),
+        order_tokens("order").alias("tokens"),
     ).withColumn("n_tokens", F.size("tokens").cast("long"))
     # only the counts are put in order; the texts join their offsets by id
     counts = packed.select(*names, "id", "n_tokens")

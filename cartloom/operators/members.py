@@ -89,7 +89,7 @@ def member_carts(members: DataFrame, quantity_only_numeric: bool = False) -> Dat
     """Adds name_long, cart and the first pickup slot (time_descr, description, time)."""
     slot = F.col("slot")
     return (
-        members.withColumn("cart", parse_cart(F.col("order"), quantity_only_numeric))
+        members.withColumn("cart", parse_cart("order", quantity_only_numeric))
         .withColumn("slot", first_slot(F.col("cart")))
         .select(
             "group_name",

@@ -68,18 +68,15 @@ def in_slot_order(histogram: DataFrame) -> DataFrame:
 
 
 def first_pickup_slot(carts: DataFrame) -> DataFrame:
-    return carts.filter(F.col("time_descr").isNotNull()).select("id", "time_descr", "description", "time")
+    # an optional one-element array instead of a filter, which would parse the order again
+    slot = F.when(F.col("time_descr").isNotNull(), F.array(F.struct("time_descr", "description", "time")))
+    return each_line(carts, slot, "id").select("id", "line.*")
 
 
 def multi_pickup_members(carts: DataFrame) -> DataFrame:
     """Members with more than one pickup line, one row per distinct slot."""
-    slots = of_rank(F.col("cart"), 2)
-    return (
-        carts.select("name_long", slots.alias("slots"))
-        .filter(F.size("slots") > 1)
-        .select(
-            "name_long",
-            F.explode(F.array_distinct(F.col("slots.item"))).alias("item"),
-            F.size("slots").cast("long").alias("n_pickups"),
-        )
-    )
+    slots = carts.select("name_long", of_rank(F.col("cart"), 2).alias("slots"))
+    count = F.size("slots").cast("long")
+    distinct = F.array_distinct(F.transform("slots", lambda x: F.struct(x["item"], count.alias("n_pickups"))))
+    several = F.when(F.size("slots") > 1, distinct)
+    return each_line(slots, several, "name_long").select("name_long", "line.item", "line.n_pickups")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartloom.functions.cart import printed_lines
+from cartloom.functions.text import name_text
 from cartloom.operators.deletes import is_plant
 from cartloom.operators.lines import each_line
 from cartloom.operators.members import shares_by_short_name
@@ -28,20 +29,25 @@ def cart_search(
 ) -> DataFrame:
     """All rows of members who have, for every non-empty term, a row that matches it.
 
-    Terms are patterns, not case sensitive. The test runs inside the member's row.
+    Terms are patterns, not case sensitive. The test runs inside the member's row, as a
+    condition on the exploded array: a filter would be pushed down to the order text and
+    parse it once more per term.
     """
     rows = printed_lines(F.col("cart"), F.col("lastname"), F.col("firstname"))
-    scoped = food_group_scope(carts.withColumn("cart", rows), shares, food_groups)
+    scoped = food_group_scope(carts, shares, food_groups).select(
+        "group_name",
+        "name_long",
+        rows.alias("rows"),
+        F.transform("cart", lambda x: F.lower(x["item_original"])).alias("tokens"),
+        F.lower(name_text(F.col("lastname"), F.col("firstname"))).alias("name"),
+    )
+    hit = F.lit(True)
     for term in terms:
         if term:
             pattern = term.lower()
-            scoped = scoped.filter(
-                F.exists(
-                    F.col("cart"),
-                    lambda x: F.coalesce(F.lower(x["item_original"]).rlike(pattern), F.lit(False)),
-                )
-            )
-    return each_line(scoped, F.col("cart"), "group_name", "name_long").select(
+            in_cart = F.exists("tokens", lambda t: F.coalesce(t.rlike(pattern), F.lit(False)))
+            hit = hit & (F.col("name").rlike(pattern) | in_cart)
+    return each_line(scoped, F.when(hit, F.col("rows")), "group_name", "name_long").select(
         "group_name", "name_long", "line.item_original"
     )
 

@@ -122,7 +122,7 @@ def settings(spark: SparkSession, sf: str, cart_rows: DataFrame) -> W.Settings:
         permanent_deletes=permanent_deletes(spark, sf),
         temporary_deletes=temporary_deletes(spark, sf),
         std_members=pin_settings(region_standard_member(spark, sf, cart_rows)),
-        std_items=pin_settings(region_standard_items(spark, sf, cart_rows)),
+        std_items=region_standard_items(spark, sf, cart_rows),
         label_rules=L.label_rules(spark, LABEL_EXAMPLES),
         format_rules=L.format_rules(spark, FORMAT_EXAMPLES),
     )
@@ -444,8 +444,7 @@ def settings_remove(spark, sf):
 
 
 def standards_upsert(spark, sf):
-    rows = carts(spark, sf)
-    std = region_standard_member(spark, sf, rows)
+    std = pin_settings(region_standard_member(spark, sf, carts(spark, sf)))
     added = E.upsert_standard_member(std, "ASIA", "Someone, New [1]", True)
     return E.clear_standard_member(added, STANDARD_MEMBER_REGION)
 

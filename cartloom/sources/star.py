@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartloom.functions.fixed_values import ORDER_ONLY_ITEMS
-from cartloom.plans.pinning import pin_settings
 
 
 # columns read from each table
@@ -28,113 +27,73 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _site():
-    home = F.concat(F.lit("Home Delivery - Zone "), F.col("n_name"), F.lit(" "))
-    return F.when(F.col("n_nationkey") % 7 == 0, home).otherwise(F.col("n_name"))
-
-
-def _group():
-    home = F.concat(F.lit("Home Delivery - "), F.right("n_name", F.lit(4)))
-    return F.when(F.col("n_nationkey") % 7 == 0, home).otherwise(F.col("n_name"))
-
-
-def _item_token():
-    name = F.col("p_name")
-    text = F.when(name.endswith(" plate"), F.concat(F.lit("1 Pot Plant - "), name)).otherwise(
-        F.concat(F.lit("1 Each "), name)
-    )
-    return F.concat((1 + F.col("l_linenumber") % 2).cast("string"), F.lit("x"), text)
-
-
 def packed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Item tokens of each order, packed as the order files hold them: the text is one field
     of one record, so an order is bounded by what a record can hold."""
     lines = table(spark, sf_dir, "lineitem").join(
-        table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")
-    )
-    keyed = lines.select(
-        "l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey", _item_token().alias("token")).alias("t")
+        table(spark, sf_dir, "part"), F.expr("l_partkey = p_partkey")
     )
+    kind = "if(endswith(p_name, ' plate'), '1 Pot Plant - ', '1 Each ')"
+    token = f"concat(1 + l_linenumber % 2, 'x', {kind}, p_name) AS token"
     # lines of an order are scattered over the table, so collecting before the shuffle gains nothing
-    in_order = F.sort_array(F.collect_list("t"))
     return (
-        keyed.repartition("l_orderkey")
+        lines.selectExpr("l_orderkey", f"struct(l_linenumber, l_partkey, l_suppkey, {token}) AS t")
+        .repartition("l_orderkey")
         .groupBy("l_orderkey")
-        .agg(F.array_join(in_order.getField("token"), ", ").alias("items"))
+        .agg(F.expr("array_join(sort_array(collect_list(t)).token, ', ') AS items"))
     )
 
 
 def member_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(group_name, firstname, lastname, order, id) as the order files hold them."""
-    key = F.col("o_orderkey")
-    hour = 4 + key % 3
-    slot = F.concat(
-        F.lit("1x"),
-        F.substring("o_orderpriority", 1, 1),
-        F.lit(" @"),
-        hour.cast("string"),
-        F.lit("-"),
-        hour.cast("string"),
-        F.lit(":30 "),
-        F.col("r_name"),
-        F.lit(" Pickup Time"),
-    )
-    second = F.concat(F.lit("1x9 @3-3:30 "), F.col("r_name"), F.lit(" Pickup Time"))
-    order_only = F.when(key % 2 == 0, ORDER_ONLY_ITEMS[0]).otherwise(ORDER_ONLY_ITEMS[3])
-    tokens = F.array(
-        F.concat(F.lit("1 "), F.col("c_mktsegment")),
-        F.when(key % 10 != 0, slot),
-        F.when(key % 10 == 1, second),
-        F.when(key % 11 == 0, order_only),
-        F.col("items"),
-    )
-    packed = F.concat(F.array_join(tokens, ", "), F.when(key % 13 == 4, ",").otherwise(""))
-    number = F.split_part("c_name", F.lit("#"), F.lit(2))
-    detail = F.when(key % 50 == 7, "none").otherwise(F.right("n_name", F.lit(4)))
-    lastname = F.when(F.col("n_nationkey") % 7 == 0, F.concat(number, F.lit(" "), detail)).otherwise(number)
-    first = F.when(F.col("c_custkey") % 501 != 9, F.split_part("c_name", F.lit("#"), F.lit(1)))
-    return (
+    """(group_name, firstname, lastname, order, id) as the order files hold them.
+
+    Some sites are home deliveries, some orders are missing, end in a comma, or hold no
+    or two pickup slots or an order-only token.
+    """
+    joined = (
         table(spark, sf_dir, "orders")
-        .join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-        .join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-        .join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-        .join(packed_items(spark, sf_dir), F.col("o_orderkey") == F.col("l_orderkey"), "left")
-        .select(
-            _site().alias("group_name"),
-            first.alias("firstname"),
-            F.when(key % 20 == 3, F.concat(F.lit("\t"), lastname)).otherwise(lastname).alias("lastname"),
-            F.when(key % 1009 != 5, packed).alias("order"),
-            (key + 1).alias("id"),
-        )
+        .join(table(spark, sf_dir, "customer"), F.expr("o_custkey = c_custkey"))
+        .join(table(spark, sf_dir, "nation"), F.expr("c_nationkey = n_nationkey"))
+        .join(table(spark, sf_dir, "region"), F.expr("n_regionkey = r_regionkey"))
+        .join(packed_items(spark, sf_dir), F.expr("o_orderkey = l_orderkey"), "left")
+    )
+    hour = "4 + o_orderkey % 3"
+    detail = "if(o_orderkey % 50 = 7, 'none', right(n_name, 4))"
+    number = "split_part(c_name, '#', 2)"
+    return joined.selectExpr(
+        """if(n_nationkey % 7 = 0, concat('Home Delivery - Zone ', n_name, ' '), n_name) AS group_name""",
+        """if(c_custkey % 501 <> 9, split_part(c_name, '#', 1), NULL) AS firstname""",
+        rf"""concat(if(o_orderkey % 20 = 3, '\t', ''), {number},
+            if(n_nationkey % 7 = 0, concat(' ', {detail}), '')) AS lastname""",
+        f"""if(o_orderkey % 1009 <> 5, concat(concat_ws(', ',
+            concat('1 ', c_mktsegment),
+            if(o_orderkey % 10 <> 0, concat('1x', left(o_orderpriority, 1), ' @', {hour}, '-', {hour}, ':30 ',
+                r_name, ' Pickup Time'), NULL),
+            if(o_orderkey % 10 = 1, concat('1x9 @3-3:30 ', r_name, ' Pickup Time'), NULL),
+            CASE WHEN o_orderkey % 11 = 0 THEN
+                if(o_orderkey % 2 = 0, '{ORDER_ONLY_ITEMS[0]}', '{ORDER_ONLY_ITEMS[3]}') END,
+            items), if(o_orderkey % 13 = 4, ',', '')), NULL) AS `order`""",
+        "o_orderkey + 1 AS id",
     )
 
 
 def shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = F.col("n_nationkey")
-    short = F.when(key % 4 == 1, F.concat(F.lit("N"), key.cast("string"))).when(key % 4 == 2, "")
+    """Settings per group: short name, food group, colours."""
     return (
         table(spark, sf_dir, "nation")
-        .join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-        .select(
-            _group().alias("group_name"),
-            short.alias("group_name_short"),
-            F.col("r_name").alias("food_list_group_name"),
-            F.when(
-                key % 6 != 5,
-                F.concat(F.lit("#"), F.right(F.concat(F.lit("000000"), (key * 12345).cast("string")), F.lit(6))),
-            ).alias("highlight_color_hex"),
-            F.concat(
-                F.lit("rgb("), (key * 10).cast("string"), F.lit(", "), key.cast("string"), F.lit(", "),
-                (255 - key).cast("string"), F.lit(")"),
-            ).alias("highlight_color_rgb"),
+        .join(table(spark, sf_dir, "region"), F.expr("n_regionkey = r_regionkey"))
+        .selectExpr(
+            "if(n_nationkey % 7 = 0, concat('Home Delivery - ', right(n_name, 4)), n_name) AS group_name",
+            "CASE n_nationkey % 4 WHEN 1 THEN concat('N', n_nationkey) WHEN 2 THEN '' END AS group_name_short",
+            "r_name AS food_list_group_name",
+            """if(n_nationkey % 6 <> 5, concat('#', right(concat('000000', n_nationkey * 12345), 6)), NULL)
+                AS highlight_color_hex""",
+            """concat('rgb(', n_nationkey * 10, ', ', n_nationkey, ', ', 255 - n_nationkey, ')')
+                AS highlight_color_rgb""",
         )
     )
 
 
-def settings_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pin_settings(shares(spark, sf_dir))
-
-
 def rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(date, week, season): the Wednesday of every week that has an order."""
     wednesday = F.date_add(F.date_trunc("week", "o_orderdate").cast("date"), 2)

@@ -30,7 +30,7 @@ def one(spark, column, **values):
     ],
 )
 def test_order_tokens(spark, text, want):
-    assert one(spark, order_tokens(F.col("t")), t=text) == want
+    assert one(spark, order_tokens("t"), t=text) == want
 
 
 @pytest.mark.parametrize(
@@ -52,14 +52,14 @@ def test_order_tokens(spark, text, want):
 )
 def test_split_and_class(spark, token, quantity, item, rank):
     if token == "":
-        cart = one(spark, parse_cart(F.col("t")), t=" ,")
+        cart = one(spark, parse_cart("t"), t=" ,")
     else:
-        cart = one(spark, parse_cart(F.col("t")), t=token)
+        cart = one(spark, parse_cart("t"), t=token)
     assert [(x.quantity, x.item, x.rank, x.item_original) for x in cart] == [(quantity, item, rank, token)]
 
 
 def test_numeric_quantity_option(spark):
-    cart = one(spark, parse_cart(F.col("t"), quantity_only_numeric=True), t="mixed nuts, .5x1 Box, 2x1 Tax")
+    cart = one(spark, parse_cart("t", quantity_only_numeric=True), t="mixed nuts, .5x1 Box, 2x1 Tax")
     assert [(x.quantity, x.item) for x in cart] == [(None, "mixed nuts"), (".5", "1 Box"), ("2", "1 Tax")]
 
 
