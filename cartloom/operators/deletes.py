@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,8 +56,8 @@ def without_deleted_items(lines: DataFrame, permanent: DataFrame, temporary: Dat
     return lines.join(gone, "item", "left_anti").filter(~is_plant(F.col("item")))
 
 
-def plant_extract(lines: DataFrame) -> DataFrame:
+def plant_extract(lines: DataFrame, run_cols: Sequence[str] = ()) -> DataFrame:
     """Plant lines, taken before the deletes."""
     return lines.filter(is_plant(F.col("item"))).select(
-        "group_name", "lastname", "firstname", "item", "quantity"
+        *run_cols, "group_name", "lastname", "firstname", "item", "quantity"
     )

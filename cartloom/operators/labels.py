@@ -17,6 +17,18 @@ LABEL_SCHEMA = "match_name string, text_name string, freeform_text string, emoji
 FORMAT_SCHEMA = "match_name string, text_name string, format_name string, color_name string, row_num int"
 
 
+# what a cell holds; its other columns say where it is
+CELL_CONTENT = {
+    "id", "n", "rank", "quantity", "item", "standard_item", "name_long", "lastname", "firstname",
+    "symbol_text", "item_symbol", "label",
+}
+
+
+def cell_place(cells: DataFrame) -> list[str]:
+    """Run columns, group, page, row and column."""
+    return [c for c in cells.columns if c not in CELL_CONTENT]
+
+
 def _numbered(rules: Sequence[tuple]) -> list[tuple]:
     return [(*rule, at) for at, rule in enumerate(rules, 1)]
 
@@ -88,12 +100,19 @@ def labelled(cells: DataFrame, symbols: DataFrame) -> DataFrame:
 
 
 def with_run_suffix(cells: DataFrame, run: dict) -> DataFrame:
-    """Group headers say which run they belong to; a blank row has no label."""
-    suffix = f" ({run['season']}w{run['week']} - {run['date']})"
+    """Group headers say which run they belong to; a blank row has no label.
+
+    ``run`` has season, week and date, as values or, for several runs, as columns.
+    """
+
+    def part(name: str) -> Column:
+        value = run[name]
+        return (value if isinstance(value, Column) else F.lit(str(value))).cast("string")
+
+    suffix = F.concat(F.lit(" ("), part("season"), F.lit("w"), part("week"), F.lit(" - "), part("date"), F.lit(")"))
     rank = F.col("rank")
     return cells.withColumn(
-        "label",
-        F.when(rank == -1, F.concat("item_symbol", F.lit(suffix))).when(rank.isNotNull(), F.col("item_symbol")),
+        "label", F.when(rank == -1, F.concat("item_symbol", suffix)).when(rank.isNotNull(), F.col("item_symbol"))
     )
 
 
@@ -104,7 +123,7 @@ def cell_group_colour(cells: DataFrame, shares: DataFrame) -> DataFrame:
         cells.filter(F.col("rank") <= 0)
         .join(colours.select("group_name", "highlight_color_hex"), "group_name")
         .select(
-            "group_name", "page_n", "row_n", "column_n", "highlight_color_hex",
+            *cell_place(cells), "highlight_color_hex",
             F.lit("bold").alias("text_decoration"), F.lit("center").alias("halign"),
         )
     )
@@ -112,7 +131,7 @@ def cell_group_colour(cells: DataFrame, shares: DataFrame) -> DataFrame:
 
 def cell_standard_bold(cells: DataFrame) -> DataFrame:
     return cells.filter(F.col("standard_item").isNotNull()).select(
-        "group_name", "page_n", "row_n", "column_n", "item", F.lit("bold").alias("text_decoration")
+        *cell_place(cells), "item", F.lit("bold").alias("text_decoration")
     )
 
 
@@ -132,7 +151,7 @@ def item_formats(cells: DataFrame, rules: DataFrame) -> DataFrame:
 def cell_format_rules(cells: DataFrame, formats: DataFrame) -> DataFrame:
     """Cells a format rule styles; the last rule replaces earlier ones and the centring."""
     return cells.join(formats, "item").select(
-        "group_name", "page_n", "row_n", "column_n", "item", "format_name", "color_name"
+        *cell_place(cells), "item", "format_name", "color_name"
     )
 
 
@@ -144,7 +163,7 @@ def cell_styles(cells: DataFrame, shares: DataFrame, formats: DataFrame) -> Data
     hex_colour = F.when(F.col("rank") <= 0, F.col("group_hex"))
     styled = F.col("row_num").isNotNull()
     out = joined.select(
-        "group_name", "page_n", "row_n", "column_n",
+        *cell_place(cells),
         hex_colour.alias("fill_if_text"),
         (hex_colour.isNotNull() | F.col("standard_item").isNotNull()).alias("bold_if_text"),
         F.when(~styled & hex_colour.isNotNull(), "center").alias("halign"),

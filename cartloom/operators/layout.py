@@ -56,8 +56,8 @@ def printable_rows(carts: DataFrame, deletes: DataFrame) -> DataFrame:
             F.when(standard, 1).alias("standard_item"),
         )
 
-    named = kept.withColumn("rows", F.transform(rows, flagged)).select(
-        "group_name", "firstname", "lastname", "id", "name_long", "description", "time", "rows"
+    named = kept.withColumn("rows", F.transform(rows, flagged)).drop(
+        "cart", "order_only", "full", "with_extras", "std_flags", "flag_null"
     )
     items = deletes.filter(F.col("item").isNotNull()).select("item").distinct()
     known = [r.item for r in items.limit(MAX_LITERAL_ITEMS + 1).collect()]
@@ -89,9 +89,9 @@ def _joined_deletes(named: DataFrame, items: DataFrame) -> DataFrame:
     )
 
 
-def rows_per_member(members: DataFrame) -> DataFrame:
+def rows_per_member(members: DataFrame, run_cols: Sequence[str] = ()) -> DataFrame:
     return members.select(
-        "group_name", "description", "time", "lastname", "firstname", "id", "n", "has_header"
+        *run_cols, "group_name", "description", "time", "lastname", "firstname", "id", "n", "has_header"
     )
 
 
@@ -154,19 +154,16 @@ _STATE = "rows1 int, rows2 int, members1 int, members2 int"
 
 
 def pack_pages(
-    sizes: DataFrame,
-    group_cols: Sequence[str] = ("group_name",),
-    run_cols: Sequence[str] = (),
-    max_rows: int = PAGE_ROWS,
+    sizes: DataFrame, max_rows: int = PAGE_ROWS, run_cols: Sequence[str] = ()
 ) -> DataFrame:
     """Page, column and rows ahead in that column for every member.
 
     ``sizes`` has the columns of :func:`rows_per_member`. Groups are packed on their
-    own. ``run_cols`` (part of ``group_cols``) name the columns of one weekly run: the
-    very first member of a run opens page 1 even when it is too long for a page.
+    own. ``run_cols`` (week, site, ...) tell weekly runs apart: the very first member of
+    a run opens page 1 even when it is too long for a page.
     """
     cap = max_rows - 1
-    group_cols, run_cols = list(group_cols), list(run_cols)
+    group_cols = [*run_cols, "group_name"]
     order = [F.col(c).asc_nulls_last() for c in ("description", "time", "lastname", "firstname")]
     order += [F.col("n").desc(), F.col("id").asc()]
     placed = ordered_slots(
@@ -250,13 +247,7 @@ def pack_pages(
 
 # ---------------------------------------------------------------------------- grid
 
-CELL_COLUMNS = [
-    "group_name", "page_n", "row_n", "column_n", "id", "n", "rank", "quantity", "item",
-    "standard_item", "name_long", "lastname", "firstname",
-]
-
-
-def page_cells(members: DataFrame, packed: DataFrame) -> DataFrame:
+def page_cells(members: DataFrame, packed: DataFrame, run_cols: Sequence[str] = ()) -> DataFrame:
     """Filled cells: the group header on top of every used column, then the members' rows.
 
     The first member of a column (no rows ahead) brings the header along, so headers
@@ -272,7 +263,7 @@ def page_cells(members: DataFrame, packed: DataFrame) -> DataFrame:
     rows = F.concat(F.when(opens, F.array(header)).otherwise(F.slice("rows", 1, 0)), F.col("rows"))
     skip = F.col("rows_ahead") + F.when(F.col("has_header") & (F.col("rows_ahead") > 0), 1).otherwise(0)
     cells = placed.select(
-        "group_name", "page_n", "column_n", "id", "n", "name_long", "lastname", "firstname",
+        *run_cols, "group_name", "page_n", "column_n", "id", "n", "name_long", "lastname", "firstname",
         skip.alias("skip"), F.posexplode(rows).alias("pos", "row"),
     )
     is_header = F.col("row.rank") == -1
@@ -281,6 +272,7 @@ def page_cells(members: DataFrame, packed: DataFrame) -> DataFrame:
         return F.when(~is_header, F.col(name)).alias(name)
 
     return cells.select(
+        *run_cols,
         "group_name",
         "page_n",
         (F.col("skip") + F.col("pos") + 1).cast("int").alias("row_n"),
@@ -302,6 +294,13 @@ def page_overflow(cells: DataFrame, max_rows: int = PAGE_ROWS) -> DataFrame:
     return cells.filter(F.col("row_n") > max_rows)
 
 
+def groups_without_pages(carts: DataFrame, packed: DataFrame, run_cols: Sequence[str] = ()) -> DataFrame:
+    """Groups left without any member; they have no page."""
+    group = [*run_cols, "group_name"]
+    groups = carts.select(*group).distinct()
+    return join_on_keys(groups, packed.select(*group).distinct(), group, "left_anti")
+
+
 def require_no_overflow(cells: DataFrame, max_rows: int = PAGE_ROWS) -> DataFrame:
     bad = page_overflow(cells, max_rows).select("group_name", "page_n", "column_n").limit(5).collect()
     if bad:
@@ -309,13 +308,14 @@ def require_no_overflow(cells: DataFrame, max_rows: int = PAGE_ROWS) -> DataFram
     return cells
 
 
-def blank_cells(packed: DataFrame, max_rows: int = PAGE_ROWS) -> DataFrame:
+def blank_cells(packed: DataFrame, max_rows: int = PAGE_ROWS, run_cols: Sequence[str] = ()) -> DataFrame:
     """The empty rest of both columns of every page, so each page has all its rows twice.
 
     Worked out from the placements: one small row per member instead of the cells.
     """
     end = F.col("rows_ahead") + F.col("n") + F.col("has_header").cast("int")
-    used = packed.groupBy("group_name", "page_n").agg(
+    page = [*run_cols, "group_name", "page_n"]
+    used = packed.groupBy(*page).agg(
         F.coalesce(F.max(F.when(F.col("column_n") == 1, end)), F.lit(0)).alias("used1"),
         F.coalesce(F.max(F.when(F.col("column_n") == 2, end)), F.lit(0)).alias("used2"),
     )
@@ -325,21 +325,21 @@ def blank_cells(packed: DataFrame, max_rows: int = PAGE_ROWS) -> DataFrame:
         rows = F.coalesce(below, F.array().cast("array<int>"))
         return F.transform(rows, lambda r: F.struct(F.lit(column).alias("column_n"), r.alias("row_n")))
 
-    spots = used.select(
-        "group_name", "page_n", F.explode(F.concat(rest(1, "used1"), rest(2, "used2"))).alias("spot")
-    )
-    return spots.select("group_name", "page_n", "spot.row_n", "spot.column_n")
+    spots = used.select(*page, F.explode(F.concat(rest(1, "used1"), rest(2, "used2"))).alias("spot"))
+    return spots.select(*page, "spot.row_n", "spot.column_n")
 
 
-def page_grid(cells: DataFrame, packed: DataFrame, max_rows: int = PAGE_ROWS) -> DataFrame:
+def page_grid(
+    cells: DataFrame, packed: DataFrame, max_rows: int = PAGE_ROWS, run_cols: Sequence[str] = ()
+) -> DataFrame:
     """Both columns of every page, rows 1 to ``max_rows``; unused cells hold no member."""
     printed = cells.filter(F.col("row_n") <= max_rows)
-    return printed.unionByName(blank_cells(packed, max_rows), allowMissingColumns=True)
+    return printed.unionByName(blank_cells(packed, max_rows, run_cols), allowMissingColumns=True)
 
 
-def two_column_sheet(grid: DataFrame, value: str = "item") -> DataFrame:
+def two_column_sheet(grid: DataFrame, value: str = "item", run_cols: Sequence[str] = ()) -> DataFrame:
     """The columns of a page side by side. Keys are cells, so a group never gathers anywhere."""
-    return grid.groupBy("group_name", "page_n", "row_n").agg(
+    return grid.groupBy(*run_cols, "group_name", "page_n", "row_n").agg(
         F.max(F.when(F.col("column_n") == 1, F.col(value))).alias("item_1"),
         F.max(F.when(F.col("column_n") == 2, F.col(value))).alias("item_2"),
     )
@@ -349,12 +349,13 @@ def page_subset(sheet: DataFrame, group_name: str, page_n: int) -> DataFrame:
     return sheet.filter((F.col("group_name") == group_name) & (F.col("page_n") == page_n))
 
 
-def sheet_rows(sheet: DataFrame, max_rows: int = PAGE_ROWS) -> DataFrame:
-    """Adds ``sheet_row``: the row on one long sheet with all pages below each other."""
-    pages = sheet.groupBy("group_name").agg(F.max("page_n").alias("last_page"), F.min("page_n").alias("first_page"))
+def sheet_rows(sheet: DataFrame, max_rows: int = PAGE_ROWS, run_cols: Sequence[str] = ()) -> DataFrame:
+    """Adds ``sheet_row``: the row on one long sheet per run with all pages below each other."""
+    group = [*run_cols, "group_name"]
+    pages = sheet.groupBy(*group).agg(F.max("page_n").alias("last_page"), F.min("page_n").alias("first_page"))
     pages = pages.withColumn("n_pages", F.col("last_page") - F.col("first_page") + 1).withColumn("all", F.lit(1))
-    before = running_offsets(pages, ["all"], [F.col("group_name").asc_nulls_last()], "n_pages")
-    numbered = join_on_keys(sheet, before.select("group_name", "first_page", "before"), ["group_name"])
+    before = running_offsets(pages, [*run_cols, "all"], [F.col("group_name").asc_nulls_last()], "n_pages")
+    numbered = join_on_keys(sheet, before.select(*group, "first_page", "before"), group)
     page_seq = F.col("before") + F.col("page_n") - F.col("first_page")
     return numbered.withColumn("sheet_row", page_seq * max_rows + F.col("row_n")).drop("before", "first_page")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,11 +34,12 @@ def order_lines(carts: DataFrame) -> DataFrame:
     return exploded(carts)
 
 
-def group_rows(carts: DataFrame) -> DataFrame:
+def group_rows(carts: DataFrame, run_cols: Sequence[str] = ()) -> DataFrame:
     """One header row per group: rank -1, id 0, names '0'."""
-    groups = carts.select("group_name").distinct()
+    groups = carts.select(*run_cols, "group_name").distinct()
     none = F.lit(None).cast("string")
     return groups.select(
+        *run_cols,
         "group_name",
         F.lit("0").alias("firstname"),
         F.lit("0").alias("lastname"),
@@ -59,10 +62,10 @@ def member_rows(carts: DataFrame) -> DataFrame:
     return exploded(carts.withColumn("cart", rows))
 
 
-def long_lines(carts: DataFrame) -> DataFrame:
+def long_lines(carts: DataFrame, run_cols: Sequence[str] = ()) -> DataFrame:
     """All rows of the long model. The carts are read once for the members and once,
     reduced to the group name, for the headers."""
-    return member_rows(carts).unionByName(group_rows(carts))
+    return member_rows(carts).unionByName(group_rows(carts, run_cols))
 
 
 def in_print_order(lines: DataFrame) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -86,12 +90,18 @@ def shares_by_short_name(shares: DataFrame) -> DataFrame:
 
 
 def member_carts(members: DataFrame, quantity_only_numeric: bool = False) -> DataFrame:
-    """Adds name_long, cart and the first pickup slot (time_descr, description, time)."""
+    """Adds name_long, cart and the first pickup slot (time_descr, description, time).
+
+    Columns besides the five of an order (week, site, ...) are carried along.
+    """
     slot = F.col("slot")
+    known = {"group_name", "firstname", "lastname", "id", "order"}
+    carried = [c for c in members.columns if c not in known]
     return (
         members.withColumn("cart", parse_cart("order", quantity_only_numeric))
         .withColumn("slot", first_slot(F.col("cart")))
         .select(
+            *carried,
             "group_name",
             "firstname",
             "lastname",
@@ -105,20 +115,20 @@ def member_carts(members: DataFrame, quantity_only_numeric: bool = False) -> Dat
     )
 
 
-def member_counts(members: DataFrame, name: str) -> DataFrame:
+def member_counts(members: DataFrame, name: str, run_cols: Sequence[str] = ()) -> DataFrame:
     """Distinct members per group; members without a name count too."""
-    return members.groupBy("group_name").agg(
+    return members.groupBy(*run_cols, "group_name").agg(
         F.countDistinct(F.struct("firstname", "lastname")).alias(name)
     )
 
 
-def reconciliation(start: DataFrame, end: DataFrame) -> DataFrame:
+def reconciliation(start: DataFrame, end: DataFrame, run_cols: Sequence[str] = ()) -> DataFrame:
     """Start and end counts side by side; a group missing on one side has no difference."""
     left, right = start.alias("s"), end.alias("e")
-    return left.join(
-        right, F.col("s.group_name").eqNullSafe(F.col("e.group_name")), "full"
-    ).select(
-        F.coalesce("s.group_name", "e.group_name").alias("group_name"),
+    keys = [*run_cols, "group_name"]
+    same = reduce(and_, [F.col(f"s.{k}").eqNullSafe(F.col(f"e.{k}")) for k in keys])
+    return left.join(right, same, "full").select(
+        *[F.coalesce(f"s.{k}", f"e.{k}").alias(k) for k in keys],
         "n_start",
         "n_end",
         (F.col("n_end") - F.col("n_start")).alias("difference"),

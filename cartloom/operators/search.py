@@ -53,7 +53,7 @@ def cart_search(
 
 
 def member_picklist(carts: DataFrame, shares: DataFrame, food_groups: Sequence[str]) -> DataFrame:
-    return food_group_scope(carts, shares, food_groups).select("name_long").distinct()
+    return food_group_scope(carts, shares, food_groups).select("name_long").distinct().orderBy("name_long")
 
 
 def item_picklist(carts: DataFrame, shares: DataFrame, food_groups: Sequence[str]) -> DataFrame:
@@ -63,6 +63,7 @@ def item_picklist(carts: DataFrame, shares: DataFrame, food_groups: Sequence[str
         .filter(F.col("line.rank") == 3)
         .select("line.item_original", "line.item")
         .distinct()
+        .orderBy(F.col("item").asc_nulls_last(), "item_original")
     )
 
 

@@ -10,6 +10,8 @@ one small row per (group, chunk).
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,20 +21,10 @@ from cartloom.plans.pinning import pin_table
 CHUNK_BITS = 33
 
 
-def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    """Equality on ``keys`` where a missing key equals a missing key."""
-    cond = F.lit(True)
-    for key in keys:
-        cond = cond & left[key].eqNullSafe(right[key])
-    return cond
-
-
 def join_on_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Join with :func:`same_keys`, keeping the key columns of the left side."""
+    """Join where a missing key equals a missing key; keeps the key columns of the left side."""
     renamed = right.withColumnsRenamed({k: f"__{k}" for k in keys})
-    cond = F.lit(True)
-    for key in keys:
-        cond = cond & left[key].eqNullSafe(renamed[f"__{key}"])
+    cond = reduce(and_, [left[k].eqNullSafe(renamed[f"__{k}"]) for k in keys])
     return left.join(renamed, cond, how).drop(*[f"__{k}" for k in keys])
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -61,8 +62,8 @@ def final_members(
     return pin_table(P.printable_rows(short, gone))
 
 
-def packed_pages(members: DataFrame, max_rows: int = PAGE_ROWS) -> DataFrame:
-    return pin_table(P.pack_pages(P.rows_per_member(members), max_rows=max_rows))
+def packed_pages(members: DataFrame, max_rows: int = PAGE_ROWS, run_cols: Sequence[str] = ()) -> DataFrame:
+    return pin_table(P.pack_pages(P.rows_per_member(members, run_cols), max_rows, run_cols))
 
 
 def symbol_table(lines: DataFrame, rules: DataFrame) -> DataFrame:
@@ -83,8 +84,18 @@ class WeeklySheet:
     plants: DataFrame
 
 
-def weekly_sheet(orders: DataFrame, settings: Settings, run: dict, max_rows: int = PAGE_ROWS) -> WeeklySheet:
-    """Validate, parse, collapse, delete, pack, label and style one or more runs."""
+def weekly_sheet(
+    orders: DataFrame,
+    settings: Settings,
+    run: dict,
+    max_rows: int = PAGE_ROWS,
+    run_cols: Sequence[str] = (),
+) -> WeeklySheet:
+    """Validate, parse, collapse, delete, pack, label and style.
+
+    Several runs go through as one job when ``run_cols`` (week, site, ...) tell them apart
+    and ``run`` names columns made of these. Ids must be unique over all runs.
+    """
     S.require_no_conflict(settings.std_members, settings.std_items)
     cleaned = M.normalise_home_delivery(orders)
     M.require_known_groups(cleaned, settings.shares)
@@ -92,20 +103,17 @@ def weekly_sheet(orders: DataFrame, settings: Settings, run: dict, max_rows: int
     group_std = group_standards(carts, settings)
     collapsed = S.apply_standards(carts, settings.std_members, group_std)
     members = final_members(carts, settings)
-    packed = packed_pages(members, max_rows)
-    cells = pin_table(P.page_cells(members, packed))
+    packed = packed_pages(members, max_rows, run_cols)
+    cells = pin_table(P.page_cells(members, packed, run_cols))
     P.require_no_overflow(cells, max_rows)
     symbols = symbol_table(cells, settings.label_rules)
     labelled = L.with_run_suffix(L.labelled(cells, symbols), run)
-    grid = P.page_grid(labelled, packed, max_rows)
-    lines = each_line(collapsed, F.col("cart"), "group_name", "lastname", "firstname")
+    grid = P.page_grid(labelled, packed, max_rows, run_cols)
+    lines = each_line(collapsed, F.col("cart"), *run_cols, "group_name", "lastname", "firstname")
+    count = [M.member_counts(df, name, run_cols) for df, name in ((carts, "n_start"), (members, "n_end"))]
     return WeeklySheet(
-        sheet=P.sheet_rows(P.two_column_sheet(grid, "label"), max_rows),
+        sheet=P.sheet_rows(P.two_column_sheet(grid, "label", run_cols), max_rows, run_cols),
         styles=L.cell_styles(cells, settings.shares, format_table(cells, settings.format_rules)),
-        reconciliation=M.reconciliation(
-            M.member_counts(carts, "n_start"), M.member_counts(members, "n_end")
-        ),
-        plants=D.plant_extract(
-            lines.select("group_name", "lastname", "firstname", "line.item", "line.quantity")
-        ),
+        reconciliation=M.reconciliation(*count, run_cols),
+        plants=D.plant_extract(lines.select("*", "line.*"), run_cols),
     )

@@ -128,7 +128,7 @@ def test_runs_are_packed_apart(spark):
     both = df.withColumn("week", F.lit(1)).unionByName(
         df.withColumns({"week": F.lit(2), "id": F.col("id") + 1000})
     )
-    got = P.pack_pages(both, ["week", "group_name"], ["week"], 8).collect()
+    got = P.pack_pages(both, 8, ["week"]).collect()
     want = expected(rows, 7)
     assert len(got) == 40
     for r in got:

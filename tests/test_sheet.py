@@ -212,6 +212,30 @@ def test_weekly_sheet(spark):
         weekly.weekly_sheet(df, weekly_settings(spark), run, max_rows=3)
 
 
+def test_several_runs_in_one_job(spark):
+    rows = [("Shop", "Ann", "Bell", "1 Full, 1x1 Egg", 1), ("Mill", "Di", "Eck", "1 Half, 2x1 Pot Plant - Mint", 2)]
+    week1 = spark.createDataFrame(rows, MEMBERS).withColumn("week", F.lit(1))
+    week2 = spark.createDataFrame([(*r[:4], r[4] + 10) for r in rows], MEMBERS).withColumn("week", F.lit(2))
+    run = {"season": "A", "week": F.col("week"), "date": "2022"}
+    out = weekly.weekly_sheet(week1.unionByName(week2), weekly_settings(spark), run, 6, ["week"])
+    sheet = out.sheet.orderBy("week", "sheet_row").collect()
+    assert [(r.week, r.sheet_row) for r in sheet] == [(w, n) for w in (1, 2) for n in range(1, 13)]
+    assert [r.item_1 for r in sheet if r.sheet_row in (1, 7)] == [
+        "Mill (Aw1 - 2022)", "S (Aw1 - 2022)", "Mill (Aw2 - 2022)", "S (Aw2 - 2022)"
+    ]
+    assert {r.week for r in out.styles.collect()} == {1, 2}
+    assert out.reconciliation.count() == 4 and out.plants.select("week").distinct().count() == 2
+
+
+def test_groups_left_without_members(spark):
+    carts_two = carts(spark, ["1 Half"]).unionByName(
+        carts(spark, [ONLY]).withColumns({"group_name": F.lit("Empty"), "id": F.lit(9).cast("long")})
+    )
+    members = P.printable_rows(carts_two, items(spark))
+    packed = P.pack_pages(P.rows_per_member(members))
+    assert [r.group_name for r in P.groups_without_pages(carts_two, packed).collect()] == ["Empty"]
+
+
 def test_deleted_group_name_prints_no_header(spark):
     df = P.printable_rows(carts(spark, ["1 Half"]), items(spark, "Shop"))
     packed = P.pack_pages(P.rows_per_member(df))
