@@ -12,6 +12,7 @@ import os
 import re
 import time
 
+from cartloom.plans.pinning import drop_pinned
 from cartloom.plans.session import local_session
 from cartloom.queries import QUERIES
 
@@ -36,6 +37,7 @@ def main() -> None:
         started = time.perf_counter()
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - started, 3)
+        drop_pinned(spark)
     scale = re.search(r"sf([\d.]+)", sf_dir)
     print(json.dumps({
         "metric": "headline_queries_total",

@@ -237,12 +237,6 @@ CELLS = """
     SELECT group_name, page, col, 1, 0, 1, -1, NULL, group_name, false FROM {walk} WHERE ahead = 0"""
 CTES["cells"] = CELLS.format(walk="walk")
 CTES["short_cells"] = CELLS.format(walk="short_walk")
-CTES["grid"] = """
-    SELECT group_name, page_n, r::INT AS row_n, c::INT AS column_n, x.id, x.n::INT AS n, x.rank, x.quantity, x.item,
-        CASE WHEN bold_item THEN 1 END AS standard_item
-    FROM (SELECT DISTINCT group_name, page AS page_n FROM walk) p
-        CROSS JOIN range(1, 47) r(r) CROSS JOIN (VALUES (1), (2)) v(c)
-        LEFT JOIN cells x USING (group_name, page_n) WHERE false"""
 CTES["grid"] = """
     SELECT s.group_name, s.page_n, s.r::INT AS row_n, s.c::INT AS column_n, x.id, x.n::INT AS n, x.rank,
         x.quantity, x.item, CASE WHEN bold_item THEN 1 END AS standard_item
@@ -266,8 +260,7 @@ CTES["symbols"] = f"""
 LABEL = """CASE WHEN coalesce(quantity, '') > '1' THEN '+' ELSE '' END || coalesce(symbol_text, '')
         || CASE WHEN coalesce(quantity, '') = '' THEN coalesce(item, '') ELSE quantity || 'x' || coalesce(item, '') END"""
 CTES["formats"] = f"""
-    SELECT item, arg_max(format_name, row_num) AS format_any,
-        max(row_num) AS row_num FROM (SELECT DISTINCT item FROM cells WHERE item IS NOT NULL), format_rules
+    SELECT item, max(row_num) AS row_num FROM (SELECT DISTINCT item FROM cells WHERE item IS NOT NULL), format_rules
     WHERE {MATCHES} AND (format_name IS NOT NULL OR color_name IS NOT NULL) GROUP BY item"""
 CTES["winning"] = """
     SELECT f.item, r.format_name, r.color_name FROM formats f JOIN format_rules r USING (row_num)"""
@@ -289,7 +282,7 @@ RECURSIVE = {"walk", "short_walk"}
 
 FINAL = {
     "picks_per_slot": """
-    SELECT group_name, description, time, item, count(*) AS n_lines,
+    SELECT group_name, description, time, lines.item, count(*) AS n_lines,
         sum(TRY_CAST(quantity AS DECIMAL(10,2)))::DOUBLE AS total_qty
     FROM lines LEFT JOIN slots USING (id) WHERE rank = 3 GROUP BY ALL""".replace("item, count", "lines.item, count"),
     "order_lines": "SELECT id, group_name, name_long, seq, quantity, item, item_original, rank FROM lines",
@@ -322,9 +315,9 @@ FINAL = {
     FULL JOIN (SELECT group_name, count(*) AS n_end FROM (
           SELECT DISTINCT group_name, firstname, lastname FROM kept WHERE rank >= 0) GROUP BY group_name) e
         ON s.group_name = e.group_name""",
-    "pickup_calendar": "SELECT date, date_all, week, season FROM pickup_days",
+    "pickup_calendar": "SELECT date::VARCHAR AS date, date_all::VARCHAR AS date_all, week, season FROM pickup_days",
     "calendar_gaps": """
-    SELECT CAST(d AS DATE) AS all_dates FROM (
+    SELECT CAST(CAST(d AS DATE) AS VARCHAR) AS all_dates FROM (
         SELECT unnest(generate_series(min(date_all), max(date_all), INTERVAL 1 DAY)) AS d FROM pickup_days)
     WHERE CAST(d AS DATE) NOT IN (SELECT date_all FROM pickup_days)""",
     "pickup_histogram": """

@@ -22,14 +22,24 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+def _pin_folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/cartloom-{spark.sparkContext.applicationId}"
+
+
 def pin_table(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back."""
+    """Write ``df`` once to the application's folder in the shared folder and read it back."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/pinned-{uuid.uuid4().hex}"
+    path = f"{_pin_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_pinned(spark: SparkSession) -> None:
+    """Delete the tables this application pinned, once their results are written elsewhere."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_pin_folder(spark))
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def pin_settings(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
     """Pin a settings-sized result.
 

@@ -231,11 +231,12 @@ def reconciliation(spark, sf):
 
 
 def pickup_calendar(spark, sf):
-    return U.pickup_calendar(A.rotation(spark, sf))
+    calendar = U.pickup_calendar(A.rotation(spark, sf))
+    return calendar.withColumns({c: F.col(c).cast("string") for c in ("date", "date_all")})
 
 
 def calendar_gaps(spark, sf):
-    return U.calendar_gaps(A.rotation(spark, sf))
+    return U.calendar_gaps(A.rotation(spark, sf)).select(F.col("all_dates").cast("string").alias("all_dates"))
 
 
 def pickup_histogram(spark, sf):

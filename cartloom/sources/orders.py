@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartloom.functions.fixed_values import ORDER_HEADER
 from cartloom.functions.text import trim_blanks
+from cartloom.plans.ordering import running_offsets
 
 RENAMES = {"pickup.site": "group_name", "first.name": "firstname", "last.name": "lastname"}
 FILE_COLUMNS = ["source_file", "source_block", "source_row"]
@@ -63,22 +64,13 @@ def with_row_id(df: DataFrame) -> DataFrame:
     """
     block = ["source_file", "source_block"]
     blocks = df.groupBy(*block).agg(F.count("*").alias("rows"), F.min("source_row").alias("first_row"))
-    per_file = blocks.groupBy("source_file").agg(F.sum("rows").alias("file_rows"))
-    # one row per file, then one row per block of a file
-    ahead = Window.orderBy("source_file").rowsBetween(Window.unboundedPreceding, -1)
-    files = per_file.select(
-        "source_file", F.coalesce(F.sum("file_rows").over(ahead), F.lit(0)).alias("file_before")
-    )
-    inside = Window.partitionBy("source_file").orderBy("source_block")
-    offsets = blocks.join(files, "source_file").select(
-        *block,
-        "first_row",
-        (F.col("file_before") + F.sum("rows").over(inside) - F.col("rows")).alias("rows_before"),
-    )
+    placed = running_offsets(
+        blocks.withColumn("all", F.lit(1)), ["all"], [F.col(c).asc() for c in block], "rows"
+    ).select(*block, "first_row", "before")
     return (
-        df.join(offsets, block)
-        .withColumn("id", F.col("rows_before") + F.col("source_row") - F.col("first_row") + 1)
-        .drop(*FILE_COLUMNS, "first_row", "rows_before")
+        df.join(placed, block)
+        .withColumn("id", F.col("before") + F.col("source_row") - F.col("first_row") + 1)
+        .drop(*FILE_COLUMNS, "first_row", "before")
     )
 
 
