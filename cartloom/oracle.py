@@ -284,7 +284,7 @@ FINAL = {
     "picks_per_slot": """
     SELECT group_name, description, time, lines.item, count(*) AS n_lines,
         sum(TRY_CAST(quantity AS DECIMAL(10,2)))::DOUBLE AS total_qty
-    FROM lines LEFT JOIN slots USING (id) WHERE rank = 3 GROUP BY ALL""".replace("item, count", "lines.item, count"),
+    FROM lines LEFT JOIN slots USING (id) WHERE rank = 3 GROUP BY ALL""",
     "order_lines": "SELECT id, group_name, name_long, seq, quantity, item, item_original, rank FROM lines",
     "legacy_line_numbers": """
     SELECT group_name AS pickup_site, firstname AS first_name, lastname AS last_name, id, piece AS order_token,
