@@ -14,9 +14,11 @@ most the number of members one page can hold. The job is then
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,6 +30,9 @@ from cartloom.operators.lines import each_line, exploded
 from cartloom.operators.standards import listed
 from cartloom.plans.ordering import join_on_keys, ordered_slots, running_offsets
 
+# workers get the packing functions themselves, so executors need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 MAX_LITERAL_ITEMS = 10_000
 EMPTY_PAGE = (0, 0, 0, 0)  # rows of column 1 and 2, members of column 1 and 2
 

@@ -1,11 +1,14 @@
 """Two-column packing against a plain loop, on its own and over many chunks."""
 
 import random
+import subprocess
+import sys
 from itertools import groupby
 
 from hypothesis import given
 from hypothesis import settings as hyp_settings
 from hypothesis import strategies as st
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from cartloom.operators import layout as P
@@ -62,6 +65,14 @@ def test_chunk_sums_chain_to_the_loop(sizes, cap, cuts):
     assert chained(sizes, cap, edges) == stepped(sizes, cap)
 
 
+def test_workers_need_no_copy_of_the_package(tmp_path):
+    code = "import pickle, sys; f = pickle.load(sys.stdin.buffer); print(f([3, 3, 3], 5), 'cartloom' in sys.modules)"
+    out = subprocess.run(
+        [sys.executable, "-c", code], input=cloudpickle.dumps(_chunk_sums), cwd=tmp_path, capture_output=True, check=True
+    )
+    assert out.stdout.decode().strip() == f"{_chunk_sums([3, 3, 3], 5)} False"
+
+
 def members(spark, groups, longest):
     rng = random.Random(7)
     rows, next_id = [], 1
