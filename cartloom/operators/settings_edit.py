@@ -43,8 +43,8 @@ def renumbered(rules: DataFrame) -> DataFrame:
 
 def add_rule(rules: DataFrame, new_rule: DataFrame) -> DataFrame:
     """Append a rule unless an equal one exists; the earlier copy keeps its place."""
-    last = rules.agg((F.coalesce(F.max("row_num"), F.lit(0)) + 1).alias("row_num"))
-    added = new_rule.join(last, F.lit(True))
+    last = rules.agg(F.max("row_num")).first()[0] or 0
+    added = new_rule.withColumn("row_num", F.lit(last + 1))
     content = [c for c in rules.columns if c != "row_num"]
     merged = rules.unionByName(added).groupBy(*content).agg(F.min("row_num").alias("row_num"))
     return renumbered(merged)

@@ -133,7 +133,12 @@ def matched_carts(carts: DataFrame, group_std: DataFrame, extras: str = "last_li
 
 def with_keep_flag(matched: DataFrame, std_members: DataFrame) -> DataFrame:
     """``keep`` is False only for a full match that is a standard member marked for removal."""
-    named = std_members.filter(F.col("name_long").isNotNull()).select("name_long", "keep_remove")
+    # a member who is the standard of several food groups stays one row
+    named = (
+        std_members.filter(F.col("name_long").isNotNull())
+        .groupBy("name_long")
+        .agg(F.max(F.coalesce("keep_remove", F.lit(True))).alias("keep_remove"))
+    )
     return (
         matched.join(named, "name_long", "left")
         .withColumn(

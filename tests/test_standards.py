@@ -89,6 +89,13 @@ def test_member_as_standard_and_removal(spark):
     assert summary[0] == ("Shop", "L1, F [1]", False, False) and len(summary) == 4
 
 
+def test_member_of_two_food_groups_stays_one_row(spark):
+    df = carts(spark)
+    named, _, std = group_std(spark, df, [("A", "L1, F [1]", True), ("H", "L1, F [1]", False)], NONE)
+    assert S.apply_standards(df, named, std).count() == df.count()
+    assert (1, True) in {tuple(r) for r in S.standard_full_match(df, named, std).collect()}
+
+
 def test_standard_member_without_order_matches_missing_orders(spark):
     df = carts(spark)
     named, _, std = group_std(spark, df, [("A", "L8, F [8]", True)], NONE)
