@@ -7,8 +7,8 @@ document has one name. Two documents get the same (level, name) only if all thei
 blocks are equal: names compare contents, not digests.
 
 Moving block texts twice would double the traffic. Blocks are therefore grouped by
-a 64-bit hash that only routes: each hash keeps its smallest and its largest block,
-and where these differ, blocks of that hash are numbered by content instead. All
+a 64-bit hash that only routes: each hash keeps the set of its blocks, and where that
+has more than one, blocks of that hash are numbered by content instead. All
 grouping is by partial aggregation and the joins back put one row per name against
 the rows, so a block, pair or text that a third of all rows hold stays spread out.
 
@@ -54,9 +54,13 @@ def _join(left: DataFrame, right: DataFrame, keys: tuple[str, ...], how: str) ->
     return left.join(renamed, cond, how).drop(*[f"__{k}" for k in keys])
 
 
+def _by_order(distinct: DataFrame, *order: str) -> DataFrame:
+    return distinct.sortWithinPartitions(*order).withColumn("name", F.monotonically_increasing_id())
+
+
 def _numbered(distinct: DataFrame, *order: str) -> DataFrame:
     """Sorted inside each partition and numbered; written once, so numbers never change."""
-    return pin_table(distinct.sortWithinPartitions(*order).withColumn("name", F.monotonically_increasing_id()))
+    return pin_table(_by_order(distinct, *order))
 
 
 def blocks_of(docs: DataFrame, block_chars: int, hash_bits: int) -> DataFrame:
@@ -76,8 +80,10 @@ def blocks_of(docs: DataFrame, block_chars: int, hash_bits: int) -> DataFrame:
 def _name_blocks(docs: DataFrame, block_chars: int, hash_bits: int) -> DataFrame:
     """One row per document and block with the block's name."""
     blocks = blocks_of(docs, block_chars, hash_bits)
-    ends = blocks.groupBy("route").agg(F.min("block").alias("low"), F.max("block").alias("high"))
-    named = _numbered(ends, "low").select("route", "name", (F.col("low") != F.col("high")).alias("shared"))
+    # one block a hash but for chance, so the sets are as good as single blocks
+    met = blocks.groupBy("route").agg(F.collect_set("block").alias("blocks"))
+    found = met.select("route", F.array_min("blocks").alias("low"), (F.size("blocks") > 1).alias("shared"))
+    named = pin_table(_by_order(found, "low").drop("low"))
     refs = blocks.select(*KEY, "pos", "route").groupBy(*KEY, "pos").agg(F.max("route").alias("route"))
     plain = refs.join(named.filter(~F.col("shared")), "route").select(*KEY, "pos", "name")
     clashing = named.filter("shared").select("route")
