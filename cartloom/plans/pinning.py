@@ -26,11 +26,12 @@ def _pin_folder(spark: SparkSession) -> str:
     return f"{shared_dir(spark).rstrip('/')}/cartloom-{spark.sparkContext.applicationId}"
 
 
-def pin_table(df: DataFrame) -> DataFrame:
+def pin_table(df: DataFrame, compression: str | None = None) -> DataFrame:
     """Write ``df`` once to the application's folder in the shared folder and read it back."""
     spark = df.sparkSession
     path = f"{_pin_folder(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    writer = df.write if compression is None else df.write.option("compression", compression)
+    writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
