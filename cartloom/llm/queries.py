@@ -93,9 +93,8 @@ def op7_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    marked = labels(spark, sf_dir).select(F.col("doc_id").alias("l_id"), F.col("toxic").alias("l_toxic"))
-    rows = docs.filter(~held_out()).join(marked, F.col("doc_id") == F.col("l_id")).select("text", "l_toxic")
-    model = toxicity.train(rows, F.col("l_toxic"))
+    marked = labels(spark, sf_dir).filter(~held_out()).select("doc_id", F.col("toxic").alias("label"))
+    model = toxicity.train(docs, marked)
     scored = toxicity.score_toxicity(docs, model)
     return scored.select(
         "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "worst"

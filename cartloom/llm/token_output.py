@@ -92,7 +92,7 @@ def tokenize(docs: DataFrame, vocabulary: str, end_id: int | None) -> DataFrame:
                 )
 
     chosen = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return pin_table(chosen.mapInArrow(run, IDS_SCHEMA))
+    return pin_table(chosen.mapInArrow(run, IDS_SCHEMA), compression="zstd")
 
 
 def id_width(vocabulary: str) -> tuple[np.dtype, int]:

@@ -31,7 +31,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartloom.llm.common import parts, worker_state
@@ -105,20 +105,26 @@ def features(d: np.ndarray) -> list[float]:
     return [*top.tolist(), float(np.log1p(len(d))), *rates]
 
 
-def _sampled(labelled: DataFrame, label: Column) -> list[tuple[bytes, int, int]]:
-    """``(text, label, half)`` of at most about ``SAMPLE_DOCS`` texts of each class."""
-    rows = labelled.select(F.col("text").cast("string").alias("text"), label.cast("int").alias("label"), F.xxhash64("text").alias("place"))
-    rows = rows.filter("text is not null and label in (0, 1)")
+def _sampled(docs: DataFrame, labels: DataFrame) -> list[tuple[bytes, int, int]]:
+    """``(text, label, half)`` of at most about ``SAMPLE_DOCS`` texts of each class; equal texts count once.
+
+    The sample is drawn from the labels, so only the chosen texts are fetched.
+    """
+    import xxhash
+
+    rows = labels.select(F.col("doc_id").cast("long").alias("l_id"), F.col("label").cast("int").alias("label"))
+    rows = rows.filter("l_id is not null and label in (0, 1)").distinct()
     counts = {r.label: r.n for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    width = float(1 << 63)
     chance = F.lit(0.0)
     for value, n in counts.items():
         chance = F.when(F.col("label") == value, F.lit(min(1.0, SAMPLE_DOCS / n))).otherwise(chance)
-    # equal texts count once
-    chosen = rows.filter(F.abs(F.shiftright("place", 1)).cast("double") * 2 < chance * width).dropDuplicates(["place", "label"])
-    found = chosen.select("text", "label", (F.col("place") % 2 == 0).cast("int").alias("half"), "place").collect()
-    found.sort(key=lambda r: (r.place, r.label))
-    return [(r.text.encode("utf-8", "replace"), r.label, r.half) for r in found]
+    place = F.shiftrightunsigned(F.xxhash64("l_id"), 11).cast("double") / float(1 << 53)
+    # some 2 * SAMPLE_DOCS ids, whatever the tables hold
+    chosen = F.broadcast(rows.filter(place < chance))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    found = texts.filter("text is not null").join(chosen, F.col("doc_id") == F.col("l_id")).select("text", "label").collect()
+    once = {(xxhash.xxh64_intdigest(t), t, r.label) for r in found for t in [r.text.encode("utf-8", "replace")]}
+    return [(t, label, place >> 1 & 1) for place, t, label in sorted(once)]
 
 
 def _trained(samples: list[bytes], size: int) -> bytes:
@@ -181,8 +187,9 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, n
     return mean, scale, w
 
 
-def train(labelled: DataFrame, label: Column) -> ToxicityModel:
-    rows = _sampled(labelled, label)
+def train(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
+    """Learn from ``labels`` (``doc_id``, ``label`` 0 or 1) and the texts they name in ``docs``."""
+    rows = _sampled(docs, labels)
     toxic_share = float(np.mean([r[1] for r in rows])) if rows else 0.0
     second = [(t, l) for t, l, h in rows if h == 1]
     texts = {value: [t for t, l, h in rows if (l, h) == (value, 0)] for value in (0, 1)}  # noqa: E741
