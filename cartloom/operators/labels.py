@@ -8,11 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartloom.functions.fixed_values import FORMAT_RULES, LABEL_RULES
-from cartloom.functions.rules import text_match, text_match_columns
+from cartloom.functions.rules import text_match_columns
 from cartloom.operators.members import shares_by_short_name
 from cartloom.plans.ordering import join_on_keys
 
-MAX_COMPILED_RULES = 200
+RULES_PER_BATCH = 200
 LABEL_SCHEMA = "match_name string, text_name string, freeform_text string, emoji_name string, row_num int"
 FORMAT_SCHEMA = "match_name string, text_name string, format_name string, color_name string, row_num int"
 
@@ -44,23 +44,16 @@ def format_rules(spark: SparkSession, rules: Sequence[tuple] = FORMAT_RULES) ->
 def _rule_hits(items: DataFrame, rules: DataFrame, payload: list[str]) -> DataFrame:
     """(item, payload...) for every rule an item matches.
 
-    Up to MAX_COMPILED_RULES rules become constant conditions evaluated on the item, with
-    no join at all. A larger table is matched as a join.
+    Rules are gathered in batches of about RULES_PER_BATCH. Each item meets each batch by
+    its number, an equi-join, and is tested against the batch's rules inside the row.
     """
-    known = rules.limit(MAX_COMPILED_RULES + 1).collect()
-    if len(known) > MAX_COMPILED_RULES:
-        matches = text_match_columns(F.col("item"), F.col("match_name"), F.col("text_name"))
-        return items.join(rules, matches).select("item", *payload)
-    types = {f.name: f.dataType for f in rules.schema}
-
-    def hit(rule) -> Column:
-        values = F.struct(*[F.lit(rule[p]).cast(types[p]).alias(p) for p in payload])
-        return F.when(text_match(F.col("item"), rule.match_name, rule.text_name), values)
-
-    if not known:
-        return items.select("item", *[F.lit(None).cast(types[p]).alias(p) for p in payload]).limit(0)
-    hits = F.array_compact(F.array(*[hit(r) for r in known]))
-    return items.select("item", F.explode(hits).alias("hit")).select("item", "hit.*")
+    n_batches = max(1, -(-rules.count() // RULES_PER_BATCH))
+    number = F.pmod(F.xxhash64(*rules.columns), F.lit(n_batches)).cast("int")
+    batches = rules.groupBy(number.alias("batch")).agg(F.collect_list(F.struct(*rules.columns)).alias("rules"))
+    spread = items.select("item", F.explode(F.sequence(F.lit(0), F.lit(n_batches - 1))).alias("batch"))
+    hits = F.filter("rules", lambda r: text_match_columns(F.col("item"), r["match_name"], r["text_name"]))
+    found = spread.join(batches, "batch").select("item", F.explode(hits).alias("hit"))
+    return found.select("item", *[F.col("hit")[c].alias(c) for c in payload])
 
 
 def item_symbols(lines: DataFrame, rules: DataFrame) -> DataFrame:

@@ -337,8 +337,14 @@ def blank_cells(packed: DataFrame, max_rows: int = PAGE_ROWS, run_cols: Sequence
 def page_grid(
     cells: DataFrame, packed: DataFrame, max_rows: int = PAGE_ROWS, run_cols: Sequence[str] = ()
 ) -> DataFrame:
-    """Both columns of every page, rows 1 to ``max_rows``; unused cells hold no member."""
-    printed = cells.filter(F.col("row_n") <= max_rows)
+    """Both columns of every page, rows 1 to ``max_rows``; unused cells hold no member.
+
+    A column longer than a page is an error when the grid is computed: its end would not
+    be printed.
+    """
+    where = F.format_string("column longer than a page: group %s, page %s", "group_name", "page_n")
+    row = F.when(F.col("row_n") > max_rows, F.raise_error(where).cast("int")).otherwise(F.col("row_n"))
+    printed = cells.withColumn("row_n", row.cast(cells.schema["row_n"].dataType))
     return printed.unionByName(blank_cells(packed, max_rows, run_cols), allowMissingColumns=True)
 
 

@@ -81,16 +81,17 @@ def group_standards(std_lines: DataFrame, shares: DataFrame) -> DataFrame:
     (``std_size``), and its standard items (``std_flags``). Missing entries are told by
     ``std_null`` and ``flag_null``. As large as the settings, not the orders.
     """
-    groups = shares_by_short_name(shares).select("group_name", "food_list_group_name")
+    # sites that share a short name are one group, with the standards of all of them
+    groups = shares_by_short_name(shares).select("group_name", "food_list_group_name").distinct()
     token, item = F.col("item_original"), F.col("item")
-    sets = std_lines.groupBy("food_list_group_name").agg(
+    sets = std_lines.join(groups, "food_list_group_name").groupBy("group_name").agg(
         F.sort_array(F.collect_set(token)).alias("std"),
         F.max(token.isNull()).alias("std_null"),
         F.sort_array(F.collect_set(item)).alias("std_flags"),
         F.max(item.isNull()).alias("flag_null"),
     )
     size = F.size("std") + F.col("std_null").cast("int")
-    return sets.join(groups, "food_list_group_name").select(
+    return sets.select(
         "group_name", "std", "std_null", size.alias("std_size"), "std_flags", "flag_null"
     )
 
@@ -212,6 +213,7 @@ def standard_summary(carts: DataFrame, std_members: DataFrame, group_std: DataFr
             F.col("keep").alias("in_printout"),
             F.col("with_extras").alias("extra_items"),
         )
+        .distinct()
     )
 
 

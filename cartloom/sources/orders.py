@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cartloom.functions.fixed_values import ORDER_HEADER
 from cartloom.functions.text import trim_blanks
 from cartloom.plans.ordering import running_offsets
+from cartloom.plans.pinning import pin_table
 
 RENAMES = {"pickup.site": "group_name", "first.name": "firstname", "last.name": "lastname"}
 FILE_COLUMNS = ["source_file", "source_block", "source_row"]
@@ -25,7 +26,10 @@ def check_header(df: DataFrame) -> DataFrame:
 
 
 def read_member_orders(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    """Scan order CSVs. Files stay splittable unless fields hold line ends (``multi_line``)."""
+    """Scan order CSVs. Files stay splittable unless fields hold line ends (``multi_line``).
+
+    The first file's header is checked here, every other file's when it is read.
+    """
     reader = (
         spark.read.option("header", True)
         .option("quote", '"')
@@ -34,18 +38,18 @@ def read_member_orders(spark: SparkSession, path: str, multi_line: bool = False)
         .option("ignoreLeadingWhiteSpace", True)
         .option("ignoreTrailingWhiteSpace", True)
     )
-    raw = reader.csv(path)
+    check_header(reader.csv(path))
+    schema = ", ".join(f"`{c}` string" for c in ORDER_HEADER)
+    raw = reader.option("enforceSchema", False).schema(schema).csv(path)
     cleaned = [
         F.when(~trim_blanks(F.col(f"`{c}`")).isin("", "NA"), trim_blanks(F.col(f"`{c}`"))).alias(c)
         for c in raw.columns
     ]
-    return check_header(
-        raw.select(
-            *cleaned,
-            F.col("_metadata.file_path").alias("source_file"),
-            F.col("_metadata.file_block_start").alias("source_block"),
-            F.monotonically_increasing_id().alias("source_row"),
-        )
+    return raw.select(
+        *cleaned,
+        F.col("_metadata.file_path").alias("source_file"),
+        F.col("_metadata.file_block_start").alias("source_block"),
+        F.monotonically_increasing_id().alias("source_row"),
     )
 
 
@@ -58,18 +62,23 @@ def normalise_names(df: DataFrame) -> DataFrame:
 def with_row_id(df: DataFrame) -> DataFrame:
     """``id`` = 1, 2, ... in file order (0 is kept for group rows).
 
-    Rows of one file block are contiguous in their partition, so an id is the rows of
-    all earlier blocks plus the distance to the block's first row: one small row per
-    block is summed up, the data itself is never sorted or windowed.
+    The scan is written once: where blocks begin depends on the split size of the moment, so
+    counting blocks in one scan and numbering rows in another could disagree. Rows of one
+    file block are contiguous in their partition, so an id is the rows of all earlier
+    blocks plus the distance to the block's first row: one small row per block is summed
+    up, the data itself is never sorted or windowed.
     """
     block = ["source_file", "source_block"]
+    df = pin_table(df)
     blocks = df.groupBy(*block).agg(F.count("*").alias("rows"), F.min("source_row").alias("first_row"))
     placed = running_offsets(
         blocks.withColumn("all", F.lit(1)), ["all"], [F.col(c).asc() for c in block], "rows"
     ).select(*block, "first_row", "before")
+    number = F.col("before") + F.col("source_row") - F.col("first_row") + 1
+    missing = F.raise_error(F.lit("a row of the scan has no file block")).cast("long")
     return (
-        df.join(placed, block)
-        .withColumn("id", F.col("before") + F.col("source_row") - F.col("first_row") + 1)
+        df.join(placed, block, "left")
+        .withColumn("id", F.when(number.isNull(), missing).otherwise(number))
         .drop(*FILE_COLUMNS, "first_row", "before")
     )
 

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cartloom import queries as q
+from cartloom.operators import deletes as D
 from cartloom.operators import labels as L
 from cartloom.operators import layout as P
 from cartloom.operators import lines as N
@@ -81,10 +82,22 @@ def test_filters_and_columns_reach_the_scan(spark, orders):
     assert "ReadSchema: struct<group_name:string,id:bigint>" in text
 
 
-def test_rules_are_matched_without_a_join(spark, setup):
-    carts, _, _ = setup
-    text = plan(L.item_symbols(N.order_lines(carts), L.label_rules(spark)))
-    assert text.count("Join") == plan(carts).count("Join")
+@pytest.mark.parametrize("n", [3, 5000])
+def test_rules_of_any_number_meet_items_by_an_equi_join(spark, n):
+    rules = [("contains", f"Item{k}x", "A", None) for k in range(n)]
+    lines = spark.createDataFrame([("1 Item2x",), ("other",), (None,)], "item string")
+    found = L.item_symbols(lines, L.label_rules(spark, rules))
+    text = plan(found)
+    assert not any(b in text for b in BAD)
+    assert "HashJoin" in text or "SortMergeJoin" in text
+    assert [(r.item, r.symbol_text) for r in found.collect()] == [("1 Item2x", "A")]
+
+
+def test_rows_without_an_item_do_not_meet_in_one_task(spark):
+    lines = spark.range(2000).select("id", F.when(F.col("id") < 5, F.lit("a")).alias("item"))
+    listed = spark.createDataFrame([("a",)], "item string")
+    kept = D.without_deleted_items(lines, listed, listed.limit(0))
+    assert "__spread" in plan(kept) and kept.count() == 1995
 
 
 def test_pinned_tables_can_be_dropped(spark, tmp_path, monkeypatch):
@@ -93,3 +106,11 @@ def test_pinned_tables_can_be_dropped(spark, tmp_path, monkeypatch):
     assert pinning.pin_table(spark.range(3)).count() == 3 and folder.exists()
     pinning.drop_pinned(spark)
     assert not folder.exists()
+
+
+def test_a_column_longer_than_its_page_is_an_error(spark):
+    cells = spark.createDataFrame([("g", 1, 3, 1)], "group_name string, page_n long, row_n int, column_n int")
+    placed = "group_name string, page_n long, column_n int, rows_ahead int, n int, has_header boolean"
+    packed = spark.createDataFrame([("g", 1, 1, 0, 3, False)], placed)
+    with pytest.raises(Exception, match="longer than a page"):
+        P.page_grid(cells, packed, max_rows=2).collect()

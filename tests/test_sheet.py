@@ -105,7 +105,7 @@ RULES = [
 
 @pytest.mark.parametrize("limit", [200, 2])
 def test_symbols(spark, monkeypatch, limit):
-    monkeypatch.setattr(L, "MAX_COMPILED_RULES", limit)
+    monkeypatch.setattr(L, "RULES_PER_BATCH", limit)
     lines = items(spark, "1 Milk", "1 milk", None, "1 Milk")
     got = {r.item: r.symbol_text for r in L.item_symbols(lines, L.label_rules(spark, RULES)).collect()}
     assert got == {"1 Milk": "AC*C*E"}
@@ -114,7 +114,7 @@ def test_symbols(spark, monkeypatch, limit):
 
 @pytest.mark.parametrize("limit", [200, 1])
 def test_last_format_rule_wins(spark, monkeypatch, limit):
-    monkeypatch.setattr(L, "MAX_COMPILED_RULES", limit)
+    monkeypatch.setattr(L, "RULES_PER_BATCH", limit)
     rules = [("contains", "Milk", "bold", "#111111"), ("ends with", "Milk", "italic", None), ("equal", "1 Milk", None, None)]
     got = L.item_formats(items(spark, "1 Milk", "Milk 1", None), L.format_rules(spark, rules)).collect()
     assert sorted((r.item, r.format_name, r.color_name) for r in got) == [

@@ -40,6 +40,28 @@ def test_ids_follow_files_and_blocks(spark, tmp_path):
     assert got == list(enumerate(want, 1))
 
 
+def test_no_row_is_lost_when_split_sizes_change(spark, tmp_path):
+    path = write(tmp_path / "many.csv", HEADER + "".join(f"S,a{i},L,x\n" for i in range(20_000)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+        df = orders.load_members(spark, path)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "70000")
+        got = df.select("id", "firstname").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert sorted((r.id, r.firstname) for r in got) == [(i + 1, f"a{i}") for i in range(20_000)]
+
+
+def test_every_file_of_a_folder_has_its_header_checked(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    write(folder / "a.csv", HEADER + "S,Ann,Bell,x\n")
+    write(folder / "b.csv", "Last Name,First Name,Pickup Site\nBell,Bo,S\n")
+    with pytest.raises(Exception, match="b.csv|header"):
+        orders.load_members(spark, str(folder)).collect()
+
+
 def test_rejects_other_headers(spark, tmp_path):
     with pytest.raises(ValueError, match="not of the correct format"):
         orders.read_member_orders(spark, write(tmp_path / "n.csv", "Pickup Site,First Name,Last Name\nS,a,b\n"))

@@ -144,3 +144,13 @@ def test_rules_are_added_removed_and_renumbered(spark):
     again = spark.createDataFrame([("equal", "a")], "match_name string, text_name string")
     assert shown(E.add_rule(rules, again)) == shown(rules)
     assert shown(E.remove_rule(rules, 2)) == [(1, "equal", "a"), (2, "equal", "c")]
+
+
+def test_sites_with_one_short_name_do_not_multiply_members(spark):
+    two = spark.createDataFrame([("Long Shop", "Shop", "A"), ("Other Shop", "Shop", "A"), ("Else", None, "H")], SHARES)
+    df = carts(spark)
+    std_members = spark.createDataFrame(NONE, STD_MEMBERS)
+    items = spark.createDataFrame([("A", "1x1 Egg"), ("A", "2x1 Oat")], STD_ITEMS)
+    sets = S.group_standards(S.standard_lines(df, std_members, items), two)
+    matched = S.matched_carts(df, sets)
+    assert matched.count() == df.count() == matched.select("id").distinct().count()
