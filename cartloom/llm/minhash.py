@@ -15,6 +15,9 @@ the full shingle sets. Members that a hub turns down form the next star among
 themselves, until a round confirms nothing. Documents turned down are then tried
 once more in the finer buckets of two bands each.
 
+The joins that move sets and buckets are merge joins at every size, so that small and
+large corpora run the same plan.
+
 Components come from the confirmed pairs by least labels with pointer jumping.
 
 Definitions: without words the set is empty and the document linked with nothing.
@@ -157,12 +160,12 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
 def stars(members: DataFrame) -> DataFrame:
     """``(doc_id, bucket, n)`` rows to distinct ``(doc_id, hub)`` with the bucket's hub."""
     sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n_in")).filter("n_in > 1")
-    crowded = pin_table(members.join(sizes, "bucket"))
+    crowded = pin_table(members.join(sizes.hint("merge"), "bucket"))
     central = crowded.groupBy("doc_id").agg(F.sum("n_in").alias("weight"))
-    ranked = crowded.join(central, "doc_id").select("bucket", "doc_id", "weight")
+    ranked = crowded.join(central.hint("merge"), "doc_id").select("bucket", "doc_id", "weight")
     hubs = ranked.groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("doc_id")).alias("least"))).alias("best"))
     hubs = hubs.select("bucket", (-F.col("best")["least"]).alias("hub"))
-    return pin_table(crowded.join(hubs, "bucket").select("bucket", "doc_id", "hub"))
+    return pin_table(crowded.join(hubs.hint("merge"), "bucket").select("bucket", "doc_id", "hub"))
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -171,7 +174,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     theirs = sets.select(F.col("doc_id").alias("hub"), F.col("shingles").alias("theirs"))
     both = F.size(F.array_intersect("own", "theirs"))
     union = F.size("own") + F.size("theirs") - both
-    joined = pairs.join(own, "doc_id").join(theirs, "hub")
+    joined = pairs.join(own.hint("merge"), "doc_id").join(theirs.hint("merge"), "hub")
     return joined.filter(100 * both >= percent * union).select("doc_id", "hub")
 
 
@@ -237,7 +240,7 @@ def _star_rounds(
         if sets is None:
             # later stars are made of the same documents
             needed = pairs.select("doc_id").union(pairs.select("hub")).distinct()
-            texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(needed, "doc_id", "left_semi")
+            texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(needed.hint("merge"), "doc_id", "left_semi")
             sets = pin_table(_one_set(shingle_sets(texts, width)))
         linked = pin_table(confirmed(pairs, sets, percent))
         tested = _and(tested, pairs)
