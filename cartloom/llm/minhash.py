@@ -271,10 +271,10 @@ def near_duplicates(
         open_ids = refused.select("doc_id").union(refused.select("hub")).distinct().withColumn("open", F.lit(1))
         near = classes.join(first.sets.select(F.col("doc_id").alias("rep")), "rep", "left_semi")
         couples = near.select(F.col("rep").alias("doc_id"), F.explode(_band_pairs(bands)).alias("bucket"))
-        marked = couples.join(open_ids, "doc_id", "left")
+        marked = couples.join(open_ids.hint("merge"), "doc_id", "left")
         wanted = marked.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.max("open").alias("open"))
         wanted = wanted.filter("n > 1 and open = 1").select("bucket")
-        finer = pin_table(couples.join(wanted, "bucket"))
+        finer = pin_table(couples.join(wanted.hint("merge"), "bucket"))
         second = _star_rounds(docs, finer, width, percent, first.tested, first.sets, rounds=FINER_ROUNDS)
         found = _and(found, second.found)
     if found is None:
