@@ -33,7 +33,6 @@ from cartloom.plans.ordering import join_on_keys, ordered_slots, running_offsets
 # workers get the packing functions themselves, so executors need no copy of this package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-MAX_LITERAL_ITEMS = 10_000
 EMPTY_PAGE = (0, 0, 0, 0)  # rows of column 1 and 2, members of column 1 and 2
 
 
@@ -43,8 +42,8 @@ EMPTY_PAGE = (0, 0, 0, 0)  # rows of column 1 and 2, members of column 1 and 2
 def printable_rows(carts: DataFrame, deletes: DataFrame) -> DataFrame:
     """Adds ``rows``: a member's printed rows after all deletes, and ``has_header`` for the group.
 
-    ``deletes`` is a settings table. A list of up to MAX_LITERAL_ITEMS items becomes a
-    constant set tested inside the row; a longer one is joined.
+    Items of rows meet the delete list in a join whose form Spark chooses by size; only the
+    places of rows that it hits are gathered and go back to their members.
     """
     rows = printed_lines(F.col("cart"), F.col("lastname"), F.col("firstname"))
     order_only = F.col("order_only") if "order_only" in carts.columns else is_order_only_member(F.col("cart"))
@@ -64,34 +63,25 @@ def printable_rows(carts: DataFrame, deletes: DataFrame) -> DataFrame:
     named = kept.withColumn("rows", F.transform(rows, flagged)).drop(
         "cart", "order_only", "full", "with_extras", "std_flags", "flag_null"
     )
-    items = deletes.filter(F.col("item").isNotNull()).select("item").distinct()
-    known = [r.item for r in items.limit(MAX_LITERAL_ITEMS + 1).collect()]
-    if len(known) <= MAX_LITERAL_ITEMS:
-
-        def goes(item: Column) -> Column:
-            return F.coalesce(item.isin(known), F.lit(False)) | is_plant(item)
-
-        kept_rows = F.filter("rows", lambda x: ~goes(x["item"]))
-        # the spacer has no item, so every member keeps at least one row
-        out = named.withColumns({"rows": kept_rows, "has_header": ~goes(F.col("group_name"))})
-    else:
-        out = _joined_deletes(named, items)
-    return out.withColumn("n", F.size("rows"))
-
-
-def _joined_deletes(named: DataFrame, items: DataFrame) -> DataFrame:
-    lines = each_line(named, F.col("rows"), "id").withColumn("item", F.col("line.item"))
-    left = lines.join(items, "item", "left_anti").filter(~is_plant(F.col("item")))
-    # a member's rows come from one record, so this list is bounded by the record
-    carts = left.groupBy("id").agg(F.sort_array(F.collect_list("line")).alias("rows"))
-    gone_groups = items.select(F.col("item").alias("group_name"), F.lit(False).alias("listed"))
-    return (
-        named.drop("rows")
-        .join(carts, "id")
-        .join(gone_groups, "group_name", "left")
-        .withColumn("has_header", F.coalesce("listed", F.lit(True)) & ~is_plant(F.col("group_name")))
-        .drop("listed")
+    # a row's place and item; the group's header is place -1, rows without an item match nothing
+    spots = F.concat(
+        F.array(F.struct(F.lit(-1).alias("at"), F.col("group_name").alias("item"))),
+        F.transform("rows", lambda x, i: F.struct(i.alias("at"), x["item"].alias("item"))),
     )
+    spots = F.filter(spots, lambda x: x["item"].isNotNull())
+    items = deletes.filter(F.col("item").isNotNull()).select("item").distinct()
+    hits = each_line(named, spots, "id").select("id", "line.at", "line.item").join(items, "item")
+    # a member's rows come from one record, so these places are bounded by the record
+    gone = hits.groupBy("id").agg(F.collect_set("at").alias("gone"))
+    marked = named.join(gone, "id", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
+
+    def stays(at: Column, item: Column) -> Column:
+        return ~F.array_contains("gone", at) & ~is_plant(item)
+
+    # the spacer has no item, so every member keeps at least one row
+    kept_rows = F.filter("rows", lambda x, i: stays(i, x["item"]))
+    out = marked.withColumns({"rows": kept_rows, "has_header": stays(F.lit(-1), F.col("group_name"))})
+    return out.drop("gone").withColumn("n", F.size("rows"))
 
 
 def rows_per_member(members: DataFrame, run_cols: Sequence[str] = ()) -> DataFrame:

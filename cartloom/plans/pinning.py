@@ -7,8 +7,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-SMALL_ROWS = 20_000
-
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder of the cluster, or a fresh temporary one on a local master."""
@@ -39,16 +37,3 @@ def drop_pinned(spark: SparkSession) -> None:
     """Delete the tables this application pinned, once their results are written elsewhere."""
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_pin_folder(spark))
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
-
-
-def pin_settings(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
-    """Pin a settings-sized result.
-
-    Up to ``max_rows`` rows become a local relation, whose size Spark then knows
-    exactly and broadcasts by itself. A larger result is written as a table, so no
-    row is lost and joins against it shuffle.
-    """
-    head = df.limit(max_rows + 1).toArrow()
-    if head.num_rows <= max_rows:
-        return df.sparkSession.createDataFrame(head, schema=df.schema)
-    return pin_table(df)

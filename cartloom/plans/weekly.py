@@ -15,7 +15,7 @@ from cartloom.operators import layout as P
 from cartloom.operators import members as M
 from cartloom.operators import standards as S
 from cartloom.operators.lines import each_line
-from cartloom.plans.pinning import pin_settings, pin_table
+from cartloom.plans.pinning import pin_table
 
 
 @dataclass
@@ -41,7 +41,7 @@ def cleaned_carts(orders: DataFrame, shares: DataFrame) -> DataFrame:
 def group_standards(carts: DataFrame, settings: Settings) -> DataFrame:
     """Per-group standards, pinned: they are settings from here on."""
     std_lines = S.standard_lines(carts, settings.std_members, settings.std_items)
-    return pin_settings(S.group_standards(std_lines, settings.shares))
+    return pin_table(S.group_standards(std_lines, settings.shares))
 
 
 def final_members(
@@ -53,11 +53,15 @@ def final_members(
 ) -> DataFrame:
     """Members with their printed rows after standards and deletes, as a table.
 
-    The settings are broadcast, so no member is shuffled. The result is written once: the
-    packing reads it for the sizes and the grid for the rows.
+    The result is written once: the packing reads it for the sizes and the grid for the rows.
     """
     group_std = group_standards(carts, settings)
     short = S.apply_standards(carts, settings.std_members, group_std, extras, label, drop_removed)
+    return printed_members(short, settings)
+
+
+def printed_members(short: DataFrame, settings: Settings) -> DataFrame:
+    """Collapsed carts to printed rows, as a table."""
     gone = D.all_deletes(settings.permanent_deletes, settings.temporary_deletes)
     return pin_table(P.printable_rows(short, gone))
 
@@ -67,13 +71,12 @@ def packed_pages(members: DataFrame, max_rows: int = PAGE_ROWS, run_cols: Sequen
 
 
 def symbol_table(lines: DataFrame, rules: DataFrame) -> DataFrame:
-    """Symbols per matching item, pinned, so that lines meet a table of known size. Lines
-    without an item share one join key; broadcasting keeps them where they are."""
-    return pin_settings(L.item_symbols(lines, rules))
+    """Symbols per matching item, pinned, so that lines meet a table of known size."""
+    return pin_table(L.item_symbols(lines, rules))
 
 
 def format_table(cells: DataFrame, rules: DataFrame) -> DataFrame:
-    return pin_settings(L.item_formats(cells, rules))
+    return pin_table(L.item_formats(cells, rules))
 
 
 @dataclass
@@ -102,7 +105,7 @@ def weekly_sheet(
     carts = pin_table(M.member_carts(M.short_group_names(cleaned, settings.shares)))
     group_std = group_standards(carts, settings)
     collapsed = S.apply_standards(carts, settings.std_members, group_std)
-    members = final_members(carts, settings)
+    members = printed_members(collapsed, settings)
     packed = packed_pages(members, max_rows, run_cols)
     cells = pin_table(P.page_cells(members, packed, run_cols))
     P.require_no_overflow(cells, max_rows)

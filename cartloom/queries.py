@@ -18,7 +18,7 @@ from cartloom.operators import settings_edit as E
 from cartloom.operators import standards as S
 from cartloom.plans import weekly as W
 from cartloom.plans.ordering import running_offsets
-from cartloom.plans.pinning import pin_settings, pin_table
+from cartloom.plans.pinning import pin_table
 from cartloom.sources import star as A
 
 SEARCH_GROUPS = ["ASIA", "EUROPE"]
@@ -121,7 +121,7 @@ def settings(spark: SparkSession, sf: str, cart_rows: DataFrame) -> W.Settings:
         shares=A.shares(spark, sf),
         permanent_deletes=permanent_deletes(spark, sf),
         temporary_deletes=temporary_deletes(spark, sf),
-        std_members=pin_settings(region_standard_member(spark, sf, cart_rows)),
+        std_members=pin_table(region_standard_member(spark, sf, cart_rows)),
         std_items=region_standard_items(spark, sf, cart_rows),
         label_rules=L.label_rules(spark, LABEL_EXAMPLES),
         format_rules=L.format_rules(spark, FORMAT_EXAMPLES),
@@ -285,7 +285,7 @@ def standard_containment(spark, sf):
 
 def standard_collapsed(spark, sf):
     short, chosen, rows = collapsed(spark, sf)
-    flags = pin_settings(_flags(rows, chosen))
+    flags = pin_table(_flags(rows, chosen))
     lines = S.flag_standard_items(N.long_lines(short.drop("order_only")), flags)
     return lines.select("group_name", "id", "name_long", "rank", "quantity", "item", "standard_item")
 
@@ -445,7 +445,7 @@ def settings_remove(spark, sf):
 
 
 def standards_upsert(spark, sf):
-    std = pin_settings(region_standard_member(spark, sf, carts(spark, sf)))
+    std = pin_table(region_standard_member(spark, sf, carts(spark, sf)))
     added = E.upsert_standard_member(std, "ASIA", "Someone, New [1]", True)
     return E.clear_standard_member(added, STANDARD_MEMBER_REGION)
 

@@ -59,12 +59,18 @@ def test_member_decisions_do_not_shuffle_members(spark, setup):
         U.first_pickup_slot(carts),
         U.multi_pickup_members(carts),
         short,
-        P.printable_rows(short, chosen.temporary_deletes),
         Q.cart_search(carts, chosen.shares, ["ASIA"], ["red", "gear"]),
     ):
         assert shuffles(df) <= allowed
 
 
+def test_deletes_shuffle_hits_not_cross_joins(spark, setup):
+    carts, chosen, group_std = setup
+    short = S.apply_standards(carts, chosen.std_members, group_std)
+    # beside the settings: the distinct items, and the places per member
+    assert shuffles(P.printable_rows(short, chosen.temporary_deletes)) <= 2 * of_settings(spark) + 6
+
+
 def test_order_text_is_split_once(setup):
     carts, chosen, _ = setup
     for df in (

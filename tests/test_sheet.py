@@ -14,7 +14,7 @@ from cartloom.operators import lines as N
 from cartloom.operators import members as M
 from cartloom.operators import pickup as U
 from cartloom.operators import search as Q
-from cartloom.plans import pinning, weekly
+from cartloom.plans import weekly
 
 MEMBERS = "group_name string, firstname string, lastname string, `order` string, id long"
 SHARES = "group_name string, group_name_short string, food_list_group_name string, highlight_color_hex string"
@@ -57,24 +57,27 @@ def test_delete_pipeline(spark):
     assert {r.item for r in Q.deletable_items(N.member_rows(df)).collect()} == {"1 Egg", "1 Oat", ONLY}
 
 
-def test_constant_and_joined_deletes_agree(spark, monkeypatch):
+@pytest.mark.parametrize("broadcast", ["10MB", "-1"])
+def test_delete_lists_of_any_size_take_one_path(spark, broadcast):
     df = carts(spark)
-    gone = items(spark, "1 Oat", "1 Full", None)
-
-    def shown():
-        out = P.member_lines(P.printable_rows(df, gone))
-        return sorted(map(str, out.select("id", "rank", "seq", "quantity", "item", "n", "has_header").collect()))
-
-    constant = shown()
-    monkeypatch.setattr(P, "MAX_LITERAL_ITEMS", 1)
-    assert shown() == constant and len(constant) == 15
-
-
-def test_small_and_large_settings_agree(spark):
-    df = items(spark, "a", "b", None)
-    small, large = pinning.pin_settings(df), pinning.pin_settings(df, max_rows=1)
-    assert "LocalTableScan" in small._jdf.queryExecution().executedPlan().toString()
-    assert sorted(map(str, small.collect())) == sorted(map(str, large.collect()))
+    gone = items(spark, "1 Oat", "1 Full", "1 Full", None).unionByName(
+        spark.range(20_000).select(F.concat(F.lit("other "), "id").alias("item"))
+    )
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        printed = P.printable_rows(df, gone)
+        got = sorted((r.id, r.item or "") for r in P.member_lines(printed).collect())
+        plan = printed._jdf.queryExecution().executedPlan().toString()
+        sizes = {r.id: (r.n, r.has_header) for r in printed.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    assert got == sorted(
+        [(1, "L1, F"), (1, "1 Egg"), (1, "2 @4 Shop Pickup Time"), (1, ""), (2, "L2, F"), (2, "1 Egg"), (2, ""),
+         (4, "L4, F"), (4, "1 None"), (4, ONLY), (4, "1 Egg"), (4, ""), (5, "L5, F"), (5, ""), (5, "")]
+    )
+    assert sizes == {1: (4, True), 2: (3, True), 4: (5, True), 5: (3, True)}
 
 
 def test_search_needs_every_term(spark):
