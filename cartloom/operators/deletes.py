@@ -9,9 +9,7 @@ from pyspark.sql import functions as F
 
 from cartloom.functions.cart import of_rank
 from cartloom.functions.fixed_values import ORDER_ONLY_ITEMS, POT_PLANT_MARK
-
-#: Rows without an item go to so many parts of a join.
-NULL_SPREAD = 1024
+from cartloom.plans.ordering import join_on_item
 
 
 def is_plant(item: Column, mark: str = POT_PLANT_MARK) -> Column:
@@ -55,11 +53,8 @@ def without_order_only(carts: DataFrame) -> DataFrame:
 
 def without_deleted_items(lines: DataFrame, permanent: DataFrame, temporary: DataFrame) -> DataFrame:
     """Lines minus both lists and the plants; rows without an item (spacers) stay."""
-    # a row without an item matches nothing: such rows are spread, not sent to one task
-    spread = F.when(F.col("item").isNull(), F.pmod(F.xxhash64(*lines.columns), F.lit(NULL_SPREAD))).otherwise(0)
-    gone = all_deletes(permanent, temporary).withColumn("__spread", F.lit(0).cast("long"))
-    kept = lines.withColumn("__spread", spread).join(gone, ["item", "__spread"], "left_anti")
-    return kept.drop("__spread").filter(~is_plant(F.col("item")))
+    kept = join_on_item(lines, all_deletes(permanent, temporary), "left_anti")
+    return kept.filter(~is_plant(F.col("item")))
 
 
 def plant_extract(lines: DataFrame, run_cols: Sequence[str] = ()) -> DataFrame:

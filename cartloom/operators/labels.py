@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cartloom.functions.fixed_values import FORMAT_RULES, LABEL_RULES
 from cartloom.functions.rules import text_match_columns
 from cartloom.operators.members import shares_by_short_name
-from cartloom.plans.ordering import join_on_keys
+from cartloom.plans.ordering import join_on_item, join_on_keys
 
 RULES_PER_BATCH = 200
 LABEL_SCHEMA = "match_name string, text_name string, freeform_text string, emoji_name string, row_num int"
@@ -88,7 +88,7 @@ def item_label(quantity: Column, item: Column, symbol_text: Column) -> Column:
 
 def labelled(cells: DataFrame, symbols: DataFrame) -> DataFrame:
     """Cells with ``item_symbol``."""
-    joined = cells.join(symbols, "item", "left")
+    joined = join_on_item(cells, symbols, "left")
     return joined.withColumn("item_symbol", item_label(F.col("quantity"), F.col("item"), F.col("symbol_text")))
 
 
@@ -152,7 +152,7 @@ def cell_styles(cells: DataFrame, shares: DataFrame, formats: DataFrame) -> Data
     """One style row per styled cell: conditional fill and bold, then the static style on top."""
     colours = shares_by_short_name(shares).select("group_name", F.col("highlight_color_hex").alias("group_hex"))
     with_colour = join_on_keys(cells, colours, ["group_name"], "left")
-    joined = with_colour.join(formats, "item", "left")
+    joined = join_on_item(with_colour, formats, "left")
     hex_colour = F.when(F.col("rank") <= 0, F.col("group_hex"))
     styled = F.col("row_num").isNotNull()
     out = joined.select(

@@ -177,7 +177,7 @@ def pack_pages(
         return pd.DataFrame([row])
 
     sums = placed.groupBy(*chunk_keys).applyInPandas(
-        chunk_sums, f"{key_ddl}, chunk int, head array<int>, ends array<bigint>"
+        chunk_sums, f"{key_ddl}, chunk bigint, head array<int>, ends array<bigint>"
     )
     # missing names sort last here too
     sortable = [f for c in group_cols for f in (F.col(c).isNull().alias(f"no_{c}"), F.col(c))]
@@ -203,10 +203,10 @@ def pack_pages(
         columns = [*group_cols, "chunk", "page", "rows1", "rows2", "members1", "members2", "forced"]
         return pd.DataFrame(out, columns=columns)
 
-    # one row per chunk: at most the number of shuffle partitions for any group
+    # one row per chunk, which holds up to 2 ** CHUNK_BITS members
     starts = marked.withColumn("opens_run", F.coalesce("opens_run", F.lit(False))).groupBy(
         *group_cols
-    ).applyInPandas(chain, f"{key_ddl}, chunk int, page bigint, {_STATE}, forced boolean")
+    ).applyInPandas(chain, f"{key_ddl}, chunk bigint, page bigint, {_STATE}, forced boolean")
 
     def place(key: tuple, members: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
         members = members.sort_values("slot")

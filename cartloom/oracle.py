@@ -408,6 +408,12 @@ FINAL = {
         OR fill IS NOT NULL""",
     "settings_append": "SELECT item FROM permanent UNION SELECT item FROM temporary",
     "settings_remove": "SELECT item FROM permanent WHERE item IS NOT NULL AND item <> '1 Each red bolt'",
+    "settings_replaced": "SELECT item FROM permanent UNION SELECT item FROM temporary",
+    "orders_file_rows": "SELECT " + ", ".join(
+        f"nullif(nullif(trim({c}, {BLANKS}), ''), 'NA') AS {name}"
+        for c, name in (("group_name", "group_name"), ("firstname", "firstname"), ("lastname", "lastname"), ("packed", "order_text"))
+    ) + " FROM raw_orders",
+    "orders_file_ids": "SELECT row_number() OVER () AS id FROM raw_orders",
     "standards_upsert": """
     SELECT food AS food_list_group_name,
         CASE food WHEN 'ASIA' THEN 'Someone, New [1]' WHEN 'AFRICA' THEN NULL ELSE name_long END AS name_long,

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cartloom.functions.fixed_values import LABEL_RULES
+from cartloom.functions.fixed_values import LABEL_RULES, ORDER_HEADER
 from cartloom.operators import deletes as D
 from cartloom.operators import keywords as K
 from cartloom.operators import labels as L
@@ -18,8 +20,11 @@ from cartloom.operators import settings_edit as E
 from cartloom.operators import standards as S
 from cartloom.plans import weekly as W
 from cartloom.plans.ordering import running_offsets
-from cartloom.plans.pinning import pin_table
+from cartloom.plans.pinning import pin_table, shared_dir
 from cartloom.sources import star as A
+from cartloom.sources.export import export_table
+from cartloom.sources.orders import load_members
+from cartloom.sources.settings import read_settings, replace_table
 
 SEARCH_GROUPS = ["ASIA", "EUROPE"]
 SEARCH_TERMS = ["RED", "", "each .*ring$"]
@@ -444,6 +449,38 @@ def settings_remove(spark, sf):
     return E.remove_item(permanent_deletes(spark, sf), "1 Each red bolt")
 
 
+def _shared_folder(spark, name):
+    return f"{shared_dir(spark).rstrip('/')}/cartloom-{name}-{uuid.uuid4().hex}"
+
+
+def _orders_by_file(spark, sf):
+    """The orders exported as CSV files and loaded back."""
+    orders = A.member_orders(spark, sf).select("group_name", "firstname", "lastname", "order")
+    folder = _shared_folder(spark, "orders")
+    export_table(orders.toDF(*ORDER_HEADER), folder, "csv")
+    return load_members(spark, folder)
+
+
+def orders_file_rows(spark, sf):
+    return _orders_by_file(spark, sf).select(
+        "group_name", "firstname", "lastname", F.col("order").alias("order_text")
+    )
+
+
+def orders_file_ids(spark, sf):
+    return _orders_by_file(spark, sf).select("id")
+
+
+def settings_replaced(spark, sf):
+    """A written delete list, replaced by rows read from it, and read again."""
+    folder = _shared_folder(spark, "deletes")
+    first = permanent_deletes(spark, sf)
+    replace_table(first, folder)
+    stored = read_settings(spark, folder, first.schema)
+    replace_table(E.append_distinct(stored, temporary_deletes(spark, sf)), folder)
+    return read_settings(spark, folder, first.schema)
+
+
 def standards_upsert(spark, sf):
     std = pin_table(region_standard_member(spark, sf, carts(spark, sf)))
     added = E.upsert_standard_member(std, "ASIA", "Someone, New [1]", True)
@@ -511,6 +548,6 @@ QUERIES = {
         rows_per_member, page_packing, page_grid, two_column_sheet, sheet_rows, page_subset,
         page_overflow, item_symbols, item_labels, header_labels, cell_group_colour,
         cell_standard_bold, cell_format_rules, cell_styles, settings_append, settings_remove,
-        standards_upsert, rules_edit, keyword_lookup, rgb_parse, preview_top,
+        orders_file_rows, orders_file_ids, settings_replaced, standards_upsert, rules_edit, keyword_lookup, rgb_parse, preview_top,
     )
 }

@@ -27,8 +27,11 @@ ROTATION = T.StructType(
 
 
 def read_settings(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet") -> DataFrame:
+    """A settings table; the header of each CSV file must be the schema's column names."""
     reader = spark.read.schema(schema)
-    return reader.option("header", True).csv(path) if fmt == "csv" else reader.parquet(path)
+    if fmt == "csv":
+        return reader.option("header", True).option("enforceSchema", False).csv(path)
+    return reader.parquet(path)
 
 
 def duplicate_keys(settings: DataFrame, *keys: str) -> DataFrame:

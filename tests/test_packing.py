@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from cartloom.operators import layout as P
 from cartloom.operators.layout import EMPTY_PAGE, _chunk_sums, _step, _through
+from cartloom.plans import ordering
 
 
 def loop(sizes, cap, first_group=True):
@@ -125,6 +126,14 @@ def test_one_hot_group_over_many_chunks(spark):
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
 
 
+def test_chunks_are_cut_inside_a_partition(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "CHUNK_BITS", 6)
+    _, df = members(spark, {"hot": 3000}, 5)
+    slots = ordering.ordered_slots(df.coalesce(1), ["group_name"], [F.col("id").asc()])
+    assert slots.groupBy("chunk").count().agg(F.max("count")).first()[0] <= 64
+    check(spark, {"hot": 3000, "a": 70, "z": 1}, 12, 5)
+
+
 def test_members_longer_than_a_page(spark):
     # later groups whose first member is too long start on page 2, the first group does not
     check(spark, {"a": 30, "b": 30, "c": 3, "d": 1}, 8, 12)
