@@ -230,7 +230,7 @@ def _star_rounds(
     rounds: int = 1 << 30,
 ) -> Rounds:
     """Stars over ``(doc_id, bucket)``, so many times or until a round confirms nothing."""
-    found = None
+    found, used = None, sets
     for _ in range(rounds):
         placed = stars(members)
         pairs = placed.filter("doc_id <> hub").select("doc_id", "hub").distinct()
@@ -238,11 +238,14 @@ def _star_rounds(
         if pairs.isEmpty():
             return Rounds(found, tested, sets)
         if sets is None:
-            # later stars are made of the same documents
             needed = pairs.select("doc_id").union(pairs.select("hub")).distinct()
             texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(needed.hint("merge"), "doc_id", "left_semi")
-            sets = pin_table(_one_set(shingle_sets(texts, width)))
-        linked = pin_table(confirmed(pairs, sets, percent))
+            sets = used = pin_table(_one_set(shingle_sets(texts, width)))
+        else:
+            # later stars are made of members of this one, so each round moves only the sets still in play
+            alive = placed.select("doc_id").distinct()
+            used = pin_table(used.join(alive.hint("merge"), "doc_id", "left_semi"))
+        linked = pin_table(confirmed(pairs, used, percent))
         tested = _and(tested, pairs)
         if linked.isEmpty():
             return Rounds(found, tested, sets)
