@@ -12,8 +12,12 @@ hub only, so pairs grow with members, not with their square. The hub is the memb
 that shares most buckets with others: copies of one text differ from each other more
 than from their centre, so the centre is the partner to test. Pairs are confirmed on
 the full shingle sets. Members that a hub turns down form the next star among
-themselves, until a round confirms nothing. Documents turned down are then tried
-once more in the finer buckets of two bands each.
+themselves, until a round confirms nothing.
+
+Stars do not see every pair of a bucket. So all documents of a bucket that still holds
+several components are joined exactly, whatever the stars found: by a prefix filter on
+their full sets, rare shingles first, with the bounds of length and position. Pairs of
+one component need no test; a shingle that many hold is spread over blocks.
 
 The joins that move sets and buckets are merge joins at every size, so that small and
 large corpora run the same plan.
@@ -32,12 +36,13 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartloom.llm.common import mix64, parts, pin_table, random64
@@ -46,7 +51,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: A pair at similarity 0.85 misses all buckets with a chance of 4e-7, one at 0.8 of 5e-5.
 BANDS, ROWS = 25, 5
-FINER_ROUNDS = 2
+#: So many documents look a shingle up in one block of the exact join.
+BLOCK_DOCS = 512
 SKETCH_SCHEMA = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"
 SET_SCHEMA = "doc_id long, shingles array<long>"
 
@@ -198,45 +204,32 @@ def components(edges: DataFrame) -> DataFrame:
             return labels.withColumnRenamed("label", "component_id")
 
 
-class Rounds(NamedTuple):
-    """Confirmed pairs, all pairs tested, and the shingle sets used; missing if there were none."""
+class Stars(NamedTuple):
+    """Confirmed pairs, the first round's ``(bucket, doc_id, hub)``, and the shingle sets used; missing if there were none."""
 
     found: DataFrame | None
-    tested: DataFrame | None
+    placed: DataFrame
     sets: DataFrame | None
 
 
-def _and(a: DataFrame | None, b: DataFrame | None) -> DataFrame | None:
-    return a.unionByName(b) if a is not None and b is not None else a if b is None else b
+def _and(a: DataFrame | None, b: DataFrame) -> DataFrame:
+    return b if a is None else a.unionByName(b)
 
 
 def _but(pairs: DataFrame, gone: DataFrame | None) -> DataFrame:
     return pairs if gone is None else pairs.join(gone, ["doc_id", "hub"], "left_anti")
 
 
-def _band_pairs(bands: int) -> Column:
-    """Buckets of each band with the three after it."""
-    band = lambda k: F.get("bands", F.lit(k % bands))
-    return F.array(*[F.xxhash64(F.lit(k), F.lit(step), band(k), band(k + step)) for k in range(bands) for step in (1, 2, 3)])
-
-
-def _star_rounds(
-    docs: DataFrame,
-    members: DataFrame,
-    width: int,
-    percent: int,
-    tested: DataFrame | None = None,
-    sets: DataFrame | None = None,
-    rounds: int = 1 << 30,
-) -> Rounds:
-    """Stars over ``(doc_id, bucket)``, so many times or until a round confirms nothing."""
-    found, used = None, sets
-    for _ in range(rounds):
+def _star_rounds(docs: DataFrame, members: DataFrame, width: int, percent: int) -> Stars:
+    """Stars over ``(doc_id, bucket)``, until a round confirms nothing."""
+    found = tested = sets = used = first = None
+    while True:
         placed = stars(members)
+        first = placed if first is None else first
         pairs = placed.filter("doc_id <> hub").select("doc_id", "hub").distinct()
         pairs = pin_table(_but(pairs, tested))
         if pairs.isEmpty():
-            return Rounds(found, tested, sets)
+            return Stars(found, first, sets)
         if sets is None:
             needed = pairs.select("doc_id").union(pairs.select("hub")).distinct()
             texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(needed.hint("merge"), "doc_id", "left_semi")
@@ -248,11 +241,62 @@ def _star_rounds(
         linked = pin_table(confirmed(pairs, used, percent))
         tested = _and(tested, pairs)
         if linked.isEmpty():
-            return Rounds(found, tested, sets)
+            return Stars(found, first, sets)
         found = _and(found, linked)
         # hubs and what they are linked with leave the bucket
         members = _but(placed.filter("doc_id <> hub"), found).select("doc_id", "bucket")
-    return Rounds(found, tested, sets)
+
+
+def open_documents(placed: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """``doc_id``, ``component_id`` of the members of buckets in which pairs of two components are untested; pinned."""
+    known = placed.select("bucket", "doc_id")
+    if labels is None:
+        known = known.withColumn("component_id", F.col("doc_id"))
+    else:
+        known = known.join(labels.hint("merge"), "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    least, most = F.min("component_id").alias("least"), F.max("component_id").alias("most")
+    held = known.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), least, most)
+    # the one pair of a bucket of two was tested by its star
+    mixed = held.filter("n > 2 and least <> most").select("bucket")
+    return pin_table(known.join(mixed.hint("merge"), "bucket", "left_semi").select("doc_id", "component_id").distinct())
+
+
+def prefix_candidates(sets: DataFrame, percent: int) -> DataFrame:
+    """Every pair (``doc_id``, ``hub``) of two components of ``sets`` (``doc_id``, ``component_id``, ``shingles``) that can have the similarity.
+
+    With shingles in one order for all, a pair's first common one lies in a prefix of
+    both sets, and behind it there are enough for the intersection. The longer set looks
+    up, in a prefix of ``1 - s``; the shorter is found by one of ``(1 - s) / (1 + s)``.
+    """
+    rows = sets.select("doc_id", "component_id", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    shared = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n_docs")).filter("n_docs > 1")
+    held = rows.join(shared.hint("merge"), "shingle")
+    # what no other holds comes first and is only counted
+    listed = held.groupBy("doc_id", "component_id", "n").agg(F.sort_array(F.collect_list(F.struct("n_docs", "shingle"))).alias("some"))
+    reach = F.expr(f"cast(n - ceil({percent} * n / 100) + 1 as int)")
+    place = F.col("n") - F.size("some")
+    first = F.slice("some", F.lit(1), F.greatest(reach - place, F.lit(0)))
+    entries = listed.select("doc_id", "component_id", "n", place.alias("before"), F.posexplode(first).alias("k", "at"))
+    entries = pin_table(entries.select("doc_id", "component_id", "n", (F.col("n") - F.col("before") - F.col("k")).alias("rest"), F.col("at")["shingle"].alias("shingle")))
+    sizes = entries.groupBy("shingle", "component_id").agg(F.count(F.lit(1)).alias("n_in"))
+    largest = F.max_by("component_id", F.struct("n_in", "component_id")).alias("largest")
+    mixed = sizes.groupBy("shingle").agg(F.count(F.lit(1)).alias("n_parts"), F.sum("n_in").alias("n_all"), largest)
+    mixed = mixed.filter("n_parts > 1").withColumn("blocks", F.expr(f"cast(1 + n_all div {BLOCK_DOCS} as int)"))
+    placed = pin_table(entries.join(mixed.hint("merge"), "shingle").withColumn("in_largest", F.col("component_id") == F.col("largest")))
+    # members of the largest component do not meet there: side 1 is for the others to look it up
+    sides = F.when(F.col("in_largest"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))
+    looking = placed.select(
+        F.col("doc_id"), F.col("component_id"), "n", "rest", "shingle", F.explode(sides).alias("side"),
+        F.expr("cast(pmod(xxhash64(doc_id), blocks) as int)").alias("block"),
+    )
+    found = placed.filter(F.expr(f"rest >= ceil({2 * percent} * n / {100 + percent})")).select(
+        F.col("doc_id").alias("hub"), F.col("component_id").alias("o_component"), F.col("n").alias("o_n"), F.col("rest").alias("o_rest"),
+        "shingle", F.col("in_largest").cast("int").alias("side"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"),
+    )
+    met = looking.join(found.hint("merge"), ["shingle", "side", "block"])
+    met = met.filter("component_id <> o_component and (n > o_n or n = o_n and doc_id > hub)")
+    met = met.filter(f"100 * o_n >= {percent} * n and {100 + percent} * least(rest, o_rest) >= {percent} * (n + o_n)")
+    return met.select("doc_id", "hub").distinct()
 
 
 def near_duplicates(
@@ -266,24 +310,17 @@ def near_duplicates(
     classes = pin_table(usable.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.min("bands").alias("bands")))
     members = classes.select(F.col("rep").alias("doc_id"), F.posexplode("bands").alias("band", "hash"))
     first = _star_rounds(docs, members.select("doc_id", F.xxhash64("band", "hash").alias("bucket")), width, percent)
-    found = first.found
+    joined = None if first.found is None else components(first.found)
     if first.sets is not None:
-        # Two copies of one text may be nearer to each other than to its hub. Such pairs
-        # share buckets of two bands, in which the hub seldom is.
-        refused = _but(first.tested, found)
-        open_ids = refused.select("doc_id").union(refused.select("hub")).distinct().withColumn("open", F.lit(1))
-        near = classes.join(first.sets.select(F.col("doc_id").alias("rep")), "rep", "left_semi")
-        couples = near.select(F.col("rep").alias("doc_id"), F.explode(_band_pairs(bands)).alias("bucket"))
-        marked = couples.join(open_ids.hint("merge"), "doc_id", "left")
-        wanted = marked.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.max("open").alias("open"))
-        wanted = wanted.filter("n > 1 and open = 1").select("bucket")
-        finer = pin_table(couples.join(wanted.hint("merge"), "bucket"))
-        second = _star_rounds(docs, finer, width, percent, first.tested, first.sets, rounds=FINER_ROUNDS)
-        found = _and(found, second.found)
-    if found is None:
+        left = open_documents(first.placed, joined)
+        if not left.isEmpty():
+            sets = pin_table(first.sets.join(left.hint("merge"), "doc_id"))
+            more = pin_table(confirmed(pin_table(prefix_candidates(sets, percent)), sets, percent))
+            if not more.isEmpty():
+                known = [] if joined is None else [joined.filter("doc_id <> component_id").withColumnRenamed("component_id", "hub")]
+                joined = components(reduce(DataFrame.unionByName, known, more))
+    if joined is None:
         joined = rows_of.sparkSession.createDataFrame([], "doc_id long, component_id long")
-    else:
-        joined = components(found)
     named = classes.select(*key, F.col("rep"))
     result = rows_of.select("doc_id", *key).join(named, key, "left")
     reach = joined.withColumnRenamed("doc_id", "rep")

@@ -249,6 +249,51 @@ def test_near_duplicates_equal_brute_force(spark, odd, none):
     assert minhash.near_duplicates(none).count() == 0
 
 
+def edited(text, n, tag):
+    out = list(text)
+    for at in random.sample(range(len(text)), n):
+        out[at] = f"{tag}{at}"
+    return out
+
+
+def revision_family(variants, revisions, words, changed, edits, cores=0):
+    """Near copies of a text, and variants too far from it, each with revisions of its own."""
+    base = [f"f0t{i}" for i in range(words)]
+    out = [edited(base, 5, f"f0c{c}e") for c in range(cores)]
+    for v in range(variants):
+        variant = edited(base, changed, f"f0m{v}e")
+        out += [variant, *[edited(variant, edits, f"f0m{v}k{r}e") for r in range(revisions)]]
+    return [" ".join(w) for w in out]
+
+
+# in the first, the two cores meet only in buckets full of nearer-looking variants
+@pytest.mark.parametrize("variants, revisions, words, changed, edits, cores", [(12, 20, 400, 7, 33, 2), (60, 3, 300, 9, 4, 0), (700, 2, 200, 7, 3, 0)])
+def test_families_equal_brute_force(spark, variants, revisions, words, changed, edits, cores):
+    random.seed(2)
+    rows = list(enumerate(revision_family(variants, revisions, words, changed, edits, cores)))
+    held, root = {}, {i: i for i, _ in rows}
+    sets = {i: shingles(t) for i, t in rows}
+    for i in sets:
+        for s in sets[i]:
+            held.setdefault(s, []).append(i)
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in sets:
+        common = Counter(j for s in sets[i] for j in held[s] if j < i)
+        for j, n in common.items():
+            if 100 * n >= 85 * (len(sets[i]) + len(sets[j]) - n):
+                a, b = sorted((top(i), top(j)))
+                root[b] = a
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = by_id(minhash.near_duplicates(docs), "component_id")
+    wrong = {i: (got[i][0], top(i)) for i in root if got[i][0] != top(i)}
+    assert not wrong and 1 < len({top(i) for i in root}) < len(root)
+
+
 def test_packing(odd, none):
     plain = Tokenizer.from_file(WORD)
     pieces = packing.pack(odd, WORD, 2).collect()
