@@ -1,15 +1,15 @@
 """Mixing sources to target weights by a low-discrepancy schedule.
 
-Each slot of the mix is a point of the van der Corput sequence; mapped through the
-cumulated target shares it names a source. Any run of slots then follows the
-targets closely, and slot *i* needs nothing but *i*, so the schedule is made in
-parallel. A source's slots are numbered, and slot number *r* is joined with block
-*r* of the source: its documents in hashed order, cut into blocks of equal tokens
-(words), read over again from the start when the source is used up.
+A source takes the words of its target: it is read in blocks of equal tokens (words), its
+documents in hashed order, over again from the start when it is used up, and the last
+block ends where the target does. Each block is a slot of the mix. A source's blocks are
+due at even distances, and slots are numbered by due time, so any run of slots follows
+the targets closely. The number of a slot comes from the sources' counts alone, so the
+schedule needs no table and no order of slots.
 
-Order and running sums use chunks: the leading bits of a document's hash, or a run
-of slots. One row per source and chunk carries the sums across, so no source is
-ever gathered in one task, whatever its share of the rows.
+Order and running sums use chunks: the leading bits of a document's hash. One row per
+source and chunk carries the sums across, so no source is ever gathered in one task,
+whatever its share of the rows.
 
 Definitions: a source's weight follows its rank by code point, a missing source
 being last; targets stop at ``MAX_PASSES`` times the source and the excess goes to
@@ -22,7 +22,7 @@ and ``source`` are read, so further columns of any name do no harm.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartloom.llm.common import n_words_of, pin_table, text_or_empty, words_of
@@ -35,7 +35,6 @@ BLOCKS = 20_000
 SEED = 71
 #: Documents of one source are spread over so many chunks by their hash.
 CHUNK_BITS = 10
-SLOT_BITS = 16
 PIECES_SCHEMA = (
     "doc_id long, source string, text_key long, pass long, begin long, length long, at long, slot long"
 )
@@ -84,25 +83,20 @@ def _running(rows: DataFrame, keys: list[str], chunk: str, order: list[str], val
     return local.join(sums, [*keys, chunk]).withColumn(out, F.col("__before") + F.col("__inside")).drop("__before", "__inside")
 
 
-def van_der_corput(index: Column, bits: int) -> Column:
-    """The index's binary digits mirrored behind the point; exact up to 2^53."""
-    mirrored = F.reverse(F.lpad(F.bin(index), bits, "0"))
-    return F.conv(mirrored, 2, 10).cast("double") / float(1 << bits)
+def slot_of(rank: Column, source_no: Column, own: Column, counts: list[tuple[int, int]]) -> Column:
+    """The place of a source's block number ``rank`` among all blocks by due time.
 
+    Block ``r`` of ``n`` is due at ``(2r + 1) / 2n``; of equal times the lesser ``source_no``
+    comes first. ``own`` is the source's number of blocks, ``counts`` has (source_no, blocks) of all.
+    """
+    listed = F.array(*[F.struct(F.lit(k).alias("no"), F.lit(n).cast("long").alias("n")) for k, n in counts])
+
+    def step(before: Column, other: Column) -> Column:
+        due = (2 * rank + 1) * other["n"] + own - F.when(other["no"] < source_no, 0).otherwise(1)
+        # for the source itself these are its earlier blocks
+        return before + F.call_function("div", due, 2 * own)
 
-def schedule(spark: SparkSession, wanted: list[tuple[int, float]], n_slots: int) -> DataFrame:
-    """``slot``, ``source_no`` and ``rank`` (number of the slot within its source)."""
-    bits = max(1, (n_slots - 1).bit_length())
-    total = sum(t for _, t in wanted)
-    point, source = van_der_corput(F.col("id"), bits) * total, F.lit(wanted[-1][0])
-    bounds, reached = [], 0.0
-    for number, target in wanted:
-        reached += target
-        bounds.append(F.struct(F.lit(reached).alias("bound"), F.lit(number).alias("no")))
-    hit = F.get(F.filter(F.array(*bounds), lambda b: point < b["bound"]), F.lit(0))
-    slots = spark.range(n_slots).select(F.col("id").alias("slot"), F.coalesce(hit["no"], source).alias("source_no"))
-    slots = slots.withColumns({"run": F.shiftright("slot", SLOT_BITS), "__one": F.lit(1)})
-    return _running(slots, ["source_no"], "run", ["slot"], "__one", "rank").select("slot", "source_no", "rank")
+    return F.aggregate(listed, F.lit(0).cast("long"), step)
 
 
 def mix(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -116,39 +110,44 @@ def mix(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = sized(docs)
     wanted = source_targets(rows)
     listed = [(k, r.source, r.source_size, r.target) for k, r in enumerate(wanted.collect())]
-    numbers = docs.sparkSession.createDataFrame(listed, "source_no int, source string, source_size long, target double")
+    total = sum(n for _, _, n, _ in listed)
+    block = max(1, min(BLOCK_WORDS, total // BLOCKS))
+    quotas = [min(round(t), MAX_PASSES * n) for _, _, n, t in listed]
+    counts = [(k, -(-q // block)) for k, q in enumerate(quotas)]
+    numbers = docs.sparkSession.createDataFrame(
+        [(*x, q, n) for x, q, (_, n) in zip(listed, quotas, counts, strict=True)],
+        "source_no int, source string, source_size long, target double, quota long, n_slots long",
+    )
     # missing sources match each other
     known = rows.join(numbers.withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
     live = known.filter("size > 0").withColumn("place", F.xxhash64(F.lit(SEED), "doc_id", "text_key"))
     live = live.withColumn("chunk", F.shiftright("place", 64 - CHUNK_BITS))
     placed = _running(live, ["source_no"], "chunk", ["place", "doc_id", "text_key"], "size", "start")
-    total = sum(n for _, _, n, _ in listed)
     if not total:
         none = docs.sparkSession.createDataFrame([], PIECES_SCHEMA)
-        return known.withColumn("taken", F.lit(0).cast("long")).drop("source_no"), none
-    block = max(1, min(BLOCK_WORDS, total // BLOCKS))
-    slots = schedule(docs.sparkSession, [(k, t) for k, _, _, t in listed], -(-total // block))
+        return known.withColumn("taken", F.lit(0).cast("long")).drop("source_no", "quota", "n_slots"), none
     # the words of a block sit at [rank * BLOCK, (rank + 1) * BLOCK) of the source repeated
     passes = F.sequence(F.lit(0).cast("long"), F.lit(MAX_PASSES - 1).cast("long"))
     spread = placed.select("*", F.explode(passes).alias("pass")).withColumn(
         "from", F.col("pass") * F.col("source_size") + F.col("start")
     )
-    to = F.col("from") + F.col("size")
-    cut = spread.select(
+    to = F.least(F.col("from") + F.col("size"), F.col("quota"))
+    cut = spread.filter(F.col("from") < F.col("quota")).select(
         "*", F.explode(F.sequence(F.floor(F.col("from") / block), F.floor((to - 1) / block))).alias("rank")
     )
     low = F.greatest(F.col("from"), F.col("rank") * block)
     high = F.least(to, (F.col("rank") + 1) * block)
+    slot = slot_of(F.col("rank"), F.col("source_no"), F.col("n_slots"), counts)
     parts = cut.select(
-        "source_no", "rank", "doc_id", "source", "text_key", "pass", (low - F.col("from")).alias("begin"),
-        (high - low).alias("length"), (low - F.col("rank") * block).alias("at"),
+        "doc_id", "source", "text_key", "pass", (low - F.col("from")).alias("begin"),
+        (high - low).alias("length"), (low - F.col("rank") * block).alias("at"), slot.alias("slot"),
     )
-    pieces = pin_table(parts.join(slots, ["source_no", "rank"]).drop("rank", "source_no"))
+    pieces = pin_table(parts)
     sums = pieces.groupBy("doc_id", "source", "text_key").agg(F.sum("length").alias("taken"))
     named = sums.withColumnsRenamed({"doc_id": "__d", "source": "__s", "text_key": "__t"})
     same = F.col("doc_id").eqNullSafe(F.col("__d")) & F.col("source").eqNullSafe(F.col("__s")) & (F.col("text_key") == F.col("__t"))
     counted = known.join(named, same, "left").withColumn("taken", F.coalesce("taken", F.lit(0).cast("long")))
-    return counted.drop("__d", "__s", "__t", "source_no"), pieces
+    return counted.drop("__d", "__s", "__t", "source_no", "quota", "n_slots"), pieces
 
 
 def _part(text: Column, begin: Column, end: Column) -> Column:

@@ -152,6 +152,26 @@ def test_mix(odd, none):
     assert mixing.mix(none)[0].count() == 0 and mixing.mixed_documents(none).count() == 0
 
 
+def test_small_sources_take_their_targets(spark, monkeypatch):
+    # blocks as large as a big corpus has them; a to d have targets around and far under one
+    monkeypatch.setattr(mixing, "BLOCKS", 1)
+    sizes = {"a": 100, "b": 300, "c": 2500, "d": 5000, "e": 300_000, None: 90_000}
+    rows, k = [], 0
+    for source, n in sizes.items():
+        for at in range(0, n, 100):
+            rows.append((k, " ".join(f"w{k}x{i}" for i in range(at, at + 100)), source))
+            k += 1
+    rows, pieces = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    got = rows.groupBy("source", "target").agg(F.sum("taken").alias("taken")).collect()
+    assert len(got) == len(sizes) and all(abs(r.taken - r.target) <= 1 for r in got)
+    # slots are numbered without gaps, each is of one source and of one block, in the order of due times
+    slots = pieces.groupBy("slot").agg(F.sum("length").alias("n"), F.countDistinct(F.coalesce("source", F.lit(""))).alias("k"), F.max("source").alias("s")).orderBy("slot").collect()
+    assert [r.slot for r in slots] == list(range(len(slots))) and all(r.k == 1 and r.n <= mixing.BLOCK_WORDS for r in slots)
+    each = Counter(r.s for r in slots)
+    order = sorted(((2 * j + 1) / (2 * n), s is None, s or "") for s, n in each.items() for j in range(n))
+    assert [s or None for _, _, s in order] == [r.s for r in slots]
+
+
 def test_targets_share_the_excess():
     got = {s: t for s, _, t in mixing.targets([(None, 100), ("b", 10), ("a", 1), ("c", 50)])}
     # a stops at 3; 158 left for weights 2, 1, 5: b stops at 30, then 128 by 1 to 5
