@@ -13,6 +13,8 @@ distances. A logistic curve over these, fitted on texts that the dictionaries ha
 seen, turns them into a score between 0 and 1.
 
 Training uses at most about ``SAMPLE_DOCS`` labelled texts of each class, chosen by hash.
+A text counts in the fit as many times as it stands for, so scores follow the shares of
+all labels, not those of the sample.
 Scoring reads whole texts.
 
 Definitions: a missing or empty text has no window; its measurements are zero and its
@@ -105,9 +107,16 @@ def features(d: np.ndarray) -> list[float]:
     return [*top.tolist(), float(np.log1p(len(d))), *rates]
 
 
-def _sampled(docs: DataFrame, labels: DataFrame) -> list[tuple[bytes, int, int]]:
+def _chance(n: int) -> float:
+    """The share of a class of ``n`` labels that is sampled."""
+    return min(1.0, SAMPLE_DOCS / n)
+
+
+def _sampled(docs: DataFrame, labels: DataFrame) -> tuple[list[tuple[bytes, int, int]], dict[int, int]]:
     """``(text, label, half)`` of at most about ``SAMPLE_DOCS`` texts of each class; equal texts count once.
 
+    Also the number of labels of each class.
+
     The sample is drawn from the labels, so only the chosen texts are fetched.
     """
     import xxhash
@@ -117,14 +126,14 @@ def _sampled(docs: DataFrame, labels: DataFrame) -> list[tuple[bytes, int, int]]
     counts = {r.label: r.n for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     chance = F.lit(0.0)
     for value, n in counts.items():
-        chance = F.when(F.col("label") == value, F.lit(min(1.0, SAMPLE_DOCS / n))).otherwise(chance)
+        chance = F.when(F.col("label") == value, F.lit(_chance(n))).otherwise(chance)
     place = F.shiftrightunsigned(F.xxhash64("l_id"), 11).cast("double") / float(1 << 53)
     # some 2 * SAMPLE_DOCS ids, whatever the tables hold
     chosen = F.broadcast(rows.filter(place < chance))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = texts.filter("text is not null").join(chosen, F.col("doc_id") == F.col("l_id")).select("text", "label").collect()
     once = {(xxhash.xxh64_intdigest(t), t, r.label) for r in found for t in [r.text.encode("utf-8", "replace")]}
-    return [(t, label, place >> 1 & 1) for place, t, label in sorted(once)]
+    return [(t, label, place >> 1 & 1) for place, t, label in sorted(once)], counts
 
 
 def _trained(samples: list[bytes], size: int) -> bytes:
@@ -171,8 +180,12 @@ def _particular(texts: list[bytes], others: list[bytes]) -> list[bytes]:
     return [x for x in out if x]
 
 
-def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Logistic regression by Newton steps: means, scales, weights (the last is the constant)."""
+def fit(x: np.ndarray, y: np.ndarray, times: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Logistic regression by Newton steps: means, scales, weights (the last is the constant).
+
+    ``times``: how many rows each row stands for; only the proportions count.
+    """
+    times = times / times.mean()
     mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
     z = np.column_stack([(x - mean) / scale, np.ones(len(x))])
     w = np.zeros(z.shape[1])
@@ -180,7 +193,7 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, n
     pull[-1] = 1e-6
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(pull), z.T @ (p - y) + pull * w)
+        step = np.linalg.solve((z * (times * p * (1 - p))[:, None]).T @ z + np.diag(pull), z.T @ (times * (p - y)) + pull * w)
         w -= step
         if np.abs(step).max() < 1e-8:
             break
@@ -189,8 +202,8 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, n
 
 def train(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     """Learn from ``labels`` (``doc_id``, ``label`` 0 or 1) and the texts they name in ``docs``."""
-    rows = _sampled(docs, labels)
-    toxic_share = float(np.mean([r[1] for r in rows])) if rows else 0.0
+    rows, counts = _sampled(docs, labels)
+    toxic_share = counts.get(1, 0) / max(sum(counts.values()), 1)
     second = [(t, l) for t, l, h in rows if h == 1]
     texts = {value: [t for t, l, h in rows if (l, h) == (value, 0)] for value in (0, 1)}  # noqa: E741
     if min(map(len, texts.values())) < MIN_TEXTS or len({l for _, l in second}) < 2:  # noqa: E741
@@ -200,7 +213,8 @@ def train(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     ordinary = _trained(_particular(texts[0], texts[1]), DICTIONARY_BYTES) + CARRIER
     x = np.array([features(distances(windows_of(t), toxic, ordinary)) for t, _ in second])
     y = np.array([l for _, l in second], float)  # noqa: E741
-    return ToxicityModel(toxic, ordinary, *fit(x, y), toxic_share)
+    times = np.array([1 / _chance(counts[l]) for _, l in second])  # noqa: E741
+    return ToxicityModel(toxic, ordinary, *fit(x, y, times), toxic_share)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:

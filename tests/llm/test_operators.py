@@ -235,6 +235,18 @@ def test_toxicity(spark, odd, none):
     assert {r.score for r in toxicity.score_toxicity(odd, blank).collect()} == {0.0}
 
 
+@pytest.mark.parametrize("sample", [3000, 60, 4])
+def test_toxicity_follows_the_share_of_labels(spark, monkeypatch, sample):
+    # labels that no text tells: scores are about their share, whatever is sampled of each class
+    random.seed(3)
+    rows = [(k, " ".join(random.choices(["alpha", "beta", "gamma", "delta", "omega"], k=30)), int(k % 10 == 0)) for k in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    monkeypatch.setattr(toxicity, "SAMPLE_DOCS", sample)
+    model = toxicity.train(docs, docs.select("doc_id", "label"))
+    scores = [r.score for r in toxicity.score_toxicity(docs, model).collect()]
+    assert model.prior == pytest.approx(0.1) and 0.04 < np.mean(scores) < 0.2
+
+
 def shingles(text, width=3):
     w = [x.decode() for x in text.encode().lower().split()]
     return {tuple(w[i : i + width]) for i in range(len(w) - width + 1)} or ({tuple(w)} if w else set())
