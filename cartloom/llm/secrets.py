@@ -105,8 +105,8 @@ def found_spans(docs: DataFrame) -> DataFrame:
 def linked(rows: DataFrame) -> DataFrame:
     """Links of weak parts: ``doc_id``, ``text_key``, ``start``, ``rank``, ``end``, and what they met (``with``).
 
-    A part is spread over the cells its scope touches and meets the parts whose start
-    lies in one of them.
+    A part is spread over the cells its scope touches and meets the parts that touch one
+    of them.
     """
     weak_rank = len(BASE)
     has_weak = reduce(or_, [F.size(k) > 0 for k in KINDS[weak_rank:]])
@@ -115,9 +115,10 @@ def linked(rows: DataFrame) -> DataFrame:
         F.floor((F.col("start") - SCOPE) / SCOPE).cast("int"), F.floor((F.col("end") + SCOPE) / SCOPE).cast("int")
     )
     weak = parts.filter(F.col("rank") >= weak_rank).select("*", F.explode(cells).alias("cell"))
+    touched = F.sequence(F.floor(F.col("start") / SCOPE).cast("int"), F.floor((F.col("end") - 1) / SCOPE).cast("int"))
     other = parts.select(
         F.col("doc_id").alias("o_doc"), F.col("text_key").alias("o_key"), F.col("start").alias("o_start"),
-        F.col("end").alias("o_end"), F.col("rank").alias("o_rank"), F.floor(F.col("start") / SCOPE).cast("int").alias("o_cell"),
+        F.col("end").alias("o_end"), F.col("rank").alias("o_rank"), F.explode(touched).alias("o_cell"),
     )
     near = (
         F.col("doc_id").eqNullSafe(F.col("o_doc"))
