@@ -43,8 +43,8 @@ PATTERNS: dict[str, str] = {
     "access": r"AKIA[A-Z0-9]+",
     "hex": r"[0-9a-f]{32,}",
     "identifier": r"(?i:user|username|login|client_?id|account)[\x22']?\x20*[:=]\x20*[\x22']?[A-Za-z0-9_.@-]{3,64}",
-    "endpoint": r"(?:https?|ftp|postgres|mysql|redis|amqp)://[A-Za-z0-9_.:@/-]{4,256}",
-    "candidate": r"(?<![A-Za-z0-9+/=])(?=[A-Za-z0-9+/]{0,63}[0-9])(?=[A-Za-z0-9+/]{0,63}[a-z])(?=[A-Za-z0-9+/]{0,63}[A-Z])[A-Za-z0-9+/]{20,64}={0,2}(?![A-Za-z0-9+/=])",
+    "endpoint": r"(?:https?|ftp|postgres|mysql|redis|amqp)://[A-Za-z0-9_.:@/-]{4,}",
+    "candidate": r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{20,}+={0,2}+(?![A-Za-z0-9+/=])",
 }
 #: What a text must hold for the pattern to be worth trying; quicker, and implied by the pattern.
 NEEDS: dict[str, str] = {
@@ -57,11 +57,14 @@ NEEDS: dict[str, str] = {
 }
 
 
-def _long_enough(kind: str, match: Column) -> Column:
+def _holds(kind: str, match: Column) -> Column:
+    """The condition on a match; only here can a pattern look at a whole run, however long."""
     if kind == "assign":
         return F.length(F.regexp_extract(match, f"^{ASSIGN}", 1)) >= 8
     if kind == "access":
         return F.length(match) >= 16
+    if kind == "candidate":
+        return match.rlike("[0-9]") & match.rlike("[a-z]") & match.rlike("[A-Z]")
     return F.lit(True)
 
 
@@ -86,7 +89,7 @@ def _placed(found: Column, between: Column, kind: str) -> Column:
         start = state["at"] + F.length(pair["b"])
         end = start + F.length(pair["m"])
         span = F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("rank"), end.alias("end"))
-        spans = F.when(_long_enough(kind, pair["m"]), F.array_append(state["spans"], span)).otherwise(state["spans"])
+        spans = F.when(_holds(kind, pair["m"]), F.array_append(state["spans"], span)).otherwise(state["spans"])
         return F.struct(end.alias("at"), spans.alias("spans"))
 
     pairs = F.zip_with(F.slice(between, F.lit(1), F.size(found)), found, lambda b, m: F.struct(b.alias("b"), m.alias("m")))
