@@ -89,27 +89,94 @@ def random64(n: int, seed: int) -> np.ndarray:
     return mix64(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
 
 
+def binary_rows(raw: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """``raw`` cut into binary values of so many items each, without copying."""
+    ends = np.concatenate(([0], np.cumsum(lengths) * raw.itemsize))
+    kind, offsets = (pa.large_binary(), np.int64) if ends[-1] >= 1 << 31 else (pa.binary(), np.int32)
+    buffers = [None, pa.py_buffer(ends.astype(offsets)), pa.py_buffer(np.ascontiguousarray(raw))]
+    return pa.Array.from_buffers(kind, len(lengths), buffers).cast(pa.binary())
+
+
+LETTER, DIGIT, SIGN, QUOTE, BLANK, LINE = 1, 2, 3, 4, 5, 6
+
+
+def _byte_kinds() -> np.ndarray:
+    kinds = np.zeros(256, np.uint8)
+    kinds[33:127] = SIGN
+    kinds[[*range(65, 91), *range(97, 123)]] = LETTER
+    kinds[48:58] = DIGIT
+    kinds[ord("'")] = QUOTE
+    kinds[ord(" ")] = BLANK
+    kinds[ord("\n")] = LINE
+    return kinds
+
+
+def _cut_rules() -> np.ndarray:
+    """Whether a text may be cut between two bytes, by ``8 * kind + kind`` of the two."""
+    rules = np.zeros(64, bool)
+    for a in (LETTER, DIGIT, SIGN, QUOTE):
+        for b in (LETTER, DIGIT, SIGN, QUOTE, BLANK, LINE):
+            # signs join, and a contraction begins with its quote
+            rules[8 * a + b] = a != b and a != QUOTE and not (a == SIGN and b == QUOTE) or b in (BLANK, LINE)
+    return rules
+
+
+KINDS, CUTS = _byte_kinds(), _cut_rules()
+
+
+def word_starts(data: np.ndarray, fixed: list[bytes]) -> np.ndarray:
+    """Marks of the bytes of UTF-8 ``data`` before which a text may be cut without changing its tokens.
+
+    Tokens of the tokenizers used here are made inside runs of letters, of digits or of
+    signs, with one space before a run at most. So a cut is safe where two such runs meet,
+    where a run ends at white space, before a space that a run follows, and after a single
+    line end between runs. Bytes of other scripts, and ``fixed`` strings, are never cut.
+    """
+    n = len(data)
+    kind = KINDS[data]
+    # letters of two bytes that begin with 0xC3, but for the two signs among them
+    lead = np.flatnonzero(data[:-1] == 0xC3)
+    lead = lead[(data[lead + 1] != 0x97) & (data[lead + 1] != 0xB7)]
+    kind[lead] = kind[lead + 1] = LETTER
+    mark = np.zeros(n, bool)
+    mark[1:] = CUTS[kind[:-1] * np.uint8(8) + kind[1:]]
+    run = (kind >= LETTER) & (kind <= QUOTE)
+    # the last of several blanks belongs to the run behind it
+    mark[:-1] |= (kind[:-1] == BLANK) & run[1:]
+    line = np.flatnonzero(kind[1:-1] == LINE) + 1
+    mark[line[run[line - 1] & run[line + 1]] + 1] = True
+    if fixed:
+        raw = data.tobytes()
+        for text in fixed:
+            at = raw.find(text)
+            while at >= 0:
+                mark[at + 1 : at + len(text)] = False
+                at = raw.find(text, at + 1)
+    return mark
+
+
 class TextEncoder:
-    """Whole texts to token ids with a public tokenizer, remembering the ids of words.
+    """Whole texts to token ids with a public tokenizer, each distinct word of a batch encoded once.
 
-    A text may be cut before any space that follows a character other than white
-    space: no token of the tokenizers used here reaches over such a cut. So each
-    word with its leading space is encoded once and looked up afterwards; the
-    look-up table is emptied when it holds ``keep`` words. Texts where a space
-    follows white space are encoded as a whole.
+    Texts are cut at places where no token reaches over (``word_starts``), the words are
+    dictionary-encoded by Arrow, new ones go to the tokenizer in one call, and the ids of all
+    are gathered with numpy. Up to ``keep`` words are remembered between batches; a word of
+    over ``LONGEST`` characters never is, so memory is bounded whatever the texts hold.
     """
 
-    MARK = "\x01"
+    LONGEST = 64
 
-    def __init__(self, path: str, end_id: int | None, keep: int = 400_000) -> None:
+    def __init__(self, path: str, end_id: int | None, keep: int = 1_000_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.end = b"" if end_id is None else np.array([end_id], self.dtype).tobytes()
+        self.fixed = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.keep = keep
-        self.known: dict[str, bytes] = {}
-        self.mark_ids = self.tokenizer.encode(f" {self.MARK}", add_special_tokens=False).ids
+        # word number 0 is the end of a text
+        self.ids = np.array([] if end_id is None else [end_id], self.dtype)
+        self.lengths = np.array([len(self.ids)], np.int64)
+        self.known: dict[str, int] = {}
 
     @staticmethod
     def on_worker(path: str, end_id: int | None) -> TextEncoder:
@@ -119,45 +186,59 @@ class TextEncoder:
             made[path, end_id] = TextEncoder(path, end_id)
         return made[path, end_id]
 
-    def _direct(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
-
-    def _learn(self, words: list[str]) -> None:
-        """Encode new words in one call, a mark after each, and cut at the marks."""
-        text = "".join(f" {w} {self.MARK}" for w in words)
-        ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
-        at = np.flatnonzero(ids == self.mark_ids[-1])
-        if len(at) != len(words):
-            self.known.update((w, self._direct(f" {w}")) for w in words)
-            return
-        width, raw = self.dtype.itemsize, ids.tobytes()
-        ends = (at - len(self.mark_ids) + 1) * width
-        starts = np.concatenate(([0], (at[:-1] + 1) * width))
-        self.known.update(zip(words, map(raw.__getitem__, map(slice, starts.tolist(), ends.tolist())), strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text and the end id, as little-endian bytes of ``dtype``."""
-        import re
-
-        blank_before = re.compile(r"\s ")
-        cut = [None if blank_before.search(t) else t.split(" ") for t in texts]
-        new = {w for words in cut if words for w in words[1:]}.difference(self.known)
-        if len(self.known) + len(new) > self.keep:
-            self.known.clear()
-            new = {w for words in cut if words for w in words[1:]}
-        long = [w for w in new if len(w) > 200 or self.MARK in w]
-        short = sorted(new.difference(long))
-        for at in range(0, len(short), 20_000):
-            self._learn(short[at : at + 20_000])
-        self.known.update((w, self._direct(f" {w}")) for w in long)
-        get = self.known.__getitem__
-        out = [
-            self._direct(t) + self.end if words is None
-            else self._direct(words[0]) + b"".join(map(get, words[1:])) + self.end
-            for t, words in zip(texts, cut, strict=True)
-        ]
-        for w in long:
-            del self.known[w]
-        return out
-
-
+    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of some words, one after another, and how many each has."""
+        ids, counts = [], []
+        for at in range(0, len(words), 50_000):
+            some = words[at : at + 50_000]
+            done = self.tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
+            ids.append(np.array(done.ids, self.dtype))
+            counts.append(np.bincount(np.array(done.word_ids, np.int64), minlength=len(some)))
+        return np.concatenate(ids), np.concatenate(counts)
+
+    def _numbers(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The number of each word, and the ids and lengths that numbers refer to."""
+        names = words.to_pylist()
+        number = np.array([self.known.get(w, 0) for w in names], np.int64)
+        new = np.flatnonzero(number == 0)
+        if not len(new):
+            return number, self.ids, self.lengths
+        length = np.array([len(names[i]) for i in new])
+        new = new[np.argsort(length, kind="stable")]
+        fresh = [names[i] for i in new]
+        ids, counts = self._encode_words(fresh)
+        number[new] = len(self.lengths) + np.arange(len(new))
+        all_ids, all_lengths = np.concatenate((self.ids, ids)), np.concatenate((self.lengths, counts))
+        short = min(int((length <= self.LONGEST).sum()), self.keep - len(self.known))
+        if short > 0:
+            self.known.update(zip(fresh[:short], range(len(self.lengths), len(self.lengths) + short), strict=True))
+            self.ids, self.lengths = np.concatenate((self.ids, ids[: int(counts[:short].sum())])), all_lengths[: len(self.lengths) + short]
+        return number, all_ids, all_lengths
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts with the end id after each, and how many each text has. A missing text is empty."""
+        n = len(texts)
+        if not n:
+            return np.array([], self.dtype), np.array([], np.int64)
+        texts = pa.concat_arrays([texts.fill_null("").cast(pa.large_string())])
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + n + 1]
+        raw = texts.buffers()[2]
+        data = np.frombuffer(raw or b"", np.uint8)[offsets[0] : offsets[-1]]
+        begins = offsets - offsets[0]
+        size = len(data)
+        mark = word_starts(data, self.fixed) if size > 1 else np.ones(size, bool)
+        mark[begins[:-1][begins[:-1] < size]] = True
+        at = np.append(np.flatnonzero(mark), size)
+        words = pa.Array.from_buffers(pa.large_string(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(data)])
+        coded = words.dictionary_encode()
+        number, ids, lengths = self._numbers(coded.dictionary)
+        # the end of each text is word 0 behind its last word
+        ends = np.searchsorted(at[:-1], begins[1:])
+        order = np.insert(number[coded.indices.to_numpy()], ends, 0)
+        count = lengths[order]
+        from_id = (np.cumsum(lengths) - lengths)[order]
+        before = np.cumsum(count) - count
+        out = ids[np.repeat(from_id - before, count) + np.arange(int(count.sum()))]
+        last = ends + np.arange(n)
+        through = before[last] + count[last]
+        return out, np.diff(through, prepend=0)

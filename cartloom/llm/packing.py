@@ -34,8 +34,8 @@ from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cartloom.llm.common import TextEncoder, parts, pin_table, texts_of
-from cartloom.llm.token_output import id_width
+from cartloom.llm.common import TextEncoder, binary_rows, parts, pin_table
+from cartloom.llm.token_output import TEXT_BYTES, id_width
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -79,19 +79,17 @@ def queued(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = TextEncoder.on_worker(vocabulary, end_id)
-        width, at = encoder.dtype.itemsize, {}
-        number = TaskContext.get().partitionId()
+        at, number = {}, TaskContext.get().partitionId()
         for batch in batches:
-            for part in parts(batch, "text", 4 << 20):
-                ids, local, sizes = encoder.encode(texts_of(part)), [], []
-                for source, raw in zip(part.column("source").to_pylist(), ids, strict=True):
+            for part in parts(batch, "text", TEXT_BYTES):
+                (ids, sizes), local = encoder.encode(part.column("text")), []
+                for source, n in zip(part.column("source").to_pylist(), sizes.tolist(), strict=True):
                     local.append(at.get(source, 0))
-                    sizes.append(len(raw) // width)
-                    at[source] = local[-1] + sizes[-1]
+                    at[source] = local[-1] + n
                 yield pa.record_batch(
                     [
                         pa.array(np.full(part.num_rows, number, np.int32)), part.column("doc_id"), part.column("source"),
-                        pa.array(local, pa.int64()), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()),
+                        pa.array(local, pa.int64()), pa.array(sizes), binary_rows(ids, sizes),
                     ],
                     ["part", "doc_id", "source", "local", "n_tokens", "ids"],
                 )

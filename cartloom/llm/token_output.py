@@ -7,13 +7,15 @@ reader turns control bytes into lengths with a table and gathers the values with
 numpy, without a loop over ids.
 
 A data set is a folder of Parquet shards in ascending ``doc_id`` order (missing
-ids first, equal ids by text), one row per document, beside a table of the ids by
-rank. Shards are written by Spark's own writer, so a lost executor costs a retry
-and no half-written shard is ever seen.
+ids first, rows of one id by a hash of their tokens), one row per document with its
+place in the shard, beside a table of the ids by rank. Shards are written by Spark's
+own writer, so a lost executor costs a retry and no half-written shard is ever seen.
 
 Empty and missing texts hold the end id alone. Repeated rows are written as often
-as they occur. An empty table gives an empty data set. Only ``doc_id`` and
-``text`` are read, so further columns of any name do no harm.
+as they occur, one after another. Rows without an id, or with the same one, are
+spread by that hash like all others. An empty table gives an empty data set. A text
+is one row of a shard, however long: it is coded whole in the memory of a task. Only
+``doc_id`` and ``text`` are read, so further columns of any name do no harm.
 """
 
 from __future__ import annotations
@@ -27,12 +29,14 @@ from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cartloom.llm.common import TextEncoder, parts, pin_table, texts_of
+from cartloom.llm.common import TextEncoder, binary_rows, parts, pin_table
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 IDS_SCHEMA = "doc_id long, n_tokens long, ids binary"
-SHARD_SCHEMA = "shard int, doc_id long, n_tokens long, control binary, data binary"
+SHARD_SCHEMA = "shard int, begin long, doc_id long, n_tokens long, control binary, data binary"
+#: Text that is encoded at once; a longer text is encoded by itself.
+TEXT_BYTES = 8 << 20
 #: Data bytes of the four values of each control byte.
 LENGTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
 
@@ -82,13 +86,11 @@ def tokenize(docs: DataFrame, vocabulary: str, end_id: int | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = TextEncoder.on_worker(vocabulary, end_id)
-        width = encoder.dtype.itemsize
         for batch in batches:
-            for part in parts(batch, "text", 4 << 20):
-                ids = encoder.encode(texts_of(part))
+            for part in parts(batch, "text", TEXT_BYTES):
+                ids, counts = encoder.encode(part.column("text"))
                 yield pa.record_batch(
-                    [part.column("doc_id"), pa.array([len(x) // width for x in ids], pa.int64()), pa.array(ids, pa.binary())],
-                    ["doc_id", "n_tokens", "ids"],
+                    [part.column("doc_id"), pa.array(counts), binary_rows(ids, counts)], ["doc_id", "n_tokens", "ids"]
                 )
 
     chosen = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
@@ -138,27 +140,33 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int
     shared = spark.sparkContext.broadcast(rank_of)
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard = TaskContext.get().partitionId()
+        shard, begin = TaskContext.get().partitionId(), 0
         for batch in batches:
             for part in parts(batch, "ids", 4 << 20):
                 ids = np.frombuffer(b"".join(part.column("ids").to_pylist()), dtype)
-                coded = encode_ranks(shared.value[ids], part.column("n_tokens").to_numpy())
+                counts = part.column("n_tokens").to_numpy()
+                coded = encode_ranks(shared.value[ids], counts)
                 yield pa.record_batch(
                     [
-                        pa.array(np.full(part.num_rows, shard, np.int32)), part.column("doc_id"), part.column("n_tokens"),
+                        pa.array(np.full(part.num_rows, shard, np.int32)), pa.array(begin + np.cumsum(counts) - counts),
+                        part.column("doc_id"), part.column("n_tokens"),
                         pa.array([c for c, _ in coded], pa.binary()), pa.array([d for _, d in coded], pa.binary()),
                     ],
-                    ["shard", "doc_id", "n_tokens", "control", "data"],
+                    ["shard", "begin", "doc_id", "n_tokens", "control", "data"],
                 )
+                begin += int(counts.sum())
 
-    ordered = tokens.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
+    # one id may hold many rows: a hash of the tokens cuts them too, the tokens settle ties
+    order_keys = ["doc_id", F.xxhash64("ids"), "ids"]
+    ordered = tokens.repartitionByRange(*order_keys[:2]).sortWithinPartitions(*order_keys)
     coded = ordered.mapInArrow(code, SHARD_SCHEMA)
     # the code is dense already; other compression would only cost time
     coded.write.option("compression", "none").option("parquet.enable.dictionary", "false").parquet(f"{folder}/shards")
 
 
 def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
-    """``shard``, ``doc_id``, ``n_tokens``, ``ids`` (little-endian unsigned 32-bit) of each document."""
+    """``shard``, ``begin`` (tokens before it in the shard), ``doc_id``, ``n_tokens``, ``ids`` (little-endian
+    unsigned 32-bit) of each document."""
     order = spark.read.parquet(f"{folder}/ranks").orderBy("rank").toArrow().column("id").to_numpy().astype("<u4")
     shared = spark.sparkContext.broadcast(order)
 
@@ -168,35 +176,26 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
                 yield _decoded(part, shared.value)
 
     shards = spark.read.schema(SHARD_SCHEMA).parquet(f"{folder}/shards")
-    return shards.mapInArrow(decode, "shard int, doc_id long, n_tokens long, ids binary")
+    return shards.mapInArrow(decode, "shard int, begin long, doc_id long, n_tokens long, ids binary")
 
 
 def _decoded(part: pa.RecordBatch, order: np.ndarray) -> pa.RecordBatch:
     counts = part.column("n_tokens").to_numpy()
     ranks = decode_ranks(part.column("control").to_pylist(), part.column("data").to_pylist(), counts)
-    raw = order[ranks].tobytes()
-    ends = (np.cumsum(counts) * 4).tolist()
-    ids = [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
-    return pa.record_batch(
-        [part.column("shard"), part.column("doc_id"), part.column("n_tokens"), pa.array(ids, pa.binary())],
-        ["shard", "doc_id", "n_tokens", "ids"],
-    )
+    names = ["shard", "begin", "doc_id", "n_tokens"]
+    return pa.record_batch([*map(part.column, names), binary_rows(order[ranks], counts)], [*names, "ids"])
 
 
 def token_digest(read: DataFrame) -> DataFrame:
     """Per document: ``start`` (ids of all documents before it), ``n_tokens`` and the crc32 of its ids.
 
-    Starts come from one sum per shard and a running sum inside each shard.
+    The place in the shard is in the files; one sum per shard gives the ids of the shards before it.
     """
-    rows = read.select("shard", "doc_id", "n_tokens", F.crc32("ids").alias("ids_crc32"))
-    rows = pin_table(rows)
+    rows = pin_table(read.select("shard", "begin", "doc_id", "n_tokens", F.crc32("ids").alias("ids_crc32")))
     sums = rows.groupBy("shard").agg(F.sum("n_tokens").alias("shard_tokens"))
     # one row per shard
     before = F.sum("shard_tokens").over(Window.orderBy("shard")) - F.col("shard_tokens")
     offsets = sums.select("shard", before.alias("shard_start"))
-    inside = Window.partitionBy("shard").orderBy("doc_id", "n_tokens", "ids_crc32").rowsBetween(Window.unboundedPreceding, -1)
-    local = rows.withColumn("local_start", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
-    return local.join(offsets, "shard").select(
-        "doc_id", (F.col("shard_start") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32"
+    return rows.join(offsets, "shard").select(
+        "doc_id", (F.col("shard_start") + F.col("begin")).alias("start"), "n_tokens", "ids_crc32"
     )
-

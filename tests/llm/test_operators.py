@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -60,8 +61,29 @@ def test_encoder_equals_the_library(path, end):
     texts = ["".join(random.choices(alphabet, k=random.randrange(40))) for _ in range(400)]
     encoder, plain = TextEncoder(path, end, keep=50), Tokenizer.from_file(path)
     for at in range(0, len(texts), 40):
-        got = [np.frombuffer(b, encoder.dtype).tolist() for b in encoder.encode(texts[at : at + 40])]
-        assert got == [plain.encode(t, add_special_tokens=False).ids + [end] for t in texts[at : at + 40]]
+        some = texts[at : at + 40]
+        ids, counts = encoder.encode(pa.array(some, pa.string()))
+        got = [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
+        assert got == [plain.encode(t or "", add_special_tokens=False).ids + [end] for t in some]
+    assert encoder.encode(pa.array([], pa.string()))[1].tolist() == []
+
+
+def test_token_files_of_one_id(spark, tmp_path):
+    """Starts follow the files when an id holds several texts, or is missing."""
+    texts = [(7, "one two three"), (7, "x"), (None, "a b c d e f g"), (7, ""), (None, "z z"), (7, "one two three"), (3, "k")]
+    folder = str(tmp_path / "t")
+    token_output.write_token_files(spark.createDataFrame(texts, "doc_id long, text string").repartition(3), folder, BYTE, 0)
+    read = token_output.read_token_files(spark, folder).collect()
+    stored = [r for r in sorted(read, key=lambda r: (r.shard, r.begin))]
+    assert [r.doc_id for r in stored] == [None, None, 3, 7, 7, 7, 7]
+    got = token_output.token_digest(token_output.read_token_files(spark, folder)).orderBy("start").collect()
+    at = 0
+    for r, s in zip(got, stored, strict=True):
+        assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (s.doc_id, at, s.n_tokens, zlib.crc32(s.ids))
+        at += r.n_tokens
+    plain = Tokenizer.from_file(BYTE)
+    want = Counter((d, zlib.crc32(np.array(plain.encode(t, add_special_tokens=False).ids + [0], "<u4").tobytes())) for d, t in texts)
+    assert Counter((r.doc_id, r.ids_crc32) for r in got) == want
 
 
 def test_rank_code_round_trip():
