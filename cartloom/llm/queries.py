@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartloom.llm import (
+    bin_packing,
     chunk_dedup,
     exact_dedup,
     language,
@@ -112,10 +113,18 @@ def op10_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = bin_packing.pack(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), end_id=2)
+    return pieces.select(
+        "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset", "doc_tokens"
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_token_files, op2_language_spans, op3_exact_duplicates, op4_quality_ledger, op5_source_mix,
         op6_repeated_passages, op7_secret_spans, op8_toxicity_scores, op9_near_duplicates, op10_mixture_packing,
+        op11_slack_packing,
     )
 }
