@@ -17,8 +17,10 @@ from cartloom.llm import (
     packing,
     quality_rules,
     secrets,
+    spelling,
     token_output,
     toxicity,
+    whitening,
 )
 from cartloom.llm.common import held_out
 from cartloom.plans.pinning import shared_dir
@@ -120,11 +122,19 @@ def op11_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_whitened_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(documents(spark, sf_dir))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_token_files, op2_language_spans, op3_exact_duplicates, op4_quality_ledger, op5_source_mix,
         op6_repeated_passages, op7_secret_spans, op8_toxicity_scores, op9_near_duplicates, op10_mixture_packing,
-        op11_slack_packing,
+        op11_slack_packing, op12_whitened_embeddings, op13_spelling_variants,
     )
 }
