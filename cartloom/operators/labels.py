@@ -8,11 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartloom.functions.fixed_values import FORMAT_RULES, LABEL_RULES
-from cartloom.functions.rules import text_match_columns
 from cartloom.operators.members import shares_by_short_name
+from cartloom.operators.rule_index import rule_hits
 from cartloom.plans.ordering import join_on_keys
 
-RULES_PER_BATCH = 200
 LABEL_SCHEMA = "match_name string, text_name string, freeform_text string, emoji_name string, row_num int"
 FORMAT_SCHEMA = "match_name string, text_name string, format_name string, color_name string, row_num int"
 
@@ -41,21 +40,6 @@ def format_rules(spark: SparkSession, rules: Sequence[tuple] = FORMAT_RULES) ->
     return spark.createDataFrame(_numbered(rules), FORMAT_SCHEMA)
 
 
-def _rule_hits(items: DataFrame, rules: DataFrame, payload: list[str]) -> DataFrame:
-    """(item, payload...) for every rule an item matches.
-
-    Rules are gathered in batches of about RULES_PER_BATCH. Each item meets each batch by
-    its number, an equi-join, and is tested against the batch's rules inside the row.
-    """
-    n_batches = max(1, -(-rules.count() // RULES_PER_BATCH))
-    number = F.pmod(F.xxhash64(*rules.columns), F.lit(n_batches)).cast("int")
-    batches = rules.groupBy(number.alias("batch")).agg(F.collect_list(F.struct(*rules.columns)).alias("rules"))
-    spread = items.select("item", F.explode(F.sequence(F.lit(0), F.lit(n_batches - 1))).alias("batch"))
-    hits = F.filter("rules", lambda r: text_match_columns(F.col("item"), r["match_name"], r["text_name"]))
-    found = spread.join(batches, "batch").select("item", F.explode(hits).alias("hit"))
-    return found.select("item", *[F.col("hit")[c].alias(c) for c in payload])
-
-
 def item_symbols(lines: DataFrame, rules: DataFrame) -> DataFrame:
     """(item, symbol_text): the texts of all matching rules, sorted and pasted together.
 
@@ -69,7 +53,7 @@ def item_symbols(lines: DataFrame, rules: DataFrame) -> DataFrame:
     )
     texts = rules.withColumn("symbol", symbol).filter(F.col("symbol").isNotNull())
     return (
-        _rule_hits(items, texts, ["symbol"])
+        rule_hits(items, texts, ["symbol"])
         .groupBy("item")
         .agg(F.array_join(F.sort_array(F.collect_list("symbol")), "").alias("symbol_text"))
     )
@@ -88,10 +72,18 @@ def item_label(quantity: Column, item: Column, symbol_text: Column) -> Column:
 
 def labelled(cells: DataFrame, symbols: DataFrame) -> DataFrame:
     """Cells with ``item_symbol``."""
-    joined = cells.join(symbols, "item", "left")
+    joined = _with_items(cells, symbols)
     return joined.withColumn("item_symbol", item_label(F.col("quantity"), F.col("item"), F.col("symbol_text")))
 
 
+def _with_items(cells: DataFrame, named: DataFrame) -> DataFrame:
+    """Cells with the columns of their item. There is a blank cell per member, and blank cells
+    match nothing, so they take no part in the join, where all of them would share one key."""
+    filled = cells.filter(F.col("item").isNotNull()).join(named, "item", "left")
+    blank = cells.filter(F.col("item").isNull())
+    return filled.unionByName(blank, allowMissingColumns=True)
+
+
 def with_run_suffix(cells: DataFrame, run: dict) -> DataFrame:
     """Group headers say which run they belong to; a blank row has no label.
 
@@ -134,7 +126,7 @@ def item_formats(cells: DataFrame, rules: DataFrame) -> DataFrame:
     useful = rules.filter(F.col("format_name").isNotNull() | F.col("color_name").isNotNull())
     last = F.max(F.struct("row_num", "format_name", "color_name")).alias("last")
     return (
-        _rule_hits(items, useful, ["row_num", "format_name", "color_name"])
+        rule_hits(items, useful, ["row_num", "format_name", "color_name"])
         .groupBy("item")
         .agg(last)
         .select("item", "last.format_name", "last.color_name", "last.row_num")
@@ -152,7 +144,7 @@ def cell_styles(cells: DataFrame, shares: DataFrame, formats: DataFrame) -> Data
     """One style row per styled cell: conditional fill and bold, then the static style on top."""
     colours = shares_by_short_name(shares).select("group_name", F.col("highlight_color_hex").alias("group_hex"))
     with_colour = join_on_keys(cells, colours, ["group_name"], "left")
-    joined = with_colour.join(formats, "item", "left")
+    joined = _with_items(with_colour, formats)
     hex_colour = F.when(F.col("rank") <= 0, F.col("group_hex"))
     styled = F.col("row_num").isNotNull()
     out = joined.select(

@@ -8,14 +8,18 @@ most the number of members one page can hold. The job is then
 
 1. range partition the members (:func:`ordered_slots`); a big group spans many chunks,
 2. sum up every chunk on its own,
-3. chain the sums of a group's chunks (one small row per chunk),
-4. place the members of every chunk from its known start.
+3. join the sums of neighbouring chunks, ``FAN_IN`` at a time, level by level: a sum of sums
+   has the same form and size, so this is a tree, and then
+4. walk down the tree, each node giving its children their starts,
+5. place the members of every chunk from its known start.
+
+No task sees more than ``FAN_IN`` sums, however many members a group has.
 """
 
 from __future__ import annotations
 
 import sys
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -28,12 +32,17 @@ from cartloom.functions.fixed_values import PAGE_ROWS
 from cartloom.operators.deletes import is_order_only_member, is_plant
 from cartloom.operators.lines import each_line, exploded
 from cartloom.operators.standards import listed
+from cartloom.plans import ordering
 from cartloom.plans.ordering import join_on_keys, ordered_slots, running_offsets
+from cartloom.plans.pinning import pin_table
 
 # workers get the packing functions themselves, so executors need no copy of this package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 EMPTY_PAGE = (0, 0, 0, 0)  # rows of column 1 and 2, members of column 1 and 2
+PLACED_COLUMNS = "id bigint, n int, has_header boolean, page_n bigint, column_n int, rows_ahead int"
+#: So many sums of chunks are joined in one task.
+FAN_IN = 64
 
 
 # ---------------------------------------------------------------- rows of a member
@@ -145,7 +154,43 @@ def _through(state, head, ends, cap):
     return 0, state
 
 
-_STATE = "rows1 int, rows2 int, members1 int, members2 int"
+def _join_sums(first, second, cap):
+    """The sum of two neighbouring runs of members, from their sums."""
+    (head, ends), (more, more_ends) = first, second
+    joined = []
+    for pages, *state in ends:
+        opened, state = _through(tuple(state), more, more_ends, cap)
+        joined.append((pages + opened, *state))
+    # the first break can fall into the second run only if the first is shorter than a page can be
+    room = 2 * cap - len(head)
+    return [*head, *more[:room]], joined + more_ends[:room]
+
+
+def _starts(sums: list, page: int, state: tuple, forced: bool, cap: int) -> list[tuple]:
+    """Page, state and whether a page is forced open, before each of some neighbouring runs."""
+    out = []
+    for head, ends in sums:
+        out.append((page, *state, forced))
+        if forced:
+            opened, *state = ends[0]
+            opened, state = opened - 1, tuple(state)
+        else:
+            opened, state = _through(state, head, ends, cap)
+        page, forced = page + opened, False
+    return out
+
+
+def _sums_of(pdf: pd.DataFrame) -> list:
+    """``(head, ends)`` of each row, in order of nodes."""
+    rows = pdf.sort_values("node")
+    return [
+        (list(head), [tuple(flat[i : i + 5]) for i in range(0, len(flat), 5)])
+        for head, flat in zip(rows["head"], rows["ends"])
+    ]
+
+
+def _sums_row(keys: dict, head: list, ends: list) -> pd.DataFrame:
+    return pd.DataFrame([keys | {"head": head, "ends": [v for end in ends for v in end]}])
 
 
 def pack_pages(
@@ -168,17 +213,37 @@ def pack_pages(
     ).select(*group_cols, "chunk", "slot", "id", "n", "has_header")
     fields = {f.name: f.dataType.simpleString() for f in placed.schema}
     key_ddl = ", ".join(f"`{c}` {fields[c]}" for c in group_cols)
-    chunk_keys = [*group_cols, "chunk"]
+    chunk_keys, node_keys = [*group_cols, "chunk"], [*group_cols, "node"]
+    sums_schema = f"{key_ddl}, node bigint, head array<int>, ends array<bigint>"
+    starts_schema = f"{key_ddl}, node bigint, page bigint, rows1 int, rows2 int, members1 int, members2 int, forced boolean"
+    parent = F.expr(f"node div {FAN_IN}").alias("node")
 
     def chunk_sums(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        head, ends = _chunk_sums(_sizes(pdf), cap)
-        flat = [v for end in ends for v in end]
-        row = dict(zip(chunk_keys, key)) | {"head": head, "ends": flat}
-        return pd.DataFrame([row])
-
-    sums = placed.groupBy(*chunk_keys).applyInPandas(
-        chunk_sums, f"{key_ddl}, chunk bigint, head array<int>, ends array<bigint>"
-    )
+        return _sums_row(dict(zip(node_keys, key)), *_chunk_sums(_sizes(pdf), cap))
+
+    sums = placed.withColumnRenamed("chunk", "node").groupBy(*node_keys).applyInPandas(chunk_sums, sums_schema)
+    # a chunk's number has the partition in its high bits; nodes are numbered closely
+    bits = 33 - ordering.CHUNK_BITS
+    run = F.col("node").bitwiseAND((1 << bits) - 1)
+    level = pin_table(sums)
+    part = F.shiftright("node", bits)
+    widest = level.agg(F.max(part).alias("part"), F.max(run).alias("run")).first()
+    if widest.part is None:
+        return sizes.sparkSession.createDataFrame([], f"{key_ddl}, {PLACED_COLUMNS}")
+    runs = widest.run + 1
+    level = level.withColumn("node", part * runs + run)
+
+    def join_level(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        found = _sums_of(pdf)
+        whole = found[0]
+        for more in found[1:]:
+            whole = _join_sums(whole, more, cap)
+        return _sums_row(dict(zip(node_keys, key)), *whole)
+
+    levels, last = [level], widest.part * runs + widest.run
+    while last >= FAN_IN:
+        levels.append(pin_table(levels[-1].groupBy(*group_cols, parent).applyInPandas(join_level, sums_schema)))
+        last //= FAN_IN
     # missing names sort last here too
     sortable = [f for c in group_cols for f in (F.col(c).isNull().alias(f"no_{c}"), F.col(c))]
     firsts = (
@@ -186,27 +251,33 @@ def pack_pages(
         .agg(F.min(F.struct(*sortable)).alias("first_group"))
         .select(*[F.col("first_group")[c].alias(c) for c in group_cols], F.lit(True).alias("opens_run"))
     )
-    marked = join_on_keys(sums, firsts, group_cols, "left")
-
-    def chain(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        out, page, state = [], 1, EMPTY_PAGE
-        for at, row in enumerate(pdf.sort_values("chunk").to_dict("records")):
-            forced = at == 0 and bool(row["opens_run"])
-            out.append((*key, row["chunk"], page, *state, forced))
-            ends = [tuple(row["ends"][i : i + 5]) for i in range(0, len(row["ends"]), 5)]
-            if forced:
-                opened, *state = ends[0]
-                opened, state = opened - 1, tuple(state)
-            else:
-                opened, state = _through(state, row["head"], ends, cap)
-            page += opened
-        columns = [*group_cols, "chunk", "page", "rows1", "rows2", "members1", "members2", "forced"]
-        return pd.DataFrame(out, columns=columns)
+    marked = join_on_keys(levels[-1], firsts, group_cols, "left").withColumn(
+        "opens_run", F.coalesce("opens_run", F.lit(False))
+    )
+
+    def started(key: tuple, pdf: pd.DataFrame, begins: list[tuple]) -> pd.DataFrame:
+        nodes = sorted(pdf["node"])
+        rows = [(*key[: len(group_cols)], node, *begin) for node, begin in zip(nodes, begins)]
+        return pd.DataFrame(rows, columns=[*node_keys, "page", "rows1", "rows2", "members1", "members2", "forced"])
 
-    # one row per chunk, which holds up to 2 ** CHUNK_BITS members
-    starts = marked.withColumn("opens_run", F.coalesce("opens_run", F.lit(False))).groupBy(
-        *group_cols
-    ).applyInPandas(chain, f"{key_ddl}, chunk bigint, page bigint, {_STATE}, forced boolean")
+    def from_top(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return started(key, pdf, _starts(_sums_of(pdf), 1, EMPTY_PAGE, bool(pdf["opens_run"].iloc[0]), cap))
+
+    def from_parent(key: tuple, pdf: pd.DataFrame, above: pd.DataFrame) -> pd.DataFrame:
+        begin = above.iloc[0]
+        state = tuple(int(begin[c]) for c in ("rows1", "rows2", "members1", "members2"))
+        return started(key, pdf, _starts(_sums_of(pdf), int(begin["page"]), state, bool(begin["forced"]), cap))
+
+    # at the top a group has FAN_IN nodes at most
+    starts = marked.groupBy(*group_cols).applyInPandas(from_top, starts_schema)
+    for below in reversed(levels[:-1]):
+        starts = (
+            below.groupBy(*group_cols, parent)
+            .cogroup(starts.groupBy(*node_keys))
+            .applyInPandas(from_parent, starts_schema)
+        )
+    number = F.shiftleft(F.expr(f"node div {runs}"), bits) + F.col("node") % runs
+    starts = starts.withColumn("chunk", number).drop("node")
 
     def place(key: tuple, members: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
         members = members.sort_values("slot")
@@ -235,53 +306,85 @@ def pack_pages(
         placed.groupBy(*chunk_keys)
         .cogroup(starts.groupBy(*chunk_keys))
         .applyInPandas(
-            place, f"{key_ddl}, id bigint, n int, has_header boolean, page_n bigint, column_n int, rows_ahead int"
+            place, f"{key_ddl}, {PLACED_COLUMNS}"
         )
     )
 
 
 # ---------------------------------------------------------------------------- grid
 
-def page_cells(members: DataFrame, packed: DataFrame, run_cols: Sequence[str] = ()) -> DataFrame:
-    """Filled cells: the group header on top of every used column, then the members' rows.
+#: What a cell holds.
+CELL_FIELDS = ("id", "n", "rank", "quantity", "item", "standard_item", "name_long", "lastname", "firstname")
+
 
-    The first member of a column (no rows ahead) brings the header along, so headers
+def _placed_rows(members: DataFrame, packed: DataFrame) -> tuple[DataFrame, Column, Column]:
+    """Members with their place, their rows as cells, and the rows of the page above them.
+
+    The first member of a column (no rows ahead) brings the group header along, so headers
     need no join of their own. Rows are numbered inside the member's row.
     """
-    header = line(-1, None, None, F.col("group_name"), None)
-    header = F.struct(
-        *[header[c].alias(c) for c in ("rank", "seq", "quantity", "item")],
-        F.lit(None).cast("int").alias("standard_item"),
-    )
     opens = (F.col("rows_ahead") == 0) & F.col("has_header")
     placed = members.join(packed.select("id", "page_n", "column_n", "rows_ahead"), "id")
-    rows = F.concat(F.when(opens, F.array(header)).otherwise(F.slice("rows", 1, 0)), F.col("rows"))
+    row = line(-1, None, None, F.col("group_name"), None)
+    header = {c: row[c] for c in ("rank", "quantity", "item")} | {"id": F.lit(0).cast("long"), "n": F.lit(1)}
+
+    def cell(values: dict[str, Column]) -> Column:
+        return F.struct(*[values[c].alias(c) for c in CELL_FIELDS])
+
+    def missing(name: str) -> Column:
+        kind = "int" if name == "standard_item" else "string"
+        return header.get(name, F.lit(None).cast(kind))
+
+    own = {c: F.col(c) for c in ("id", "n", "name_long", "lastname", "firstname")}
+    parts = ("rank", "quantity", "item", "standard_item")
+    filled = F.transform("rows", lambda r: cell(own | {c: r[c] for c in parts}))
+    top = F.array(cell({c: missing(c) for c in CELL_FIELDS}))
+    cells = F.concat(F.when(opens, top).otherwise(F.slice(filled, 1, 0)), filled)
     skip = F.col("rows_ahead") + F.when(F.col("has_header") & (F.col("rows_ahead") > 0), 1).otherwise(0)
-    cells = placed.select(
-        *run_cols, "group_name", "page_n", "column_n", "id", "n", "name_long", "lastname", "firstname",
-        skip.alias("skip"), F.posexplode(rows).alias("pos", "row"),
-    )
-    is_header = F.col("row.rank") == -1
-
-    def of_member(name: str) -> Column:
-        return F.when(~is_header, F.col(name)).alias(name)
-
-    return cells.select(
-        *run_cols,
-        "group_name",
-        "page_n",
-        (F.col("skip") + F.col("pos") + 1).cast("int").alias("row_n"),
-        "column_n",
-        F.when(is_header, F.lit(0).cast("long")).otherwise(F.col("id")).alias("id"),
-        F.when(is_header, 1).otherwise(F.col("n")).alias("n"),
-        F.col("row.rank").alias("rank"),
-        F.col("row.quantity").alias("quantity"),
-        F.col("row.item").alias("item"),
-        F.col("row.standard_item").alias("standard_item"),
-        of_member("name_long"),
-        of_member("lastname"),
-        of_member("firstname"),
-    )
+    return placed, cells, skip
+
+
+def page_cells(members: DataFrame, packed: DataFrame, run_cols: Sequence[str] = ()) -> DataFrame:
+    """Filled cells: the group header on top of every used column, then the members' rows."""
+    placed, cells, skip = _placed_rows(members, packed)
+    place = [*run_cols, "group_name", "page_n"]
+    each = placed.select(*place, "column_n", skip.alias("skip"), F.posexplode(cells).alias("pos", "cell"))
+    return each.select(*place, (F.col("skip") + F.col("pos") + 1).cast("int").alias("row_n"), "column_n", "cell.*")
+
+
+def page_columns(
+    members: DataFrame,
+    packed: DataFrame,
+    fields: Sequence[str] = CELL_FIELDS,
+    run_cols: Sequence[str] = (),
+) -> DataFrame:
+    """One row per page: ``cells_1`` and ``cells_2``, the cells of its columns from the top.
+
+    Members move to their page as they are, rows packed in arrays, in one shuffle; blank cells
+    never move. A page holds few members, so a group of any size is many small keys.
+    """
+    placed, cells, _ = _placed_rows(members, packed)
+    wanted = F.transform(cells, lambda c: F.struct(*[c[f].alias(f) for f in fields]))
+    pieces = placed.select(*run_cols, "group_name", "page_n", F.struct("column_n", "rows_ahead", wanted.alias("cells")).alias("piece"))
+    return _by_page(pieces, run_cols, lambda x: x["cells"])
+
+
+def gathered_pages(cells: DataFrame, fields: Sequence[str], run_cols: Sequence[str] = ()) -> DataFrame:
+    """The same from filled cells, for what is known only per cell, such as labels."""
+    content = F.array(F.struct(*fields)).alias("cells")
+    pieces = cells.select(*run_cols, "group_name", "page_n", F.struct("column_n", "row_n", content).alias("piece"))
+    return _by_page(pieces, run_cols, lambda x: x["cells"])
+
+
+def _by_page(pieces: DataFrame, run_cols: Sequence[str], cells: Callable[[Column], Column]) -> DataFrame:
+    page = [*run_cols, "group_name", "page_n"]
+    grouped = pieces.groupBy(*page).agg(F.sort_array(F.collect_list("piece")).alias("pieces"))
+
+    def column(k: int) -> Column:
+        mine = F.filter("pieces", lambda x: x["column_n"] == k)
+        return F.flatten(F.transform(mine, cells)).alias(f"cells_{k}")
+
+    return grouped.select(*page, column(1), column(2))
 
 
 def page_overflow(cells: DataFrame, max_rows: int = PAGE_ROWS) -> DataFrame:
@@ -303,62 +406,69 @@ def require_no_overflow(cells: DataFrame, max_rows: int = PAGE_ROWS) -> DataFram
     return cells
 
 
-def blank_cells(packed: DataFrame, max_rows: int = PAGE_ROWS, run_cols: Sequence[str] = ()) -> DataFrame:
-    """The empty rest of both columns of every page, so each page has all its rows twice.
+def _fitting(max_rows: int) -> Column:
+    """The numbers of a page's rows. A column longer than the page is an error: its end would not be printed."""
+    where = F.format_string("column longer than a page: group %s, page %s", "group_name", "page_n")
+    longest = F.greatest(F.size("cells_1"), F.size("cells_2"))
+    return F.sequence(F.lit(1), F.when(longest > max_rows, F.raise_error(where).cast("int")).otherwise(F.lit(max_rows)))
 
-    Worked out from the placements: one small row per member instead of the cells.
-    """
-    end = F.col("rows_ahead") + F.col("n") + F.col("has_header").cast("int")
-    page = [*run_cols, "group_name", "page_n"]
-    used = packed.groupBy(*page).agg(
-        F.coalesce(F.max(F.when(F.col("column_n") == 1, end)), F.lit(0)).alias("used1"),
-        F.coalesce(F.max(F.when(F.col("column_n") == 2, end)), F.lit(0)).alias("used2"),
-    )
 
-    def rest(column: int, name: str) -> Column:
-        below = F.when(F.col(name) < max_rows, F.sequence(F.col(name) + 1, F.lit(max_rows)))
-        rows = F.coalesce(below, F.array().cast("array<int>"))
-        return F.transform(rows, lambda r: F.struct(F.lit(column).alias("column_n"), r.alias("row_n")))
+def _cell(column: int, row: Column) -> Column:
+    """A cell by its place; missing below the last one of its column."""
+    return F.get(F.col(f"cells_{column}"), row - 1)
 
-    spots = used.select(*page, F.explode(F.concat(rest(1, "used1"), rest(2, "used2"))).alias("spot"))
-    return spots.select(*page, "spot.row_n", "spot.column_n")
 
+def page_grid(pages: DataFrame, max_rows: int = PAGE_ROWS, run_cols: Sequence[str] = ()) -> DataFrame:
+    """Both columns of every page, rows 1 to ``max_rows``; unused cells hold no member."""
 
-def page_grid(
-    cells: DataFrame, packed: DataFrame, max_rows: int = PAGE_ROWS, run_cols: Sequence[str] = ()
-) -> DataFrame:
-    """Both columns of every page, rows 1 to ``max_rows``; unused cells hold no member.
+    def both(row: Column) -> Column:
+        return F.array(*[
+            F.struct(row.alias("row_n"), F.lit(k).alias("column_n"), _cell(k, row).alias("cell")) for k in (1, 2)
+        ])
+
+    spots = pages.select(*run_cols, "group_name", "page_n", F.explode(F.flatten(F.transform(_fitting(max_rows), both))).alias("spot"))
+    return spots.select(*run_cols, "group_name", "page_n", "spot.row_n", "spot.column_n", "spot.cell.*")
 
-    A column longer than a page is an error when the grid is computed: its end would not
-    be printed.
-    """
-    where = F.format_string("column longer than a page: group %s, page %s", "group_name", "page_n")
-    row = F.when(F.col("row_n") > max_rows, F.raise_error(where).cast("int")).otherwise(F.col("row_n"))
-    printed = cells.withColumn("row_n", row.cast(cells.schema["row_n"].dataType))
-    return printed.unionByName(blank_cells(packed, max_rows, run_cols), allowMissingColumns=True)
 
+def two_column_sheet(
+    pages: DataFrame, value: str = "item", max_rows: int = PAGE_ROWS, run_cols: Sequence[str] = ()
+) -> DataFrame:
+    """The columns of a page side by side, a row per line of the page."""
+    extra = [c for c in pages.columns if c not in (*run_cols, "group_name", "page_n", "cells_1", "cells_2")]
 
-def two_column_sheet(grid: DataFrame, value: str = "item", run_cols: Sequence[str] = ()) -> DataFrame:
-    """The columns of a page side by side. Keys are cells, so a group never gathers anywhere."""
-    return grid.groupBy(*run_cols, "group_name", "page_n", "row_n").agg(
-        F.max(F.when(F.col("column_n") == 1, F.col(value))).alias("item_1"),
-        F.max(F.when(F.col("column_n") == 2, F.col(value))).alias("item_2"),
+    def pair(row: Column) -> Column:
+        return F.struct(
+            row.alias("row_n"), _cell(1, row)[value].alias("item_1"), _cell(2, row)[value].alias("item_2")
+        )
+
+    lines = pages.select(
+        *run_cols, "group_name", "page_n", *extra, F.explode(F.transform(_fitting(max_rows), pair)).alias("x")
     )
+    return lines.select(*run_cols, "group_name", "page_n", "x.*", *extra)
 
 
 def page_subset(sheet: DataFrame, group_name: str, page_n: int) -> DataFrame:
     return sheet.filter((F.col("group_name") == group_name) & (F.col("page_n") == page_n))
 
 
-def sheet_rows(sheet: DataFrame, max_rows: int = PAGE_ROWS, run_cols: Sequence[str] = ()) -> DataFrame:
-    """Adds ``sheet_row``: the row on one long sheet per run with all pages below each other."""
+def numbered_pages(pages: DataFrame, run_cols: Sequence[str] = ()) -> DataFrame:
+    """Adds ``n_pages`` of the group, its ``last_page``, and ``page_seq``: pages ahead on one long sheet per run."""
     group = [*run_cols, "group_name"]
-    pages = sheet.groupBy(*group).agg(F.max("page_n").alias("last_page"), F.min("page_n").alias("first_page"))
-    pages = pages.withColumn("n_pages", F.col("last_page") - F.col("first_page") + 1).withColumn("all", F.lit(1))
-    before = running_offsets(pages, [*run_cols, "all"], [F.col("group_name").asc_nulls_last()], "n_pages")
-    numbered = join_on_keys(sheet, before.select(*group, "first_page", "before"), group)
+    found = pages.groupBy(*group).agg(F.max("page_n").alias("last_page"), F.min("page_n").alias("first_page"))
+    found = found.withColumn("n_pages", F.col("last_page") - F.col("first_page") + 1).withColumn("all", F.lit(1))
+    before = running_offsets(found, [*run_cols, "all"], [F.col("group_name").asc_nulls_last()], "n_pages")
+    # one row per group meets one row per page, not every line of it
+    numbered = join_on_keys(pages, before.drop("all", "total"), group)
     page_seq = F.col("before") + F.col("page_n") - F.col("first_page")
-    return numbered.withColumn("sheet_row", page_seq * max_rows + F.col("row_n")).drop("before", "first_page")
+    return numbered.withColumn("page_seq", page_seq).drop("before", "first_page")
+
+
+def sheet_rows(
+    pages: DataFrame, value: str = "item", max_rows: int = PAGE_ROWS, run_cols: Sequence[str] = ()
+) -> DataFrame:
+    """The two-column sheet with ``sheet_row``: the row on one long sheet per run, all pages below each other."""
+    lines = two_column_sheet(numbered_pages(pages, run_cols), value, max_rows, run_cols)
+    return lines.withColumn("sheet_row", F.col("page_seq") * max_rows + F.col("row_n")).drop("page_seq", "n_pages", "last_page")
 
 
 def member_lines(members: DataFrame) -> DataFrame:

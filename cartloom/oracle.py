@@ -413,6 +413,16 @@ FINAL = {
         f"nullif(nullif(trim({c}, {BLANKS}), ''), 'NA') AS {name}"
         for c, name in (("group_name", "group_name"), ("firstname", "firstname"), ("lastname", "lastname"), ("packed", "order_text"))
     ) + " FROM raw_orders",
+    "orders_file_quarantine": f"""
+    SELECT NOT (split OR short) AS kept,
+        CASE WHEN NOT (split OR short) THEN nullif(nullif(trim(group_name, {BLANKS}), ''), 'NA') END AS group_name,
+        CASE WHEN NOT (split OR short) THEN nullif(nullif(trim(firstname, {BLANKS}), ''), 'NA') END AS firstname,
+        CASE WHEN NOT (split OR short) THEN nullif(nullif(last_name, ''), 'NA') END AS lastname,
+        CASE WHEN split THEN start || ',' || lastname || ',' || tokens WHEN short THEN start
+            ELSE nullif(nullif(trim(tokens, {BLANKS}), ''), 'NA') END AS order_text
+    FROM (SELECT *, id % 41 = 3 AND contains(tokens, ',') AS split, id % 41 <> 3 AND id % 43 = 5 AS short
+        FROM (SELECT *, group_name || ',' || coalesce(firstname, '') AS start,
+            trim(lastname, {BLANKS}) AS last_name, coalesce(packed, '') AS tokens FROM raw_orders))""",
     "orders_file_ids": "SELECT row_number() OVER () AS id FROM raw_orders",
     "standards_upsert": """
     SELECT food AS food_list_group_name,

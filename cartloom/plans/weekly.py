@@ -111,11 +111,11 @@ def weekly_sheet(
     P.require_no_overflow(cells, max_rows)
     symbols = symbol_table(cells, settings.label_rules)
     labelled = L.with_run_suffix(L.labelled(cells, symbols), run)
-    grid = P.page_grid(labelled, packed, max_rows, run_cols)
+    pages = P.gathered_pages(labelled, ["label"], run_cols)
     lines = each_line(collapsed, F.col("cart"), *run_cols, "group_name", "lastname", "firstname")
     count = [M.member_counts(df, name, run_cols) for df, name in ((carts, "n_start"), (members, "n_end"))]
     return WeeklySheet(
-        sheet=P.sheet_rows(P.two_column_sheet(grid, "label", run_cols), max_rows, run_cols),
+        sheet=P.sheet_rows(pages, "label", max_rows, run_cols),
         styles=L.cell_styles(cells, settings.shares, format_table(cells, settings.format_rules)),
         reconciliation=M.reconciliation(*count, run_cols),
         plants=D.plant_extract(lines.select("*", "line.*"), run_cols),

@@ -23,8 +23,8 @@ from cartloom.plans.ordering import running_offsets
 from cartloom.plans.pinning import pin_table, shared_dir
 from cartloom.sources import star as A
 from cartloom.sources.export import export_table
-from cartloom.sources.orders import load_members
-from cartloom.sources.settings import read_settings, replace_table
+from cartloom.sources.orders import load_members, load_orders
+from cartloom.sources.settings import SettingsTable
 
 SEARCH_GROUPS = ["ASIA", "EUROPE"]
 SEARCH_TERMS = ["RED", "", "each .*ring$"]
@@ -370,26 +370,25 @@ def page_packing(spark, sf):
     return packed(spark, sf)[1].drop("has_header")
 
 
-def _grid(spark, sf):
-    members, pages = packed(spark, sf)
-    return P.page_grid(P.page_cells(members, pages), pages)
+def _pages(spark, sf, *fields):
+    return P.page_columns(*packed(spark, sf), fields=fields)
 
 
 def page_grid(spark, sf):
-    grid = _grid(spark, sf)
-    return _cell_view(grid, "id", "n", "rank", "quantity", "item", "standard_item")
+    shown = ("id", "n", "rank", "quantity", "item", "standard_item")
+    return _cell_view(P.page_grid(_pages(spark, sf, *shown)), *shown)
 
 
 def two_column_sheet(spark, sf):
-    return P.two_column_sheet(_grid(spark, sf))
+    return P.two_column_sheet(_pages(spark, sf, "item"))
 
 
 def sheet_rows(spark, sf):
-    return P.sheet_rows(P.two_column_sheet(_grid(spark, sf)))
+    return P.sheet_rows(_pages(spark, sf, "item"))
 
 
 def page_subset(spark, sf):
-    return P.page_subset(P.two_column_sheet(_grid(spark, sf)), "N1", 1)
+    return P.page_subset(P.two_column_sheet(_pages(spark, sf, "item")), "N1", 1)
 
 
 def page_overflow(spark, sf):
@@ -471,14 +470,28 @@ def orders_file_ids(spark, sf):
     return _orders_by_file(spark, sf).select("id")
 
 
+def orders_file_quarantine(spark, sf):
+    """Files with ragged rows: the members that are kept, and the rows set aside."""
+    folder = _shared_folder(spark, "ragged")
+    # one column whose name is the header and whose values are whole lines
+    lines = A.order_records(spark, sf).toDF(",".join(ORDER_HEADER))
+    writer = lines.write.option("header", True).option("sep", "\x01").option("escapeQuotes", False)
+    writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(folder)
+    files = load_orders(spark, folder)
+    kept = files.members.select(
+        F.lit(True).alias("kept"), "group_name", "firstname", "lastname", F.col("order").alias("order_text")
+    )
+    aside = files.quarantined.select(F.lit(False).alias("kept"), F.col("record").alias("order_text"))
+    return kept.unionByName(aside, allowMissingColumns=True)
+
+
 def settings_replaced(spark, sf):
     """A written delete list, replaced by rows read from it, and read again."""
-    folder = _shared_folder(spark, "deletes")
     first = permanent_deletes(spark, sf)
-    replace_table(first, folder)
-    stored = read_settings(spark, folder, first.schema)
-    replace_table(E.append_distinct(stored, temporary_deletes(spark, sf)), folder)
-    return read_settings(spark, folder, first.schema)
+    table = SettingsTable(spark, _shared_folder(spark, "deletes"), first.schema)
+    table.replace(first, base=0)
+    table.update(lambda stored: E.append_distinct(stored, temporary_deletes(spark, sf)))
+    return table.read()
 
 
 def standards_upsert(spark, sf):
@@ -548,6 +561,6 @@ QUERIES = {
         rows_per_member, page_packing, page_grid, two_column_sheet, sheet_rows, page_subset,
         page_overflow, item_symbols, item_labels, header_labels, cell_group_colour,
         cell_standard_bold, cell_format_rules, cell_styles, settings_append, settings_remove,
-        orders_file_rows, orders_file_ids, settings_replaced, standards_upsert, rules_edit, keyword_lookup, rgb_parse, preview_top,
+        orders_file_rows, orders_file_ids, orders_file_quarantine, settings_replaced, standards_upsert, rules_edit, keyword_lookup, rgb_parse, preview_top,
     )
 }

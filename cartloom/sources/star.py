@@ -77,6 +77,20 @@ def member_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def order_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(record): member orders as lines of an order file, some of them ragged.
+
+    Some orders miss their quotes, so each of their tokens is a field; some end after the first name.
+    """
+    site_and_name = "concat_ws(',', group_name, coalesce(firstname, ''))"
+    named = f"concat({site_and_name}, ',', lastname, ',')"
+    return member_orders(spark, sf_dir).selectExpr(
+        f"""CASE WHEN id % 41 = 3 THEN concat({named}, coalesce(`order`, ''))
+            WHEN id % 43 = 5 THEN {site_and_name}
+            ELSE concat({named}, '"', coalesce(`order`, ''), '"') END AS record"""
+    )
+
+
 def shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Settings per group: short name, food group, colours."""
     return (

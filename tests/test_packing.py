@@ -5,6 +5,7 @@ import subprocess
 import sys
 from itertools import groupby
 
+import pytest
 from hypothesis import given
 from hypothesis import settings as hyp_settings
 from hypothesis import strategies as st
@@ -12,7 +13,7 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from cartloom.operators import layout as P
-from cartloom.operators.layout import EMPTY_PAGE, _chunk_sums, _step, _through
+from cartloom.operators.layout import EMPTY_PAGE, _chunk_sums, _join_sums, _step, _through
 from cartloom.plans import ordering
 
 
@@ -66,6 +67,49 @@ def test_chunk_sums_chain_to_the_loop(sizes, cap, cuts):
     assert chained(sizes, cap, edges) == stepped(sizes, cap)
 
 
+@hyp_settings(max_examples=300, deadline=None)
+@given(
+    st.lists(st.integers(1, 14) | st.integers(1, 3), min_size=1, max_size=150),
+    st.integers(2, 10),
+    st.lists(st.integers(1, 149), max_size=8),
+    st.booleans(),
+)
+def test_sums_of_sums_equal_the_sum_of_the_whole(sizes, cap, cuts, from_left):
+    edges = sorted({0, len(sizes), *[c for c in cuts if c < len(sizes)]})
+    sums = [_chunk_sums(sizes[lo:hi], cap) for lo, hi in zip(edges, edges[1:])]
+    while len(sums) > 1:
+        at = 0 if from_left else len(sums) - 2
+        sums[at : at + 2] = [_join_sums(sums[at], sums[at + 1], cap)]
+    head, ends = _chunk_sums(sizes, cap)
+    assert (list(sums[0][0]), [tuple(e) for e in sums[0][1]]) == (head, [tuple(e) for e in ends])
+
+
+def test_a_tree_of_chunks_equals_the_loop(spark, monkeypatch):
+    """A chunk per 64 members, 100,000 members: no task sees more than FAN_IN sums."""
+    monkeypatch.setattr(ordering, "CHUNK_BITS", 6)
+    plain = P._starts
+
+    def counted(sums, *rest):
+        assert len(sums) <= 64
+        return plain(sums, *rest)
+
+    monkeypatch.setattr(P, "_starts", counted)
+    check(spark, {"hot": 100_000, "b": 100, "z": 1}, 46, 12)
+
+
+@pytest.mark.parametrize("fan_in", [2, 5])
+def test_trees_of_many_levels(spark, monkeypatch, fan_in):
+    monkeypatch.setattr(ordering, "CHUNK_BITS", 4)
+    monkeypatch.setattr(P, "FAN_IN", fan_in)
+    check(spark, {None: 300, "a": 40, "c": 900, "d": 1}, 8, 9)
+
+
+def test_no_members(spark):
+    _, df = members(spark, {"a": 3}, 5)
+    got = P.pack_pages(df.limit(0))
+    assert got.count() == 0 and got.columns == P.pack_pages(df).columns
+
+
 def test_workers_need_no_copy_of_the_package(tmp_path):
     code = "import pickle, sys; f = pickle.load(sys.stdin.buffer); print(f([3, 3, 3], 5), 'cartloom' in sys.modules)"
     out = subprocess.run(

@@ -90,13 +90,35 @@ def test_filters_and_columns_reach_the_scan(spark, orders):
 
 @pytest.mark.parametrize("n", [3, 5000])
 def test_rules_of_any_number_meet_items_by_an_equi_join(spark, n):
-    rules = [("contains", f"Item{k}x", "A", None) for k in range(n)]
+    rules = [("contains", f"Item{k}x", "A", None) for k in range(n)] + [("ends with", "ther", "B", None), ("contains", "..2", "C", None)]
     lines = spark.createDataFrame([("1 Item2x",), ("other",), (None,)], "item string")
     found = L.item_symbols(lines, L.label_rules(spark, rules))
     text = plan(found)
     assert not any(b in text for b in BAD)
     assert "HashJoin" in text or "SortMergeJoin" in text
-    assert [(r.item, r.symbol_text) for r in found.collect()] == [("1 Item2x", "A")]
+    assert sorted((r.item, r.symbol_text) for r in found.collect()) == [("1 Item2x", "AC"), ("other", "B")]
+
+
+@pytest.mark.parametrize("broadcast", ["10MB", "-1"])
+def test_blank_cells_take_no_part_in_joins_on_items(spark, broadcast):
+    """With a symbol table above the threshold, blank cells must not meet in one task."""
+    cells = pin_table(spark.range(3000).selectExpr(
+        "'g' AS group_name", "id AS page_n", "1 AS row_n", "1 AS column_n", "2 AS rank", "'1' AS quantity",
+        "CAST(NULL AS int) AS standard_item", "if(id < 5, concat('i', id), NULL) AS item"))
+    symbols = pin_table(spark.range(5).selectExpr("concat('i', id) AS item", "'*' AS symbol_text"))
+    formats = pin_table(spark.range(5).selectExpr("concat('i', id) AS item", "'bold' AS format_name", "'red' AS color_name", "1 AS row_num"))
+    shares = spark.createDataFrame([("g", None, "A", None)], "group_name string, group_name_short string, food_list_group_name string, highlight_color_hex string")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        shown, styles = L.labelled(cells, symbols), L.cell_styles(cells, shares, formats)
+        for df in (shown, styles):
+            # the side that joins reads only cells with an item
+            assert "PushedFilters: [IsNotNull(item)]" in plan(df) and "PushedFilters: [IsNull(item)]" in plan(df)
+        assert shown.count() == 3000 and styles.count() == 5
+        assert sorted(r.item_symbol for r in shown.filter("item IS NOT NULL").collect()) == [f"*1xi{k}" for k in range(5)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 
 
 def test_rows_without_an_item_do_not_meet_in_one_task(spark):
@@ -115,8 +137,23 @@ def test_pinned_tables_can_be_dropped(spark, tmp_path, monkeypatch):
 
 
 def test_a_column_longer_than_its_page_is_an_error(spark):
-    cells = spark.createDataFrame([("g", 1, 3, 1)], "group_name string, page_n long, row_n int, column_n int")
-    placed = "group_name string, page_n long, column_n int, rows_ahead int, n int, has_header boolean"
-    packed = spark.createDataFrame([("g", 1, 1, 0, 3, False)], placed)
-    with pytest.raises(Exception, match="longer than a page"):
-        P.page_grid(cells, packed, max_rows=2).collect()
+    rows = [("g", 1, r, 1, "x") for r in (1, 2, 3)]
+    cells = spark.createDataFrame(rows, "group_name string, page_n long, row_n int, column_n int, item string")
+    pages = P.gathered_pages(cells, ["item"])
+    for sheet in (P.page_grid, P.two_column_sheet, P.sheet_rows):
+        with pytest.raises(Exception, match="longer than a page: group g, page 1"):
+            sheet(pages, max_rows=2).collect()
+        assert sheet(pages, max_rows=3).count() == 3 * (1 + (sheet is P.page_grid))
+
+
+def test_pages_take_one_shuffle_after_the_join_with_their_places(spark, setup):
+    carts, chosen, group_std = setup
+    short = S.apply_standards(carts, chosen.std_members, group_std)
+    members = weekly.printed_members(short, chosen)
+    packed = weekly.packed_pages(members)
+    placed = shuffles(P.page_cells(members, packed))
+    pages = P.page_columns(members, packed)
+    for df in (pages, P.page_grid(pages), P.two_column_sheet(pages)):
+        assert shuffles(df) == placed + 1
+    cells = pin_table(P.page_cells(members, packed))
+    assert shuffles(P.two_column_sheet(P.gathered_pages(cells, ["item"]))) == 1

@@ -13,6 +13,7 @@ from cartloom.operators import layout as P
 from cartloom.operators import lines as N
 from cartloom.operators import members as M
 from cartloom.operators import pickup as U
+from cartloom.operators import rule_index
 from cartloom.operators import search as Q
 from cartloom.plans import weekly
 
@@ -108,7 +109,7 @@ RULES = [
 
 @pytest.mark.parametrize("limit", [200, 2])
 def test_symbols(spark, monkeypatch, limit):
-    monkeypatch.setattr(L, "RULES_PER_BATCH", limit)
+    monkeypatch.setattr(rule_index, "RULES_PER_BATCH", limit)
     lines = items(spark, "1 Milk", "1 milk", None, "1 Milk")
     got = {r.item: r.symbol_text for r in L.item_symbols(lines, L.label_rules(spark, RULES)).collect()}
     assert got == {"1 Milk": "AC*C*E"}
@@ -117,7 +118,7 @@ def test_symbols(spark, monkeypatch, limit):
 
 @pytest.mark.parametrize("limit", [200, 1])
 def test_last_format_rule_wins(spark, monkeypatch, limit):
-    monkeypatch.setattr(L, "RULES_PER_BATCH", limit)
+    monkeypatch.setattr(rule_index, "RULES_PER_BATCH", limit)
     rules = [("contains", "Milk", "bold", "#111111"), ("ends with", "Milk", "italic", None), ("equal", "1 Milk", None, None)]
     got = L.item_formats(items(spark, "1 Milk", "Milk 1", None), L.format_rules(spark, rules)).collect()
     assert sorted((r.item, r.format_name, r.color_name) for r in got) == [
@@ -244,4 +245,4 @@ def test_deleted_group_name_prints_no_header(spark):
     packed = P.pack_pages(P.rows_per_member(df))
     rows = P.page_cells(df, packed).orderBy("row_n").collect()
     assert [(r.row_n, r.item) for r in rows] == [(1, "L1, F"), (2, "1 Half"), (3, None)]
-    assert P.page_grid(P.page_cells(df, packed), packed).count() == 92
+    assert P.page_grid(P.page_columns(df, packed)).count() == 92
