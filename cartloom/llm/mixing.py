@@ -1,15 +1,25 @@
 """Mixing sources to target weights by a low-discrepancy schedule.
 
-A source takes the words of its target: it is read in blocks of equal tokens (words), its
-documents in hashed order, over again from the start when it is used up, and the last
-block ends where the target does. Each block is a slot of the mix. A source's blocks are
-due at even distances, and slots are numbered by due time, so any run of slots follows
-the targets closely. The number of a slot comes from the sources' counts alone, so the
-schedule needs no table and no order of slots.
-
-Order and running sums use chunks: the leading bits of a document's hash. One row per
-source and chunk carries the sums across, so no source is ever gathered in one task,
-whatever its share of the rows.
+Global slot *i* of the mix has the van der Corput point of *i* (its bits in reverse, behind
+the point). The sources share the interval from 0 to 1 by their numbers of blocks, cumulated,
+and the source whose share holds the point gets the slot. A source's slots are ranked in order,
+and slot of rank *r* takes its block *r*. Points of any run of slots fill the interval
+evenly, so any run follows the targets closely.
+
+A block has equal tokens (words) of one source: its documents in hashed order, over again from
+the start when it is used up, are cut into blocks; the last one ends where the source's target
+does, so the words taken are the target to a word. A source that has few words to give is
+cut into shorter blocks, ``LEAST_SLOTS`` of them, so that it is spread over the mix too.
+
+The grid of points has a power of two of them, at least as many as there are blocks; slots of a
+source beyond its last block stay empty, at the end of the schedule. The bits of a slot
+are found one by one from its rank, by counting the points of the source in each half of what
+is left: the schedule is a function of the block, and needs no table or order of all slots.
+
+Order and running sums use chunks: the leading bits of a document's hash, as many as keep a
+chunk to ``CHUNK_ROWS`` rows. One row per source and chunk carries the sums across, so no source
+is ever gathered in one task, whatever its share of the rows. Sources are a table that is
+joined; the driver holds one entry per source to work out the targets.
 
 Definitions: a source's weight follows its rank by code point, a missing source
 being last; targets stop at ``MAX_PASSES`` times the source and the excess goes to
@@ -32,9 +42,11 @@ MAX_PASSES = 3
 #: A block is a 20,000th of the corpus, but not over so many words: small corpora are mixed as finely.
 BLOCK_WORDS = 2048
 BLOCKS = 20_000
+#: A source has so many blocks at least, if it has as many words to give.
+LEAST_SLOTS = 32
 SEED = 71
-#: Documents of one source are spread over so many chunks by their hash.
-CHUNK_BITS = 10
+#: Documents of one source are spread over chunks of about so many by their hash.
+CHUNK_ROWS = 1 << 16
 PIECES_SCHEMA = (
     "doc_id long, source string, text_key long, pass long, begin long, length long, at long, slot long"
 )
@@ -66,11 +78,37 @@ def sized(docs: DataFrame) -> DataFrame:
     return pin_table(rows.groupBy("doc_id", "source", "size", "text_key").agg(F.count(F.lit(1)).alias("copies")))
 
 
-def source_targets(rows: DataFrame) -> DataFrame:
-    sums = rows.groupBy("source").agg(F.sum("size").alias("source_size")).collect()
-    found = targets([(r.source, r.source_size) for r in sums])
-    schema = "source string, source_size long, target double"
-    return rows.sparkSession.createDataFrame(found, schema)
+def shares(counts: list[int]) -> tuple[int, list[tuple[int, int]]]:
+    """``bits`` of the grid of points, and from which to which grid point each source has its share.
+
+    Point *j* of ``2 ** bits`` belongs to the source whose cumulated share of the blocks holds
+    ``j / 2 ** bits``. Each source has as many points as blocks at least.
+    """
+    total = sum(counts)
+    bits, before, out = max(0, (total - 1).bit_length()), 0, []
+    for n in counts:
+        low, high = (-(-(c << bits) // total) if total else 0 for c in (before, before + n))
+        out.append((low, high))
+        before += n
+    return bits, out
+
+
+def source_table(rows: DataFrame) -> tuple[DataFrame, int, int]:
+    """One row per source with its target, quota, blocks and points; the bits of the grid and of a chunk."""
+    sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")).collect()
+    wanted = targets([(r.source, r.source_size) for r in sums])
+    block = max(1, min(BLOCK_WORDS, sum(n for _, n, _ in wanted) // BLOCKS))
+    quotas = [min(round(t), MAX_PASSES * n) for _, n, t in wanted]
+    blocks = [max(1, min(block, q // LEAST_SLOTS)) for q in quotas]
+    bits, points = shares([-(-q // b) for q, b in zip(quotas, blocks, strict=True)])
+    listed = [
+        (k, *x, q, b, *p) for k, (x, q, b, p) in enumerate(zip(wanted, quotas, blocks, points, strict=True))
+    ]
+    table = rows.sparkSession.createDataFrame(
+        listed, "source_no int, source string, source_size long, target double, quota long, block long, low long, high long"
+    )
+    most = max((r.n for r in sums), default=0)
+    return table, bits, (most // CHUNK_ROWS).bit_length()
 
 
 def _running(rows: DataFrame, keys: list[str], chunk: str, order: list[str], value: str, out: str) -> DataFrame:
@@ -83,20 +121,33 @@ def _running(rows: DataFrame, keys: list[str], chunk: str, order: list[str], val
     return local.join(sums, [*keys, chunk]).withColumn(out, F.col("__before") + F.col("__inside")).drop("__before", "__inside")
 
 
-def slot_of(rank: Column, source_no: Column, own: Column, counts: list[tuple[int, int]]) -> Column:
-    """The place of a source's block number ``rank`` among all blocks by due time.
+def slot_of(rank: Column, low: Column, high: Column, bits: int) -> Column:
+    """The slot of rank ``rank`` among those whose point is from ``low`` to ``high`` (grid points).
 
-    Block ``r`` of ``n`` is due at ``(2r + 1) / 2n``; of equal times the lesser ``source_no``
-    comes first. ``own`` is the source's number of blocks, ``counts`` has (source_no, blocks) of all.
+    The bits of the slot from the highest: slots that begin with the bits so far and a 0 have the
+    points ``first + step * u``. If those inside the share are more than the rank, the next bit
+    is 0, else these slots lie before and the bit is 1.
     """
-    listed = F.array(*[F.struct(F.lit(k).alias("no"), F.lit(n).cast("long").alias("n")) for k, n in counts])
+    start = F.struct(F.lit(0).cast("long").alias("slot"), F.lit(0).cast("long").alias("first"), rank.cast("long").alias("rank"))
 
-    def step(before: Column, other: Column) -> Column:
-        due = (2 * rank + 1) * other["n"] + own - F.when(other["no"] < source_no, 0).otherwise(1)
-        # for the source itself these are its earlier blocks
-        return before + F.call_function("div", due, 2 * own)
+    def next_bit(x: Column, bit: Column) -> Column:
+        one = F.lit(1).cast("long")
+        step = F.call_function("shiftleft", one, bits - bit)
 
-    return F.aggregate(listed, F.lit(0).cast("long"), step)
+        def below(end: Column) -> Column:
+            return F.greatest(F.lit(0), F.call_function("div", end - x["first"] + step - 1, step))
+
+        inside = below(high) - below(low)
+        zero = x["rank"] < inside
+        return F.struct(
+            F.when(zero, x["slot"]).otherwise(x["slot"] + F.call_function("shiftleft", one, bit)).alias("slot"),
+            F.when(zero, x["first"]).otherwise(x["first"] + F.call_function("shiftleft", one, bits - 1 - bit)).alias("first"),
+            F.when(zero, x["rank"]).otherwise(x["rank"] - inside).alias("rank"),
+        )
+
+    if not bits:
+        return F.lit(0).cast("long")
+    return F.aggregate(F.sequence(F.lit(bits - 1), F.lit(0)), start, next_bit)["slot"]
 
 
 def mix(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -108,46 +159,35 @@ def mix(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     ``begin`` and ``length`` in words: the mix in order of ``slot`` and ``at``.
     """
     rows = sized(docs)
-    wanted = source_targets(rows)
-    listed = [(k, r.source, r.source_size, r.target) for k, r in enumerate(wanted.collect())]
-    total = sum(n for _, _, n, _ in listed)
-    block = max(1, min(BLOCK_WORDS, total // BLOCKS))
-    quotas = [min(round(t), MAX_PASSES * n) for _, _, n, t in listed]
-    counts = [(k, -(-q // block)) for k, q in enumerate(quotas)]
-    numbers = docs.sparkSession.createDataFrame(
-        [(*x, q, n) for x, q, (_, n) in zip(listed, quotas, counts, strict=True)],
-        "source_no int, source string, source_size long, target double, quota long, n_slots long",
-    )
+    sources, bits, chunk_bits = source_table(rows)
+    extra = ["source_no", "quota", "block", "low", "high"]
     # missing sources match each other
-    known = rows.join(numbers.withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
+    known = rows.join(sources.withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
     live = known.filter("size > 0").withColumn("place", F.xxhash64(F.lit(SEED), "doc_id", "text_key"))
-    live = live.withColumn("chunk", F.shiftright("place", 64 - CHUNK_BITS))
+    live = live.withColumn("chunk", F.shiftright("place", 64 - chunk_bits) if chunk_bits else F.lit(0).cast("long"))
     placed = _running(live, ["source_no"], "chunk", ["place", "doc_id", "text_key"], "size", "start")
-    if not total:
-        none = docs.sparkSession.createDataFrame([], PIECES_SCHEMA)
-        return known.withColumn("taken", F.lit(0).cast("long")).drop("source_no", "quota", "n_slots"), none
-    # the words of a block sit at [rank * BLOCK, (rank + 1) * BLOCK) of the source repeated
+    # the words of a block sit at [rank * block, (rank + 1) * block) of the source repeated
     passes = F.sequence(F.lit(0).cast("long"), F.lit(MAX_PASSES - 1).cast("long"))
     spread = placed.select("*", F.explode(passes).alias("pass")).withColumn(
         "from", F.col("pass") * F.col("source_size") + F.col("start")
     )
     to = F.least(F.col("from") + F.col("size"), F.col("quota"))
     cut = spread.filter(F.col("from") < F.col("quota")).select(
-        "*", F.explode(F.sequence(F.floor(F.col("from") / block), F.floor((to - 1) / block))).alias("rank")
+        "*", F.explode(F.expr("sequence(`from` div block, (least(`from` + size, quota) - 1) div block)")).alias("rank")
     )
-    low = F.greatest(F.col("from"), F.col("rank") * block)
-    high = F.least(to, (F.col("rank") + 1) * block)
-    slot = slot_of(F.col("rank"), F.col("source_no"), F.col("n_slots"), counts)
+    low = F.greatest(F.col("from"), F.col("rank") * F.col("block"))
+    high = F.least(to, (F.col("rank") + 1) * F.col("block"))
+    slot = slot_of(F.col("rank"), F.col("low"), F.col("high"), bits)
     parts = cut.select(
         "doc_id", "source", "text_key", "pass", (low - F.col("from")).alias("begin"),
-        (high - low).alias("length"), (low - F.col("rank") * block).alias("at"), slot.alias("slot"),
+        (high - low).alias("length"), (low - F.col("rank") * F.col("block")).alias("at"), slot.alias("slot"),
     )
     pieces = pin_table(parts)
     sums = pieces.groupBy("doc_id", "source", "text_key").agg(F.sum("length").alias("taken"))
     named = sums.withColumnsRenamed({"doc_id": "__d", "source": "__s", "text_key": "__t"})
     same = F.col("doc_id").eqNullSafe(F.col("__d")) & F.col("source").eqNullSafe(F.col("__s")) & (F.col("text_key") == F.col("__t"))
     counted = known.join(named, same, "left").withColumn("taken", F.coalesce("taken", F.lit(0).cast("long")))
-    return counted.drop("__d", "__s", "__t", "source_no", "quota", "n_slots"), pieces
+    return counted.drop("__d", "__s", "__t", *extra), pieces
 
 
 def _part(text: Column, begin: Column, end: Column) -> Column:

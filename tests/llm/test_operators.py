@@ -4,6 +4,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from itertools import accumulate
 
 import numpy as np
 import public_tokenizers
@@ -174,9 +175,40 @@ def test_mix(odd, none):
     assert mixing.mix(none)[0].count() == 0 and mixing.mixed_documents(none).count() == 0
 
 
+def points_in_turn(counts):
+    """Slot, source and rank: van der Corput points through cumulated shares, one after another."""
+    total, bits = sum(counts), max(0, (sum(counts) - 1).bit_length())
+    ends = list(accumulate(counts))
+    given, out = [0] * len(counts), []
+    for i in range(1 << bits):
+        j = int(f"{i:0{bits}b}"[::-1], 2) if bits else 0
+        source = next(k for k, e in enumerate(ends) if j * total < e << bits)
+        if given[source] < counts[source]:
+            out.append((i, source, given[source]))
+        given[source] += 1
+    return out
+
+
+@pytest.mark.parametrize("counts", [[1], [3, 1], [5, 2, 1], [64], [40, 0, 7, 1, 900, 33], [1, 1, 1, 1, 1], [300, 513]])
+def test_slots_are_points_in_turn(spark, counts):
+    bits, points = mixing.shares(counts)
+    blocks = [(k, r, *points[k]) for k, n in enumerate(counts) for r in range(n)]
+    df = spark.createDataFrame(blocks, "source int, rank long, low long, high long")
+    slot = mixing.slot_of(F.col("rank"), F.col("low"), F.col("high"), bits)
+    got = df.select(slot.alias("slot"), "source", "rank").orderBy("slot").collect()
+    want = points_in_turn(counts)
+    assert [tuple(r) for r in got] == want and len(want) == sum(counts)
+    # any run of slots follows the shares
+    done = Counter()
+    for at, (_, source, _) in enumerate(want[: (9 << bits) // 10 * sum(counts) >> bits], 1):
+        done[source] += 1
+        assert all(abs(done[k] - at * n / sum(counts)) <= 2 + bits for k, n in enumerate(counts))
+
+
 def test_small_sources_take_their_targets(spark, monkeypatch):
     # blocks as large as a big corpus has them; a to d have targets around and far under one
     monkeypatch.setattr(mixing, "BLOCKS", 1)
+    monkeypatch.setattr(mixing, "CHUNK_ROWS", 100)
     sizes = {"a": 100, "b": 300, "c": 2500, "d": 5000, "e": 300_000, None: 90_000}
     rows, k = [], 0
     for source, n in sizes.items():
@@ -186,12 +218,21 @@ def test_small_sources_take_their_targets(spark, monkeypatch):
     rows, pieces = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"))
     got = rows.groupBy("source", "target").agg(F.sum("taken").alias("taken")).collect()
     assert len(got) == len(sizes) and all(abs(r.taken - r.target) <= 1 for r in got)
-    # slots are numbered without gaps, each is of one source and of one block, in the order of due times
-    slots = pieces.groupBy("slot").agg(F.sum("length").alias("n"), F.countDistinct(F.coalesce("source", F.lit(""))).alias("k"), F.max("source").alias("s")).orderBy("slot").collect()
-    assert [r.slot for r in slots] == list(range(len(slots))) and all(r.k == 1 and r.n <= mixing.BLOCK_WORDS for r in slots)
-    each = Counter(r.s for r in slots)
-    order = sorted(((2 * j + 1) / (2 * n), s is None, s or "") for s, n in each.items() for j in range(n))
-    assert [s or None for _, _, s in order] == [r.s for r in slots]
+    # each slot is one block of one source, blocks of a source are equal but for the last
+    slots = pieces.groupBy("slot").agg(F.sum("length").alias("n"), F.collect_set(F.coalesce("source", F.lit("~"))).alias("s")).orderBy("slot").collect()
+    assert all(len(r.s) == 1 and r.n <= mixing.BLOCK_WORDS for r in slots)
+    by_source = {}
+    for r in slots:
+        by_source.setdefault(r.s[0], []).append(r.n)
+    assert all(len(set(n[:-1])) <= 1 and n[-1] <= n[0] for n in by_source.values()) and len(by_source["a"]) >= mixing.LEAST_SLOTS
+    names = sorted(by_source)
+    want = points_in_turn([len(by_source[s]) for s in names])
+    assert [(r.slot, r.s[0]) for r in slots] == [(i, names[k]) for i, k, _ in want]
+    # words of each piece follow each other in their block
+    ends = {}
+    for r in pieces.orderBy("slot", "at").collect():
+        assert r["at"] == ends.get(r.slot, 0)
+        ends[r.slot] = r["at"] + r.length
 
 
 def test_targets_share_the_excess():
