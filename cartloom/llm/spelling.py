@@ -10,9 +10,16 @@ matched. A state with one edit that ends where a word ends is a neighbour.
 
 Chains without a branch are one edge with a longer label, so the number of levels is the number
 of branches on a path and not the length of a word, and the upper halves of the tries, where
-every letter branches, are not built at all. Each level is written before the next. States that
-wait at a node are spread over more keys in proportion to the words below it, and so are its
-edges, at most one per letter. The words of a pair are compared in the end.
+every letter branches, are not built at all. A node also has a small bit set of the ends of
+words below it: after the edit the rest of the word has to be one of them, so most states that
+lead nowhere are not made. Each level is written before the next. States that wait at a
+node are spread over more keys in proportion to the words below it, and so are its edges, at
+most one per letter. The words of a pair are compared in the end.
+
+Words are counted over runs of bytes, which Arrow encodes as a dictionary. Whether a run loses a
+letter hangs on the CRC of its document and itself; of two texts in a row it is the CRC of the
+first, moved on by the length of the second, xor that of the second, so it is worked out from
+one CRC per document and one per distinct word.
 
 Definitions: a missing text has no words, a missing id is empty text in the hash that deletes
 letters. Every row counts, so repeated rows repeat their words. Words and texts may be of
@@ -25,9 +32,9 @@ of any name do no harm.
 from __future__ import annotations
 
 import sys
+import zlib
 from collections.abc import Iterator
 from functools import reduce
-from string import ascii_lowercase, ascii_uppercase
 
 import numpy as np
 import pyarrow as pa
@@ -35,34 +42,110 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cartloom.llm.common import binary_rows, mix64, pin_table, random64, text_or_empty
+from cartloom.llm.common import binary_rows, mix64, parts, pin_table, random64
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Fixed values of the query: shortest word, fewest occurrences, one run in so many loses a letter.
 MIN_LETTERS, MIN_COUNT, EVERY = 5, 3, 97
-LETTERS = "A-Za-zÀ-ÿ"
 #: A node takes one more key for so many words below it.
 NODE_WORDS = 4096
-NODE_SCHEMA = "id long, side int, depth int, node binary, next int, start boolean"
+#: The bit set of a node: longs of 64 bits each, and the letters of an end that count besides its length.
+MASKS, MASK_BITS, END_LETTERS, END_STEP = 4, 256, 8, 37
+COUNT_SCHEMA = "word string, n long"
+NODE_SCHEMA = "id long, side int, depth int, node binary, next int, start boolean, bit int"
+#: Words of more bytes have their CRC worked out one by one.
+LONG_WORD = 256
+
+IS_LETTER = np.zeros(256, bool)
+IS_LETTER[[*range(65, 91), *range(97, 123)]] = True
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+#: What the last byte of a CRC adds when it is moved on by a byte.
+MOVE = np.array([zlib.crc32(bytes([b])) ^ zlib.crc32(b"\0") for b in range(256)], np.uint32)
 
 
-def runs(docs: DataFrame) -> DataFrame:
-    """``word`` of each run that can be a word, after the deletion of letters."""
-    found = F.regexp_extract_all(text_or_empty(), F.lit(f"[{LETTERS}]{{{MIN_LETTERS},}}"), F.lit(0))
-    run = F.translate("run", ascii_uppercase, ascii_lowercase)
-    number = F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("run")).cast("binary"))
-    each = docs.select("doc_id", F.explode(found).alias("run")).select("doc_id", run.alias("run"))
-    numbered = each.select("run", number.alias("h"))
-    at = (F.col("h") % F.length("run")).cast("int")
-    cut = F.concat(F.substring("run", F.lit(1), at), F.substring("run", at + 2, F.length("run")))
-    return numbered.select(F.when(F.col("h") % EVERY == 0, cut).otherwise(F.col("run")).alias("word"))
+def letter_runs(data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends, in bytes, of the maximal runs of letters (A-Z, a-z, U+00C0 to U+00FF) in UTF-8 texts.
+
+    ``begins``: where each text begins, and the end of the last.
+    """
+    letter = IS_LETTER[data]
+    # all letters of two bytes that begin with 0xC3
+    lead = np.flatnonzero(data == 0xC3)
+    letter[lead] = letter[lead + 1] = True
+    start, end = letter.copy(), letter.copy()
+    start[1:] &= ~letter[:-1]
+    end[:-1] &= ~letter[1:]
+    edge = begins[(begins > 0) & (begins < len(data))]
+    start[edge] = letter[edge]
+    end[edge - 1] = letter[edge - 1]
+    return np.flatnonzero(start), np.flatnonzero(end) + 1
+
+
+def moved_crcs(crcs: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The CRC of each text (columns) moved on by each number of bytes (rows, ascending)."""
+    out, now, at = np.empty((len(lengths), len(crcs)), np.uint32), crcs.copy(), 0
+    for k, n in enumerate(lengths.tolist()):
+        while at < n:
+            now = (now >> np.uint32(8)) ^ MOVE[now & np.uint32(255)]
+            at += 1
+        out[k] = now
+    return out
+
+
+def count_part(ids: list, texts: pa.Array) -> tuple[list[str], list[int]]:
+    """Words of some texts and how often each occurs, after the deletion of letters."""
+    n = len(texts)
+    texts = pa.concat_arrays([texts.fill_null("").cast(pa.large_string())])
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + n + 1]
+    data = LOWER[np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]]
+    begins = offsets - offsets[0]
+    starts, ends = letter_runs(data, begins)
+    # letters: bytes without the first ones of two
+    more = np.concatenate(([0], np.cumsum(data == 0xC3)))
+    long_enough = ends - starts - (more[ends] - more[starts]) >= MIN_LETTERS
+    starts, ends = starts[long_enough], ends[long_enough]
+    if not len(starts):
+        return [], []
+    pieces = np.column_stack((starts, ends)).ravel()
+    between = pa.Array.from_buffers(pa.large_string(), len(pieces) - 1, [None, pa.py_buffer(pieces), pa.py_buffer(data)])
+    coded = between.take(pa.array(np.arange(len(starts)) * 2)).dictionary_encode()
+    words, index = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+    raw = [w.encode() for w in words]
+    sizes, own = np.array([len(w) for w in raw]), np.array([zlib.crc32(w) for w in raw], np.uint32)
+    before = np.array([zlib.crc32(f"{'' if i is None else i}:".encode()) for i in ids], np.uint32)
+    doc = np.searchsorted(begins, starts, "right") - 1
+    lengths = np.unique(np.minimum(sizes, LONG_WORD + 1))
+    moved = moved_crcs(before, lengths[lengths <= LONG_WORD])
+    row = np.minimum(np.searchsorted(lengths, sizes), max(len(moved) - 1, 0))
+    h = moved[row[index], doc] ^ own[index] if len(moved) else np.zeros(len(index), np.uint32)
+    for k in np.flatnonzero(sizes[index] > LONG_WORD).tolist():
+        h[k] = zlib.crc32(raw[index[k]], int(before[doc[k]]))
+    cut = h % EVERY == 0
+    counts = np.bincount(index[~cut], minlength=len(words))
+    out, numbers = [words[k] for k in np.flatnonzero(counts).tolist()], counts[counts > 0].tolist()
+    for k, number in zip(index[cut].tolist(), h[cut].tolist(), strict=True):
+        word = words[k]
+        at = number % len(word)
+        if len(word) > MIN_LETTERS:
+            out.append(word[:at] + word[at + 1 :])
+            numbers.append(1)
+    return out, numbers
 
 
 def counted_words(docs: DataFrame) -> DataFrame:
     """``word``, ``n`` and an ``id`` that grows with the length of the word; pinned."""
-    counts = runs(docs).filter(F.length("word") >= MIN_LETTERS).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    counts = pin_table(counts.filter(F.col("n") >= MIN_COUNT).withColumn("size", F.length("word")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in parts(batch, "text", 8 << 20):
+                words, numbers = count_part(part.column("doc_id").to_pylist(), part.column("text"))
+                yield pa.record_batch([pa.array(words, pa.string()), pa.array(numbers, pa.int64())], ["word", "n"])
+
+    some = docs.select(F.col("doc_id").cast("string"), F.col("text").cast("string")).mapInArrow(run, COUNT_SCHEMA)
+    counts = some.groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= MIN_COUNT)
+    counts = pin_table(counts.withColumn("size", F.length("word")))
     order = ["size", F.xxhash64("word")]
     ordered = counts.repartitionByRange(*order).sortWithinPartitions(*order)
     return pin_table(ordered.withColumn("id", F.monotonically_increasing_id()))
@@ -70,6 +153,8 @@ def counted_words(docs: DataFrame) -> DataFrame:
 
 def _prefixes(ids: np.ndarray, words: list[str], side: int) -> pa.RecordBatch:
     """The nodes on the lower half of the path of each word, with the letter that follows (0 at the end)."""
+    import xxhash
+
     sizes = np.array([len(w) for w in words], np.int64)
     codes = np.frombuffer("".join(words).encode("latin-1"), np.uint8)
     starts = np.cumsum(sizes) - sizes
@@ -85,13 +170,18 @@ def _prefixes(ids: np.ndarray, words: list[str], side: int) -> pa.RecordBatch:
         places = random64(int(sizes.max(initial=0)), 2 * k + 1)
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(random64(256, 2 * k + 2)[codes] * places[within])))
         node[:, k] = mix64(sums[at] - sums[starts[word]] + places[depth - 1] + np.uint64(side + 1))
+    # a bit for what is left of the word: its first letters and its length
+    left, from_word = sizes[word] - depth, word.tolist()
+    ends = [words[w][d : d + END_LETTERS].encode() for w, d in zip(from_word, depth.tolist(), strict=True)]
+    hashed = np.array([xxhash.xxh64_intdigest(e, 42) for e in ends], np.uint64)
+    bits = (hashed + left.astype(np.uint64) * np.uint64(END_STEP) & np.uint64(MASK_BITS - 1)).astype(np.int32)
     following = np.where(depth < sizes[word], np.append(codes, np.uint8(0))[at], 0)
     return pa.record_batch(
         [
             pa.array(ids[word]), pa.array(np.full(len(word), side, np.int32)), pa.array(depth.astype(np.int32)),
-            binary_rows(node.ravel(), np.full(len(word), 2)), pa.array(following.astype(np.int32)), pa.array(depth == sizes[word] // 2),
+            binary_rows(node.ravel(), np.full(len(word), 2)), pa.array(following.astype(np.int32)), pa.array(depth == sizes[word] // 2), pa.array(bits),
         ],
-        ["id", "side", "depth", "node", "next", "start"],
+        ["id", "side", "depth", "node", "next", "start", "bit"],
     )
 
 
@@ -115,13 +205,14 @@ def trie(words: DataFrame) -> tuple[DataFrame, DataFrame]:
     nodes = steps.groupBy("node").agg(
         F.min("next").alias("first_next"), F.max("next").alias("last_next"), F.max("start").alias("any_start"),
         F.min("id").alias("rep"), F.count(F.lit(1)).alias("below"),
+        *[F.bit_or(F.expr(f"if(bit div 64 = {k}, shiftleft(1L, bit % 64), 0L)")).alias(f"mask{k}") for k in range(MASKS)],
     )
     # a node stays if the path branches, a word ends, or a search starts there
     nodes = nodes.filter("first_next <> last_next OR first_next = 0 OR any_start")
     on_path = steps.join(nodes, "node")
     stop = F.struct(
         "depth", "node", "start", (F.col("rep") == F.col("id")).alias("own"), (F.col("first_next") == 0).alias("end"),
-        (F.col("last_next") != 0).alias("more"), _keys(F.col("below")).alias("keys"),
+        (F.col("last_next") != 0).alias("more"), _keys(F.col("below")).alias("keys"), F.array(*[f"mask{k}" for k in range(MASKS)]).alias("ends"),
     )
     paths = on_path.groupBy("id", "side").agg(F.sort_array(F.collect_list(stop)).alias("path"))
     text = F.when(F.col("side") == 0, F.col("word")).otherwise(F.reverse("word"))
@@ -135,7 +226,7 @@ def trie(words: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.col("p.a.node").alias("parent"),
         F.explode(F.sequence(F.lit(0), F.col("p.a.keys") - 1)).alias("key"),
         F.substring("text", F.col("p.a.depth") + 1, F.col("p.b.depth") - F.col("p.a.depth")).alias("label"),
-        F.col("p.b.node").alias("child"), F.col("p.b.keys").alias("child_keys"), F.col("p.b.more").alias("more"),
+        F.col("p.b.node").alias("child"), F.col("p.b.keys").alias("child_keys"), F.col("p.b.more").alias("more"), F.col("p.b.ends").alias("ends"),
         F.when(F.col("p.b.end"), F.col("word")).alias("target"), F.when(F.col("p.b.end"), F.col("n")).alias("target_n"),
     )
     begin = F.get(F.filter("path", lambda s: s["start"]), F.lit(0))
@@ -143,22 +234,44 @@ def trie(words: DataFrame) -> tuple[DataFrame, DataFrame]:
         "word", F.expr("substring(text, s.depth + 1)").alias("rest"), F.lit(0).alias("edits"),
         F.col("s.node").alias("node"), F.col("s.keys").alias("keys"),
     )
-    return pin_table(edges), states
-
-
-def _moves() -> Column:
-    """What is left of the word, and the edits, after each way to take an edge."""
-    rest, label, size = F.col("rest"), F.col("label"), F.length("label")
-
-    def taken(letters: Column) -> Column:
-        """One edit between ``letters`` of the word and the label; the difference of lengths says which."""
-        head = F.substring(rest, F.lit(1), letters)
-        one = (F.col("edits") == 0) & (F.length(head) == letters) & (F.levenshtein(head, label, 1) == 1)
-        return F.when(one, F.struct(F.substring(rest, letters + 1, F.length(rest)).alias("rest"), F.lit(1).alias("edits")))
-
-    same = F.struct(F.substring(rest, size + 1, F.length(rest)).alias("rest"), F.col("edits").alias("edits"))
-    moves = F.array(F.when(F.startswith(rest, label), same), taken(size), taken(size + 1), taken(size - 1))
-    return F.filter(moves, lambda m: m.isNotNull())
+    return pin_table(edges.withColumn("letter", F.left("label", F.lit(1)))), states
+
+
+def _end_bit(rest: Column) -> Column:
+    return (F.xxhash64(F.left(rest, F.lit(END_LETTERS))) + F.length(rest) * END_STEP).bitwiseAND(MASK_BITS - 1).cast("int")
+
+
+def _among_ends(rest: Column) -> Column:
+    """Whether ``rest`` can be an end of a word below the child: its bit is set."""
+    bit = _end_bit(rest)
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(63))
+    return F.get(F.col("ends"), F.shiftright(bit, 6)).bitwiseAND(one) != 0
+
+
+def _step(states: DataFrame, edges: DataFrame) -> DataFrame:
+    """The states after one more edge, with ``ended`` (at the end of a word) and ``onward``; pinned."""
+    carried = ["child", "child_keys", "more", "target", "target_n"]
+    waiting = states.withColumns({
+        "key": F.pmod(F.xxhash64("word"), F.col("keys")).cast("int"), "letter": F.left("rest", F.lit(1)),
+    })
+    here = (waiting["node"] == edges["parent"]) & (waiting["key"] == edges["key"])
+    # without an edit yet, an edge is matched (0), or one letter of it is another (1), was deleted (2) or added (3)
+    fresh = waiting.filter("edits = 0").join(edges, here).select("word", "rest", "label", "ends", *carried)
+    fresh = fresh.withColumn("way", F.explode(F.array(*map(F.lit, range(4)))))
+    letters = F.length("label") + F.expr("if(way = 2, 1, if(way = 3, -1, 0))")
+    rest = F.substring("rest", letters + 1, F.length("rest"))
+    one = (F.levenshtein(F.left("rest", letters), F.col("label"), 1) == 1) & (F.length("rest") >= letters)
+    taken = F.when(F.col("way") == 0, F.startswith("rest", F.col("label"))).otherwise(_among_ends(rest) & one)
+    fresh = fresh.filter(taken).select("word", rest.alias("rest"), F.expr("if(way = 0, 0, 1)").alias("edits"), *carried)
+    # after the edit only the edge of the next letter can match
+    edited = waiting.filter("edits = 1").join(edges, here & (waiting["letter"] == edges["letter"]))
+    rest = F.substring("rest", F.length("label") + 1, F.length("rest"))
+    edited = edited.filter(F.startswith("rest", F.col("label")) & _among_ends(rest))
+    edited = edited.select("word", rest.alias("rest"), F.lit(1).alias("edits"), *carried)
+    ended = F.col("target").isNotNull() & (F.length("rest") == 1 - F.col("edits"))
+    onward = F.col("more") & ((F.col("edits") == 0) | (F.col("rest") != ""))
+    flagged = fresh.unionByName(edited).withColumns({"ended": ended, "onward": onward}).filter("ended OR onward")
+    return pin_table(flagged.select("word", "rest", "edits", "child", "child_keys", "target", "target_n", "ended", "onward"))
 
 
 def neighbours(words: DataFrame) -> DataFrame:
@@ -166,15 +279,7 @@ def neighbours(words: DataFrame) -> DataFrame:
     edges, states = trie(words)
     pairs = []
     while True:
-        spread = F.pmod(F.xxhash64("word"), F.col("keys")).cast("int")
-        waiting = states.withColumn("key", spread)
-        met = waiting.join(edges, (F.col("node") == F.col("parent")) & (waiting["key"] == edges["key"]))
-        moved = met.select("word", F.explode(_moves()).alias("m"), "child", "child_keys", "more", "target", "target_n")
-        rest, edits = F.col("m.rest"), F.col("m.edits")
-        ended = F.col("target").isNotNull() & (F.length(rest) == 1 - edits)
-        onward = F.col("more") & ((edits == 0) | (rest != ""))
-        level = moved.select("word", "m.*", "child", "child_keys", "target", "target_n", ended.alias("ended"), onward.alias("onward"))
-        level = pin_table(level.filter("ended OR onward"))
+        level = _step(states, edges)
         pairs.append(level.filter("ended").select("word", F.col("target").alias("near"), F.col("target_n").alias("near_n")))
         states = level.filter("onward").select("word", "rest", "edits", F.col("child").alias("node"), F.col("child_keys").alias("keys"))
         if states.isEmpty():
