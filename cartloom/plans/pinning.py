@@ -20,14 +20,15 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
-def _pin_folder(spark: SparkSession) -> str:
+def pin_folder(spark: SparkSession) -> str:
+    """The folder of this application's pinned tables."""
     return f"{shared_dir(spark).rstrip('/')}/cartloom-{spark.sparkContext.applicationId}"
 
 
 def pin_table(df: DataFrame, compression: str | None = None) -> DataFrame:
     """Write ``df`` once to the application's folder in the shared folder and read it back."""
     spark = df.sparkSession
-    path = f"{_pin_folder(spark)}/{uuid.uuid4().hex}"
+    path = f"{pin_folder(spark)}/{uuid.uuid4().hex}"
     writer = df.write if compression is None else df.write.option("compression", compression)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -35,5 +36,5 @@ def pin_table(df: DataFrame, compression: str | None = None) -> DataFrame:
 
 def drop_pinned(spark: SparkSession) -> None:
     """Delete the tables this application pinned, once their results are written elsewhere."""
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_pin_folder(spark))
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pin_folder(spark))
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)

@@ -130,7 +130,7 @@ def test_rows_without_an_item_do_not_meet_in_one_task(spark):
 
 def test_pinned_tables_can_be_dropped(spark, tmp_path, monkeypatch):
     folder = tmp_path / "pins"
-    monkeypatch.setattr(pinning, "_pin_folder", lambda session: str(folder))
+    monkeypatch.setattr(pinning, "pin_folder", lambda session: str(folder))
     assert pinning.pin_table(spark.range(3)).count() == 3 and folder.exists()
     pinning.drop_pinned(spark)
     assert not folder.exists()
