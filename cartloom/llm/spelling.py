@@ -14,7 +14,8 @@ every letter branches, are not built at all. A node also has a small bit set of
 words below it: after the edit the rest of the word has to be one of them, so most states that
 lead nowhere are not made. Each level is written before the next. States that wait at a
 node are spread over more keys in proportion to the words below it, and so are its edges, at
-most one per letter. The words of a pair are compared in the end.
+most one per letter. The edges are written in buckets of these keys, so each level moves
+states only.
 
 Words are counted over runs of bytes, which Arrow encodes as a dictionary. Whether a run loses a
 letter hangs on the CRC of its document and itself; of two texts in a row it is the CRC of the
@@ -32,8 +33,10 @@ of any name do no harm.
 from __future__ import annotations
 
 import sys
+import uuid
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 import numpy as np
@@ -43,6 +46,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cartloom.llm.common import binary_rows, mix64, parts, pin_table, random64
+from cartloom.plans.pinning import pin_folder
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -200,41 +204,45 @@ def _keys(words_below: Column) -> Column:
 
 
 def trie(words: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(edges, states)``: the edges below the halves, and a state per word and side; both pinned."""
+    """``(edges, states)``: the edges below the halves, and a state per word and side."""
     steps = pin_table(prefixes(words))
     nodes = steps.groupBy("node").agg(
         F.min("next").alias("first_next"), F.max("next").alias("last_next"), F.max("start").alias("any_start"),
         F.min("id").alias("rep"), F.count(F.lit(1)).alias("below"),
         *[F.bit_or(F.expr(f"if(bit div 64 = {k}, shiftleft(1L, bit % 64), 0L)")).alias(f"mask{k}") for k in range(MASKS)],
     )
-    # a node stays if the path branches, a word ends, or a search starts there
+    # a node stays if the path branches, a word ends, or a search starts there; from here on it is a number
     nodes = nodes.filter("first_next <> last_next OR first_next = 0 OR any_start")
-    on_path = steps.join(nodes, "node")
+    nodes = pin_table(nodes.withColumn("number", F.monotonically_increasing_id()))
+    on_path = steps.select("node", "id", "side", "depth", "start").join(nodes.drop("any_start"), "node")
+    own = F.col("rep") == F.col("id")
     stop = F.struct(
-        "depth", "node", "start", (F.col("rep") == F.col("id")).alias("own"), (F.col("first_next") == 0).alias("end"),
-        (F.col("last_next") != 0).alias("more"), _keys(F.col("below")).alias("keys"), F.array(*[f"mask{k}" for k in range(MASKS)]).alias("ends"),
+        "depth", "number", "start", own.alias("own"), (F.col("first_next") == 0).alias("end"),
+        (F.col("last_next") != 0).alias("more"), _keys(F.col("below")).alias("keys"),
+        F.when(own, F.array(*[f"mask{k}" for k in range(MASKS)])).alias("ends"),
     )
     paths = on_path.groupBy("id", "side").agg(F.sort_array(F.collect_list(stop)).alias("path"))
     text = F.when(F.col("side") == 0, F.col("word")).otherwise(F.reverse("word"))
-    paths = pin_table(paths.join(words.select("id", "word", "n"), "id").withColumn("text", text).drop("id"))
+    paths = pin_table(paths.join(words.select("id", "word", "n"), "id").withColumn("text", text))
     # the shortest word through a node knows the deepest node above it, and is the word that ends there
     pairs = F.arrays_zip(
         F.slice("path", F.lit(1), F.size("path") - 1).alias("a"), F.slice("path", F.lit(2), F.size("path") - 1).alias("b")
     )
     edges = paths.select("word", "n", "text", F.explode(F.filter(pairs, lambda p: p["b"]["own"])).alias("p"))
+    label = F.substring("text", F.col("p.a.depth") + 1, F.col("p.b.depth") - F.col("p.a.depth"))
     edges = edges.select(
-        F.col("p.a.node").alias("parent"),
-        F.explode(F.sequence(F.lit(0), F.col("p.a.keys") - 1)).alias("key"),
-        F.substring("text", F.col("p.a.depth") + 1, F.col("p.b.depth") - F.col("p.a.depth")).alias("label"),
-        F.col("p.b.node").alias("child"), F.col("p.b.keys").alias("child_keys"), F.col("p.b.more").alias("more"), F.col("p.b.ends").alias("ends"),
+        F.col("p.a.number").alias("parent"),
+        F.explode(F.sequence(F.lit(0), F.col("p.a.keys") - 1)).alias("part"),
+        label.alias("label"), F.left(label, F.lit(1)).alias("first"),
+        F.col("p.b.number").alias("child"), F.col("p.b.keys").alias("child_keys"), F.col("p.b.more").alias("more"), F.col("p.b.ends").alias("ends"),
         F.when(F.col("p.b.end"), F.col("word")).alias("target"), F.when(F.col("p.b.end"), F.col("n")).alias("target_n"),
     )
     begin = F.get(F.filter("path", lambda s: s["start"]), F.lit(0))
-    states = paths.select("word", "text", begin.alias("s")).select(
-        "word", F.expr("substring(text, s.depth + 1)").alias("rest"), F.lit(0).alias("edits"),
-        F.col("s.node").alias("node"), F.col("s.keys").alias("keys"),
+    states = paths.select("id", "text", begin.alias("s")).select(
+        "id", F.expr("substring(text, s.depth + 1)").alias("rest"), F.lit(0).alias("edits"),
+        F.col("s.number").alias("node"), F.col("s.keys").alias("keys"),
     )
-    return pin_table(edges.withColumn("letter", F.left("label", F.lit(1)))), states
+    return edges, states
 
 
 def _end_bit(rest: Column) -> Column:
@@ -249,43 +257,57 @@ def _among_ends(rest: Column) -> Column:
 
 
 def _step(states: DataFrame, edges: DataFrame) -> DataFrame:
-    """The states after one more edge, with ``ended`` (at the end of a word) and ``onward``; pinned."""
+    """The states after one more edge, with ``onward``; those at the end of a word have its name. Pinned."""
     carried = ["child", "child_keys", "more", "target", "target_n"]
-    waiting = states.withColumns({
-        "key": F.pmod(F.xxhash64("word"), F.col("keys")).cast("int"), "letter": F.left("rest", F.lit(1)),
-    })
-    here = (waiting["node"] == edges["parent"]) & (waiting["key"] == edges["key"])
-    # without an edit yet, an edge is matched (0), or one letter of it is another (1), was deleted (2) or added (3)
-    fresh = waiting.filter("edits = 0").join(edges, here).select("word", "rest", "label", "ends", *carried)
-    fresh = fresh.withColumn("way", F.explode(F.array(*map(F.lit, range(4)))))
+    spread = F.pmod(F.xxhash64("id"), F.col("keys")).cast("int")
+    # after the edit only the edge of the next letter can match
+    fits = (F.col("edits") == 0) | F.startswith("rest", F.col("first"))
+    met = states.withColumn("key", spread).join(edges, (F.col("node") == F.col("parent")) & (F.col("key") == F.col("part")) & fits)
+    # an edge is matched (0), or one letter of it is another (1), was deleted (2) or added (3)
+    ways = F.when(F.col("edits") == 0, F.array(*map(F.lit, range(4)))).otherwise(F.array(F.lit(0)))
+    each = met.select("id", "rest", "edits", "label", "ends", *carried, F.explode(ways).alias("way"))
     letters = F.length("label") + F.expr("if(way = 2, 1, if(way = 3, -1, 0))")
     rest = F.substring("rest", letters + 1, F.length("rest"))
+    edits = F.expr("if(way = 0, edits, 1)")
     one = (F.levenshtein(F.left("rest", letters), F.col("label"), 1) == 1) & (F.length("rest") >= letters)
-    taken = F.when(F.col("way") == 0, F.startswith("rest", F.col("label"))).otherwise(_among_ends(rest) & one)
-    fresh = fresh.filter(taken).select("word", rest.alias("rest"), F.expr("if(way = 0, 0, 1)").alias("edits"), *carried)
-    # after the edit only the edge of the next letter can match
-    edited = waiting.filter("edits = 1").join(edges, here & (waiting["letter"] == edges["letter"]))
-    rest = F.substring("rest", F.length("label") + 1, F.length("rest"))
-    edited = edited.filter(F.startswith("rest", F.col("label")) & _among_ends(rest))
-    edited = edited.select("word", rest.alias("rest"), F.lit(1).alias("edits"), *carried)
+    taken = F.when(F.col("way") == 0, F.startswith("rest", F.col("label"))).otherwise(one)
+    moved = each.filter(((edits == 0) | _among_ends(rest)) & taken).select("id", rest.alias("rest"), edits.alias("edits"), *carried)
     ended = F.col("target").isNotNull() & (F.length("rest") == 1 - F.col("edits"))
     onward = F.col("more") & ((F.col("edits") == 0) | (F.col("rest") != ""))
-    flagged = fresh.unionByName(edited).withColumns({"ended": ended, "onward": onward}).filter("ended OR onward")
-    return pin_table(flagged.select("word", "rest", "edits", "child", "child_keys", "target", "target_n", "ended", "onward"))
+    flagged = moved.withColumns({"ended": ended, "onward": onward}).filter("ended OR onward")
+    return pin_table(flagged.select(
+        "id", F.when(F.col("onward"), F.col("rest")).alias("rest"), "edits", "child", "child_keys", "onward",
+        F.when(F.col("ended"), F.col("target")).alias("near"), F.when(F.col("ended"), F.col("target_n")).alias("near_n"),
+    ))
 
 
 def neighbours(words: DataFrame) -> DataFrame:
-    """``word``, ``near``, ``near_n``: every ordered pair of words one edit apart, once."""
+    """``id``, ``near``, ``near_n``: the words one edit apart from each word, once."""
     edges, states = trie(words)
     pairs = []
-    while True:
-        level = _step(states, edges)
-        pairs.append(level.filter("ended").select("word", F.col("target").alias("near"), F.col("target_n").alias("near_n")))
-        states = level.filter("onward").select("word", "rest", "edits", F.col("child").alias("node"), F.col("child_keys").alias("keys"))
-        if states.isEmpty():
-            break
-    found = reduce(DataFrame.unionAll, pairs).filter(F.levenshtein("word", "near", 1) == 1)
-    return found.groupBy("word", "near").agg(F.max("near_n").alias("near_n"))
+    with bucketed(edges, "parent", "part") as table:
+        while True:
+            level = _step(states, table)
+            pairs.append(level.filter("near IS NOT NULL").select("id", "near", "near_n"))
+            states = level.filter("onward").select("id", "rest", "edits", F.col("child").alias("node"), F.col("child_keys").alias("keys"))
+            if states.isEmpty():
+                break
+    # different edits can lead to one word
+    return reduce(DataFrame.unionAll, pairs).distinct()
+
+
+@contextmanager
+def bucketed(df: DataFrame, *keys: str) -> Iterator[DataFrame]:
+    """``df`` written in buckets of its keys, so that joins on these need not move it."""
+    spark = df.sparkSession
+    name = f"cartloom_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = f"{pin_folder(spark)}/{name}"
+    df.repartition(n, *keys).write.bucketBy(n, *keys).sortBy(*keys).option("path", path).saveAsTable(name)
+    try:
+        yield spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
 def roots(forms: DataFrame) -> DataFrame:
@@ -308,10 +330,10 @@ def spelling_variants(docs: DataFrame) -> DataFrame:
     """``word``, ``form``, ``root``, ``n``, ``n_near``, ``form_n`` of every word."""
     words = counted_words(docs)
     best = F.min(F.struct((-F.col("near_n")).alias("less"), "near")).alias("best")
-    near = neighbours(words).groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), best)
+    near = neighbours(words).groupBy("id").agg(F.count(F.lit(1)).alias("n_near"), best)
     strong = -F.col("best.less") >= 2 * F.col("n")
     judged = pin_table(
-        words.select("word", "n").join(near, "word", "left").select(
+        words.select("id", "word", "n").join(near, "id", "left").select(
             "word", F.when(strong, F.col("best.near")).alias("form"), "n",
             F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), F.when(strong, -F.col("best.less")).alias("form_n"),
         )
