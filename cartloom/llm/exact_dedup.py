@@ -16,7 +16,8 @@ Definitions: a missing text counts as empty; an empty text is one empty block, s
 all empty texts are equal. Rows with equal ``doc_id`` and equal text are one
 document and returned once, ``copies`` telling how many rows it had. A missing
 ``doc_id`` sorts behind all others: such a document stays only if all of its group
-lack an id. An empty table gives an empty result. Only ``doc_id`` and ``text`` are
+lack an id. A text may be of any length: it is cut in one pass and its blocks are rows, so
+only the cutting task holds it whole. An empty table gives an empty result. Only ``doc_id`` and ``text`` are
 read, so further columns of any name do no harm.
 """
 
@@ -67,8 +68,8 @@ def blocks_of(docs: DataFrame, block_chars: int, hash_bits: int) -> DataFrame:
     text = normalised(F.col("text"))
 
     def cut(t: Column) -> Column:
-        last = F.floor(F.greatest(F.length(t) - 1, F.lit(0)) / block_chars).cast("int")
-        return F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(t, i * block_chars + 1, F.lit(block_chars)))
+        # one pass over the text: a substring by number would count characters from the start each time
+        return F.when(t == "", F.array(t)).otherwise(F.regexp_extract_all(t, F.lit(f"(?s).{{1,{block_chars}}}"), F.lit(0)))
 
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), document_key(F.col("text")).alias("text_key"),

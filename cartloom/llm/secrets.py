@@ -16,7 +16,7 @@ Definitions: a missing text counts as empty and has no spans. Spans are
 ``kind:start:end`` in code points, end exclusive, by start and then by kind in the order
 of ``KINDS``. Rows with equal ``doc_id`` are judged one by one: parts are linked within
 (doc_id, text), and repeated rows each get the same result. A missing ``doc_id`` is an id
-like others. An empty table gives an empty result. Only ``doc_id`` and ``text`` are read,
+like others. A text may be of any length and hold any number of spans. An empty table gives an empty result. Only ``doc_id`` and ``text`` are read,
 so further columns of any name do no harm.
 """
 
@@ -28,9 +28,11 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cartloom.llm.common import let, text_or_empty
+from cartloom.llm.common import let, pin_table, text_or_empty
 
 SCOPE = 200
+#: Spans are gathered in runs of so many.
+RUN = 256
 KINDS = ("assign", "access", "hex", "identifier", "endpoint", "candidate")
 BASE = KINDS[:3]
 
@@ -82,18 +84,24 @@ def spans_of(text: Column, kind: str) -> Column:
 
 def _placed(found: Column, between: Column, kind: str) -> Column:
     """Positions from the lengths of the matches and of what lies between them."""
-    # running sums over pairs of (between, match): (end of the last match, spans so far)
-    seed = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,rank:int,end:int>>").alias("spans"))
+    # running sums over pairs of (between, match): the end of the last match, and the spans so far, which
+    # are kept in runs of RUN, as appending copies a list
+    spans_type = "array<struct<start:int,rank:int,end:int>>"
+    none = F.array().cast(spans_type)
+    seed = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{spans_type}>").alias("runs"), none.alias("spans"))
 
     def step(state: Column, pair: Column) -> Column:
         start = state["at"] + F.length(pair["b"])
         end = start + F.length(pair["m"])
         span = F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("rank"), end.alias("end"))
-        spans = F.when(_holds(kind, pair["m"]), F.array_append(state["spans"], span)).otherwise(state["spans"])
-        return F.struct(end.alias("at"), spans.alias("spans"))
+        full = F.size(state["spans"]) >= RUN
+        runs = F.when(full, F.array_append(state["runs"], state["spans"])).otherwise(state["runs"])
+        left = F.when(full, none).otherwise(state["spans"])
+        spans = F.when(_holds(kind, pair["m"]), F.array_append(left, span)).otherwise(left)
+        return F.struct(end.alias("at"), runs.alias("runs"), spans.alias("spans"))
 
     pairs = F.zip_with(F.slice(between, F.lit(1), F.size(found)), found, lambda b, m: F.struct(b.alias("b"), m.alias("m")))
-    return F.aggregate(pairs, seed, step, lambda s: s["spans"])
+    return F.aggregate(pairs, seed, step, lambda s: F.flatten(F.array_append(s["runs"], s["spans"])))
 
 
 def found_spans(docs: DataFrame) -> DataFrame:
@@ -152,7 +160,8 @@ def completed(links: DataFrame) -> DataFrame:
 
 def secrets(docs: DataFrame) -> DataFrame:
     """``doc_id``, an array of base spans (``base``) and of all spans (``spans``), as (start, rank, end)."""
-    rows = found_spans(docs)
+    # the patterns are the work here; what they find is a small part of the texts, and is read three times
+    rows = pin_table(found_spans(docs))
     more = completed(linked(rows)).groupBy("doc_id", "text_key").agg(
         F.collect_list(F.struct("start", "rank", "end")).alias("added")
     )
