@@ -74,12 +74,18 @@ def short_or_long(long_name, short_name):
     return F.coalesce(F.nullif(short_name, F.lit("")), long_name)
 
 
-def short_group_names(members: DataFrame, shares: DataFrame) -> DataFrame:
-    names = shares.select("group_name", "group_name_short").distinct()
+def named_groups(members: DataFrame, shares: DataFrame) -> DataFrame:
+    """Members under the short names of their groups; ``known_group`` tells those in the settings."""
+    names = shares.select("group_name", "group_name_short").distinct().withColumn("known_group", F.lit(True))
     joined = join_on_keys(members, names, ["group_name"], "left")
-    return joined.withColumn(
-        "group_name", short_or_long(F.col("group_name"), F.col("group_name_short"))
-    ).drop("group_name_short")
+    return joined.withColumns({
+        "group_name": short_or_long(F.col("group_name"), F.col("group_name_short")),
+        "known_group": F.coalesce("known_group", F.lit(False)),
+    }).drop("group_name_short")
+
+
+def short_group_names(members: DataFrame, shares: DataFrame) -> DataFrame:
+    return named_groups(members, shares).drop("known_group")
 
 
 def shares_by_short_name(shares: DataFrame) -> DataFrame:

@@ -203,9 +203,11 @@ def standard_with_extras(carts: DataFrame, group_std: DataFrame, extras: str = "
     return hits.select("id", F.explode(extra).alias("item_original"))
 
 
-def standard_summary(carts: DataFrame, std_members: DataFrame, group_std: DataFrame) -> DataFrame:
+def standard_summary(
+    carts: DataFrame, std_members: DataFrame, group_std: DataFrame, extras: str = "last_line"
+) -> DataFrame:
     return (
-        with_keep_flag(matched_carts(carts, group_std), std_members)
+        with_keep_flag(matched_carts(carts, group_std, extras), std_members)
         .filter(F.col("full") | F.col("with_extras"))
         .select(
             "group_name",

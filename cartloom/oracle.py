@@ -393,6 +393,16 @@ FINAL = {
     SELECT group_name, page_n, row_n::INT AS row_n, column_n::INT AS column_n,
         {LABEL} || CASE WHEN rank = -1 THEN (SELECT suffix FROM run) ELSE '' END AS label
     FROM cells LEFT JOIN symbols USING (item)""",
+    "weekly_job": f"""
+    SELECT s.group_name, s.page_n, s.row_n,
+        max(CASE WHEN column_n = 1 THEN label END) AS item_1, max(CASE WHEN column_n = 2 THEN label END) AS item_2,
+        46 * (dense_rank() OVER (ORDER BY s.group_name, s.page_n) - 1) + s.row_n AS sheet_row
+    FROM sheet s LEFT JOIN (
+        SELECT group_name, page_n, row_n, column_n,
+            {LABEL} || CASE WHEN rank = -1 THEN (SELECT suffix FROM run) ELSE '' END AS label
+        FROM cells LEFT JOIN symbols USING (item)) c
+        ON c.group_name = s.group_name AND c.page_n = s.page_n AND c.row_n = s.row_n
+    GROUP BY s.group_name, s.page_n, s.row_n""",
     "cell_group_colour": """
     SELECT c.group_name, page_n, row_n::INT AS row_n, column_n::INT AS column_n, hex AS highlight_color_hex,
         'bold' AS text_decoration, 'center' AS halign

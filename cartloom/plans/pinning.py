@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,6 +34,13 @@ def pin_table(df: DataFrame, compression: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def pin_observed(df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict]:
+    """Pin ``df`` and return aggregates over its rows, taken while it is written: no job of their own."""
+    seen = Observation()
+    table = pin_table(df.observe(seen, *[m.alias(name) for name, m in metrics.items()]))
+    return table, seen.get
+
+
 def drop_pinned(spark: SparkSession) -> None:
     """Delete the tables this application pinned, once their results are written elsewhere."""
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pin_folder(spark))

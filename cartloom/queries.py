@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -440,6 +441,14 @@ def cell_styles(spark, sf):
     return L.cell_styles(shown, A.shares(spark, sf), formats)
 
 
+def weekly_job(spark, sf):
+    """The labelled sheet of the whole job, with all its checks."""
+    rows = pinned_carts(spark, sf)
+    last_day = U.pickup_calendar(A.rotation(spark, sf)).agg(F.max("date_all")).first()[0]
+    chosen = replace(settings(spark, sf, rows), rotation=A.rotation(spark, sf))
+    return W.weekly_sheet(A.member_orders(spark, sf), chosen, last_day).sheet
+
+
 def settings_append(spark, sf):
     return E.append_distinct(permanent_deletes(spark, sf), temporary_deletes(spark, sf))
 
@@ -560,7 +569,7 @@ QUERIES = {
         deletable_items, delete_report, order_only_members, lines_after_delete, plant_extract,
         rows_per_member, page_packing, page_grid, two_column_sheet, sheet_rows, page_subset,
         page_overflow, item_symbols, item_labels, header_labels, cell_group_colour,
-        cell_standard_bold, cell_format_rules, cell_styles, settings_append, settings_remove,
+        cell_standard_bold, cell_format_rules, cell_styles, weekly_job, settings_append, settings_remove,
         orders_file_rows, orders_file_ids, orders_file_quarantine, settings_replaced, standards_upsert, rules_edit, keyword_lookup, rgb_parse, preview_top,
     )
 }

@@ -1,6 +1,7 @@
 """Deletes, search, labels, styles, and the whole weekly job."""
 
 import datetime as dt
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -212,8 +213,42 @@ def test_weekly_sheet(spark):
     assert not any(g == "Mill" for g, _, _ in styles)
     assert sorted(tuple(r) for r in out.reconciliation.collect()) == [("Mill", 1, 1, 0), ("S", 3, 2, -1)]
     assert [tuple(r) for r in out.plants.collect()] == [("Mill", "Eck", "Di", "1 Pot Plant - Mint", "2")]
+    assert out.counts == {"n_start": 4, "n_unknown": 0, "n_end": 3, "n_cells": 15, "n_overflow": 0}
     with pytest.raises(ValueError, match="longer than a page"):
         weekly.weekly_sheet(df, weekly_settings(spark), run, max_rows=3)
+    with pytest.raises(ValueError, match="groups missing from the settings: .'Elsewhere'"):
+        weekly.weekly_sheet(df.withColumn("group_name", F.lit("Elsewhere")), weekly_settings(spark), run)
+
+
+def test_reports_and_options_of_the_job(spark):
+    rows = [
+        ("Shop", "Ann", "Bell", "1 Full, 1x1 Egg, 1x2 @4 X Pickup Time, 1x3 @5 Y Pickup Time", 1),
+        ("Shop", "Bob", "Cole", "1 Full, 1x1 Egg, 1x1 Each Credit", 2),
+        ("Mill", "Cy", "Doe", f"1 None, {ONLY}", 3),
+        ("Shop", "Di", "Eck", "1 Half, 2x1 Pot Plant - Mint", 4),
+    ]
+    df = spark.createDataFrame(rows, MEMBERS)
+    rotation = spark.createDataFrame([(dt.date(2022, 1, 5), 1, "A")], "date date, week int, season string")
+    settings = replace(weekly_settings(spark), rotation=rotation)
+    out = weekly.weekly_sheet(df, settings, dt.date(2022, 1, 7), options=weekly.Options(max_rows=8, extras="containment", label="BOX"))
+    text = [t for r in out.sheet.orderBy("sheet_row").collect() for t in (r.item_1, r.item_2)]
+    assert text[0] == "S (Aw01 - 2022-01-07)" and text.count("BOX") == 2
+    said = out.reports
+    assert {(r.name_long, r.extra_items) for r in said.standard_summary.collect()} == {("Bell, Ann [1]", False), ("Cole, Bob [2]", True)}
+    assert {r.name_long for r in said.multi_pickup.collect()} == {"Bell, Ann [1]"} and said.pickup_histogram.count() == 2
+    assert [r.id for r in said.order_only.collect()] == [3]
+    assert [r.group_name for r in said.groups_without_pages.collect()] == ["Mill"]
+    assert {(r.list_name, r.item) for r in said.delete_report.collect()} == {("permanent", "1 Each Credit"), ("plants", "1 Pot Plant - Mint")}
+    assert said.home_delivery.count() == 0 and said.standards_coverage.first().n_groups == 1
+    with pytest.raises(ValueError, match="not a pickup day"):
+        weekly.weekly_sheet(df, settings, dt.date(2022, 1, 9))
+    with pytest.raises(ValueError, match="needs the rotation"):
+        weekly.weekly_sheet(df, weekly_settings(spark), dt.date(2022, 1, 7))
+    doubled = replace(settings, shares=settings.shares.unionByName(settings.shares))
+    with pytest.raises(ValueError, match="duplicate keys"):
+        weekly.weekly_sheet(df, doubled, dt.date(2022, 1, 7))
+    none = weekly.weekly_sheet(df.limit(0), settings, dt.date(2022, 1, 7))
+    assert none.sheet.count() == 0 and none.counts["n_start"] == 0
 
 
 def test_several_runs_in_one_job(spark):
