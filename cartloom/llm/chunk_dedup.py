@@ -9,13 +9,14 @@ passage of some 50 words has whole chunks of its own wherever it stands.
 
 Chunks are compared by 128-bit digests. Digests that occur more than once are found by
 partial aggregation and joined back; the first occurrence by (doc_id, start) stays, the
-others are repeats. Adjacent repeated chunks are merged into spans, and spans under
+others are repeats. Adjacent repeated chunks are merged into spans, and stretches of spans under
 ``MIN_CHARS`` are left alone, as common phrases are no passages.
 
 Definitions: missing and empty texts have no chunks. Texts without a cut (shorter than
 ``REACH``, or one character repeated) are a single chunk. Repeats inside a document
-count like repeats across documents. Rows sharing a ``doc_id`` are one document; a row
-repeated whole is a repeat of itself. A missing ``doc_id`` sorts behind all others. An
+count like repeats across documents. Texts that share a ``doc_id``, or have none, are documents
+of their own; rows repeated whole are one document. A missing ``doc_id`` sorts behind all
+others. A text may be of any length: it is chunked whole in one task. An
 empty table gives no spans. Only ``doc_id`` and ``text`` are read, so further columns of
 any name do no harm.
 """
@@ -38,7 +39,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 GEAR_BYTES = 16
 REACH = 24
 MIN_CHARS = 64
-CHUNK_SCHEMA = "doc_id long, start int, end int, digest_a long, digest_b long"
+CHUNK_SCHEMA = "doc_id long, text_key long, start int, end int, digest_a long, digest_b long"
 
 
 def gear_hashes(data: np.ndarray) -> np.ndarray:
@@ -107,7 +108,7 @@ def chunk(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """One row per chunk: ``doc_id``, ``start``, ``end`` (code points) and its digest."""
+    """One row per chunk: ``doc_id``, ``text_key``, ``start``, ``end`` (code points) and its digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,45 +117,56 @@ def chunks(docs: DataFrame) -> DataFrame:
                 owner, start, end, digests = chunk(texts)
                 yield pa.record_batch(
                     [
-                        part.column("doc_id").take(pa.array(owner)), pa.array(start.astype(np.int32)),
+                        part.column("doc_id").take(pa.array(owner)), part.column("text_key").take(pa.array(owner)), pa.array(start.astype(np.int32)),
                         pa.array(end.astype(np.int32)), pa.array(digests[:, 0].copy()), pa.array(digests[:, 1].copy()),
                     ],
-                    ["doc_id", "start", "end", "digest_a", "digest_b"],
+                    ["doc_id", "text_key", "start", "end", "digest_a", "digest_b"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, CHUNK_SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), text_key()).mapInArrow(run, CHUNK_SCHEMA)
+
+
+def text_key() -> Column:
+    """Tells apart texts that share a ``doc_id``."""
+    return F.xxhash64(F.col("text").cast("string")).alias("text_key")
 
 
 def repeated_spans(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """Spans whose chunks occur more than once.
 
-    ``doc_id``, ``start``, ``end`` (code points), ``n_chunks``, ``removed`` (false for
+    ``doc_id``, ``text_key``, ``start``, ``end`` (code points), ``n_chunks``, ``removed`` (false for
     the occurrence that stays) and ``first_doc_id`` (where its first chunk stays).
     """
     rows = chunks(docs)
     key = ["digest_a", "digest_b"]
-    order = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d"), F.col("start").alias("s"))
-    found = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first")).filter("n > 1")
+    place = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d"), F.col("text_key").alias("t"), F.col("start").alias("s"))
+    found = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).filter("n > 1")
     repeats = rows.join(found.drop("n"), key)
-    placed = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d"), F.col("start").alias("s"))
-    marked = repeats.select("doc_id", "start", "end", (placed != F.col("first")).alias("removed"), F.col("first")["d"].alias("first_doc_id"))
-    # a row repeated whole has each chunk twice under one id
-    once = marked.groupBy("doc_id", "start", "end").agg(F.max("removed").alias("removed"), F.min("first_doc_id").alias("first_doc_id"))
-    inside = Window.partitionBy("doc_id").orderBy("start", "end")
-    new = (F.col("start") > F.lag("end").over(inside)) | (F.col("removed") != F.lag("removed").over(inside))
-    begun = once.withColumn("__new", F.coalesce(new, F.lit(True)).cast("int"))
-    runs = begun.withColumn("__run", F.sum("__new").over(inside))
-    spans = runs.groupBy("doc_id", "__run").agg(
+    text = ["doc_id", "text_key"]
+    marked = repeats.select(*text, "start", "end", (place != F.col("first")).alias("removed"), F.col("first")["d"].alias("first_doc_id"))
+    # a row repeated whole has each chunk twice
+    once = marked.groupBy(*text, "start", "end").agg(F.max("removed").alias("removed"), F.min("first_doc_id").alias("first_doc_id"))
+    inside = Window.partitionBy(*text).orderBy("start", "end")
+    apart = F.coalesce(F.col("start") > F.lag("end").over(inside), F.lit(True))
+    changed = F.coalesce(F.col("removed") != F.lag("removed").over(inside), F.lit(False))
+    begun = once.withColumns({"__apart": apart.cast("int"), "__new": (apart | changed).cast("int")})
+    runs = begun.withColumns({"__stretch": F.sum("__apart").over(inside), "__run": F.sum("__new").over(inside)})
+    spans = runs.groupBy(*text, "__stretch", "__run").agg(
         F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("n_chunks"),
         F.first("removed").alias("removed"), F.min("first_doc_id").alias("first_doc_id"),
     )
-    return spans.filter(F.col("end") - F.col("start") >= min_chars).drop("__run")
+    # a passage of which some stays here and some elsewhere is one stretch
+    whole = Window.partitionBy(*text, "__stretch")
+    size = F.max("end").over(whole) - F.min("start").over(whole)
+    return spans.withColumn("__size", size).filter(F.col("__size") >= min_chars).drop("__stretch", "__run", "__size")
 
 
 def without_repeats(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """``docs`` with the removed spans taken out of their texts."""
-    cut = spans.filter("removed").groupBy(F.col("doc_id").alias("__id")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__cut"))
-    joined = docs.join(cut, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left")
+    keys = [F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")]
+    cut = spans.filter("removed").groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__cut"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__key"))
+    joined = docs.join(cut, same, "left")
     text = F.col("text")
 
     def remains(spans_of: Column) -> Column:

@@ -1,14 +1,17 @@
 """Mixture-controlled packing by deficit round-robin over source queues.
 
 All documents of a source form a queue of tokens. Each window of ``WINDOW`` tokens
-takes from every queue its share of the corpus, in whole tokens; what a queue is owed
-or has had too much (its deficit) is carried into the next window. A queue's next
-token is due at ``(j + 1/2) / T`` for its *j*-th of *T* tokens, and the window takes
-the tokens due earliest, so after any number of windows each queue is within a
-token of its share for two queues, and within half the number of queues in general.
+takes from every queue its weight's share, in whole tokens; what a queue is owed or has had
+too much (its deficit) is carried into the next window. The *j*-th token of a queue of weight
+*w* is due at ``(j + 1/2) / w``, and a window takes the tokens due earliest, so after any
+number of windows each queue is within a token of its share for two queues, and within half
+the number of queues in general. A queue that has run dry has no more tokens due, so
+its part passes to the others in proportion to their weights. Without weights a queue's
+weight is its number of tokens: all queues end together, and every window has the
+proportions of the corpus.
 
 The state after window *w* is the number of tokens taken from each queue among the
-first ``w * WINDOW`` by due time. It follows from *w* and the totals alone, so every
+first ``w * WINDOW`` by due time. It follows from *w*, the totals and the weights alone, so every
 partition computes the deficits at its own windows, and a document is cut without
 seeing any other document: there is no sequential pass and no task per queue.
 
@@ -46,7 +49,13 @@ PIECE_SCHEMA = (
 )
 
 
-def taken(windows: np.ndarray, totals: np.ndarray, size: int = WINDOW) -> np.ndarray:
+def drained(totals: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """When queues run dry, in due time, and how many tokens are due by then; straight lines between."""
+    times = np.unique(np.concatenate(([0.0], totals / weight)))
+    return times, np.minimum(times[:, None] * weight, totals).sum(axis=1)
+
+
+def taken(windows: np.ndarray, totals: np.ndarray, size: int = WINDOW, weights: np.ndarray | None = None) -> np.ndarray:
     """Tokens taken from each queue (columns) by the end of so many windows (rows).
 
     The first ``windows * size`` tokens in the order (due time, queue). A first guess
@@ -55,8 +64,9 @@ def taken(windows: np.ndarray, totals: np.ndarray, size: int = WINDOW) -> np.nda
     n = int(totals.sum())
     goal = np.minimum(windows.astype(np.int64) * size, n)
     live = totals > 0
-    weight = np.where(live, totals, 1).astype(np.float64)
-    count = np.where(live, np.floor(goal[:, None] / max(n, 1) * weight + 0.5), 0).astype(np.int64)
+    weight = np.where(live, totals if weights is None else weights, 1).astype(np.float64)
+    times, due = drained(totals, weight)
+    count = np.where(live, np.floor(np.interp(goal, due, times)[:, None] * weight + 0.5), 0).astype(np.int64)
     count = np.clip(count, 0, totals)
     rows = np.arange(len(goal))
     while True:
@@ -98,7 +108,10 @@ def queued(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
     return pin_table(chosen.mapInArrow(run, QUEUE_SCHEMA))
 
 
-def cut(begin: int, n: int, queue: int, totals: np.ndarray, bounds: dict[int, np.ndarray], size: int = WINDOW) -> list:
+def cut(
+    begin: int, n: int, queue: int, totals: np.ndarray, bounds: dict[int, np.ndarray], size: int = WINDOW,
+    weights: np.ndarray | None = None,
+) -> list:
     """``(start, length, window, offset)`` of the pieces of tokens ``begin`` to ``begin + n`` of a queue.
 
     ``bounds`` remembers the states of windows already computed.
@@ -109,11 +122,12 @@ def cut(begin: int, n: int, queue: int, totals: np.ndarray, bounds: dict[int, np
             if len(bounds) > 4096:
                 bounds.clear()
             near = np.arange(w, w + 32)
-            bounds.update(zip(near.tolist(), taken(near, totals, size), strict=True))
+            bounds.update(zip(near.tolist(), taken(near, totals, size, weights), strict=True))
         return bounds[w]
 
     # the token's due time tells its window, but for half a token a queue
-    w = int((begin + 0.5) / totals[queue] * int(totals.sum()) // size)
+    weight = np.where(totals > 0, totals if weights is None else weights, 1).astype(np.float64)
+    w = int(np.minimum((begin + 0.5) / weight[queue] * weight, totals).sum() // size)
     while state(w)[queue] > begin:
         w -= 1
     while state(w + 1)[queue] <= begin:
@@ -130,8 +144,16 @@ def cut(begin: int, n: int, queue: int, totals: np.ndarray, bounds: dict[int, np
     return out
 
 
-def pack(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
-    """The pieces of all documents with the sequence and offset of each, and its ids."""
+def pack(
+    docs: DataFrame, vocabulary: str, end_id: int, weights: dict[str | None, float] | None = None
+) -> DataFrame:
+    """The pieces of all documents with the sequence and offset of each, and its ids.
+
+    ``weights``: the proportions of the sources in every window as long as they last, a source
+    that is not named counting as 1; those of the corpus if missing.
+    """
+    if weights is not None and min(weights.values(), default=1) <= 0:
+        raise ValueError("weights must be greater than zero")
     dtype, _ = id_width(vocabulary)
     queue = queued(docs, vocabulary, end_id)
     sums = queue.groupBy("part", "source").agg(F.sum("n_tokens").alias("n"))
@@ -141,6 +163,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
     listed = sorted(((r.source, r.n) for r in found), key=lambda s: (s[0] is None, s[0] or ""))
     number = {source: k for k, (source, _) in enumerate(listed)}
     totals = np.array([n for _, n in listed], np.int64)
+    wanted = None if weights is None else np.array([weights.get(source, 1) for source, _ in listed], np.float64)
     begins = sums.select(F.col("part").alias("__part"), F.col("source").alias("__source"), "before")
     same = (F.col("part") == F.col("__part")) & F.col("source").eqNullSafe(F.col("__source"))
     placed = queue.join(begins, same).select(
@@ -151,17 +174,19 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
         bounds: dict[int, np.ndarray] = {}
         for batch in batches:
             for part in parts(batch, "ids", 4 << 20):
-                yield _pieces(part, number, totals, bounds, dtype)
+                yield _pieces(part, number, totals, bounds, dtype, wanted)
 
     return placed.mapInArrow(run, PIECE_SCHEMA)
 
 
-def _pieces(part: pa.RecordBatch, number: dict, totals: np.ndarray, bounds: dict, dtype: np.dtype) -> pa.RecordBatch:
+def _pieces(
+    part: pa.RecordBatch, number: dict, totals: np.ndarray, bounds: dict, dtype: np.dtype, weights: np.ndarray | None
+) -> pa.RecordBatch:
     rows, ids = [], []
     columns = (part.column(k).to_pylist() for k in ("doc_id", "source", "begin", "n_tokens", "ids"))
     for doc, source, begin, n, raw in zip(*columns, strict=True):
         wide = np.frombuffer(raw, dtype).astype("<u4").tobytes()
-        for start, length, window, offset in cut(begin, n, number[source], totals, bounds):
+        for start, length, window, offset in cut(begin, n, number[source], totals, bounds, weights=weights):
             rows.append((doc, source, start, length, n, window, offset))
             ids.append(wide[4 * start : 4 * (start + length)])
     kinds = [pa.int64(), pa.string(), *[pa.int64()] * 5]

@@ -41,13 +41,13 @@ from cartloom.llm.common import parts, worker_state
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SAMPLE_DOCS = 3000
-DICTIONARY_BYTES = 2048
+DICTIONARY_BYTES = 8192
 #: Stands before every window and at the end of both dictionaries: a block that does not
 #: shrink is stored as it is, and a short window would hide its one match.
 CARRIER = bytes(range(128, 192))
 #: A run of so many bytes is particular to a class if so many of its texts hold it, at so
-#: many times the other's rate: a number, and a share of the texts.
-GRAM, MIN_TEXTS, MIN_SHARE, MIN_RATIO = 5, 5, 0.02, 30.0
+#: many times the other's rate.
+GRAM, MIN_TEXTS, MIN_RATIO = 5, 5, 30.0
 WINDOW_WORDS = 5
 LEVEL = 3
 STEPS = (2, 3, 5, 7)
@@ -168,7 +168,7 @@ def _particular(texts: list[bytes], others: list[bytes]) -> list[bytes]:
     place = np.minimum(np.searchsorted(there, here), len(there) - 1)
     also = np.where(there[place] == here, n_there[place], 0)
     ratio = (len(texts) + 1) / (len(others) + 1)
-    chosen = here[(here > 0) & (n_here >= max(MIN_TEXTS, MIN_SHARE * len(texts))) & (n_here + 0.5 >= MIN_RATIO * ratio * (also + 0.5))]
+    chosen = here[(here > 0) & (n_here >= MIN_TEXTS) & (n_here + 0.5 >= MIN_RATIO * ratio * (also + 0.5))]
     out = []
     for text, grams in zip(texts, held, strict=True):
         data = normal(text)

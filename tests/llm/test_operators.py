@@ -261,6 +261,34 @@ def test_repeated_passages(spark, odd, none):
     assert chunk_dedup.repeated_spans(none).count() == 0
 
 
+def test_texts_that_share_an_id_keep_their_words(spark):
+    random.seed(11)
+    word = lambda: "".join(random.choices("abcdefghij", k=random.randrange(2, 9)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    passage = text(80)
+    rows = [
+        (1, f"{text(50)} {passage} {text(50)}"), (2, f"{text(60)} {passage} {text(20)}"), (2, text(150)), (None, f"{passage} {text(90)}"),
+        (None, text(100)), (3, text(120)), (3, text(120)),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    left = {r.text for r in chunk_dedup.without_repeats(docs, chunk_dedup.repeated_spans(docs)).collect()}
+    # texts without a repeat stay as they are, and so does the first with the passage
+    assert {rows[k][1] for k in (0, 2, 4, 5, 6)} <= left and len(left) == len(rows)
+    assert rows[1][1] not in left and rows[3][1] not in left
+
+
+def test_passages_of_short_words(spark):
+    random.seed(3)
+    word = lambda: "".join(random.choices("abcdefghijklmnop", k=random.randrange(2, 5)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    passages = [text(51) for _ in range(150)]
+    rows = [(2 * k + i, f"{text(40)} {p} {text(40)}") for k, p in enumerate(passages) for i in range(2)]
+    found = chunk_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).filter("removed").collect()
+    texts = dict(rows)
+    assert all(texts[r.doc_id][r.start : r.end] in texts[r.first_doc_id] for r in found)
+    assert len({r.doc_id for r in found}) >= 0.94 * len(passages)
+
+
 def base_spans(text):
     """What Python's own patterns find, by start and kind."""
     found = []
@@ -480,6 +508,59 @@ def test_packing(odd, none):
     assert packing.pack(none, WORD, 2).count() == 0
 
 
+def round_robin(totals, weights, size):
+    """One token after another: the queue with the earliest due token gives one. Counts at the end of each window."""
+    done, out = [0] * len(totals), []
+    while sum(done) < sum(totals):
+        due = [((d + 0.5) / w, k) for k, (d, t, w) in enumerate(zip(done, totals, weights, strict=True)) if d < t]
+        done[min(due)[1]] += 1
+        if sum(done) % size == 0 or sum(done) == sum(totals):
+            out.append(list(done))
+    return out
+
+
+def test_weights_equal_a_round_robin_of_queues_that_run_dry():
+    rng = np.random.default_rng(9)
+    for _ in range(60):
+        totals = rng.integers(0, 80, int(rng.integers(1, 6)))
+        weights = rng.choice([0.1, 1.0, 2.0, 3.0, 7.5], len(totals))
+        size = int(rng.integers(1, 20))
+        want = round_robin(totals.tolist(), weights.tolist(), size)
+        windows = np.arange(1, len(want) + 1)
+        if len(want):
+            assert packing.taken(windows, totals, size, weights).tolist() == want
+        # as long as no queue has run dry, every window has the proportions
+        lasting = [x for x in want if all(d < t for d, t in zip(x, totals.tolist(), strict=True))]
+        for w, x in enumerate(lasting, 1):
+            assert all(abs(d - w * size * v / weights.sum()) <= len(totals) / 2 + 1 for d, v in zip(x, weights, strict=True))
+        for queue, n in enumerate(totals.tolist()):
+            bounds, pieces = {}, []
+            for begin in range(0, n, 7):
+                pieces += packing.cut(begin, min(7, n - begin), queue, totals, bounds, size, weights)
+            by_window = Counter()
+            for _, length, w, _ in pieces:
+                by_window[w] += length
+            ends = [0, *(x[queue] for x in want)]
+            assert by_window == Counter({w: b - a for w, (a, b) in enumerate(zip(ends, ends[1:], strict=False)) if b > a})
+
+
+def test_packing_with_weights(odd):
+    plain = packing.pack(odd, WORD, 2).collect()
+    pieces = packing.pack(odd, WORD, 2, weights={"c": 1.0, "a": 1.0, "b": 2.0, None: 0.5}).collect()
+    places = Counter((r.sequence_id, r.offset + i) for r in pieces for i in range(r.length))
+    assert set(places.values()) == {1} and len(places) == sum(r.length for r in plain)
+    first = Counter()
+    for r in pieces:
+        first[r.source] += r.length * (r.sequence_id == 0)
+    every = Counter()
+    for r in plain:
+        every[r.source] += r.length
+    # the small queues run dry in the first window
+    assert all(first[s] == every[s] for s in ("a", "b", None)) and first["c"] < every["c"]
+    with pytest.raises(ValueError, match="greater than zero"):
+        packing.pack(odd, WORD, 2, weights={"a": 0.0})
+
+
 def test_due_times_equal_the_sorted_order():
     rng = np.random.default_rng(1)
     for _ in range(60):
