@@ -232,12 +232,14 @@ def _labelled(part: pa.RecordBatch, model: LanguageModel, penalty: float) -> pa.
 
 def label_languages(docs: DataFrame, model: LanguageModel, penalty: float = SWITCH_PENALTY) -> DataFrame:
     """``doc_id``, ``lang_pred``, ``score`` and the labelled spans (code points) of each text."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    # by value: workers need not have the class
+    shared = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = cloudpickle.loads(shared.value)
         for batch in batches:
             for part in parts(batch, "text", 12 << 20):
-                yield _labelled(part, shared.value, penalty)
+                yield _labelled(part, known, penalty)
 
     chosen = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return chosen.mapInArrow(run, f"doc_id long, lang_pred string, score double, spans {SPANS}")

@@ -41,7 +41,7 @@ from cartloom.llm.common import parts, worker_state
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SAMPLE_DOCS = 3000
-DICTIONARY_BYTES = 8192
+DICTIONARY_BYTES = 16384
 #: Stands before every window and at the end of both dictionaries: a block that does not
 #: shrink is stored as it is, and a short window would hide its one match.
 CARRIER = bytes(range(128, 192))
@@ -219,10 +219,8 @@ def train(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """``doc_id``, ``score`` and ``worst`` (the greatest distance) of each text."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m = model
         for batch in batches:
             for part in parts(batch, "text", 4 << 20):
                 texts = [b if b is not None else b"" for b in part.column("text").cast(pa.binary()).to_pylist()]
