@@ -354,6 +354,11 @@ FINAL = {
     SELECT count(DISTINCT food) AS n_groups, count(DISTINCT food) < 5 AS incomplete FROM (
         SELECT food FROM std_members WHERE name_long IS NOT NULL UNION ALL SELECT food FROM top_tokens)""",
     "cart_search": """
+    SELECT group_name, name_long, item_original FROM search_rows WHERE name_long IN (
+        SELECT name_long FROM search_rows GROUP BY name_long
+        HAVING bool_or(regexp_matches(lower(item_original), 'red'))
+            AND bool_or(regexp_matches(lower(item_original), 'each .*ring$')))""",
+    "cart_search_indexed": """
     SELECT group_name, name_long, item_original FROM search_rows WHERE name_long IN (
         SELECT name_long FROM search_rows GROUP BY name_long
         HAVING bool_or(regexp_matches(lower(item_original), 'red'))
@@ -381,6 +386,9 @@ FINAL = {
     "two_column_sheet": "SELECT group_name, page_n, row_n, item_1, item_2 FROM sheet",
     "sheet_rows": """
     SELECT *, 46 * (dense_rank() OVER (ORDER BY group_name, page_n) - 1) + row_n AS sheet_row FROM sheet""",
+    "sheet_files": """
+    SELECT group_name, page_n, item_1, item_2, true AS in_place,
+        46 * (dense_rank() OVER (ORDER BY group_name, page_n) - 1) + row_n AS sheet_row FROM sheet""",
     "page_subset": "SELECT group_name, page_n, row_n, item_1, item_2 FROM sheet WHERE group_name = 'N1' AND page_n = 1",
     "page_overflow": """
     SELECT group_name, page_n, row_n::INT AS row_n, column_n::INT AS column_n, id, n::INT AS n, rank, item

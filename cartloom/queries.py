@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cartloom.functions.fixed_values import LABEL_RULES, ORDER_HEADER
+from cartloom.operators import cart_index as X
 from cartloom.operators import deletes as D
 from cartloom.operators import keywords as K
 from cartloom.operators import labels as L
@@ -21,9 +22,9 @@ from cartloom.operators import settings_edit as E
 from cartloom.operators import standards as S
 from cartloom.plans import weekly as W
 from cartloom.plans.ordering import running_offsets
-from cartloom.plans.pinning import pin_table, shared_dir
+from cartloom.plans.pinning import pin_folder, pin_table
 from cartloom.sources import star as A
-from cartloom.sources.export import export_table
+from cartloom.sources.export import export_sheet, export_table
 from cartloom.sources.orders import load_members, load_orders
 from cartloom.sources.settings import SettingsTable
 
@@ -324,6 +325,11 @@ def cart_search(spark, sf):
     return Q.cart_search(carts(spark, sf), A.shares(spark, sf), SEARCH_GROUPS, SEARCH_TERMS)
 
 
+def cart_search_indexed(spark, sf):
+    """The same search over an index of distinct texts."""
+    return X.search_index(X.index_carts(carts(spark, sf)), A.shares(spark, sf), SEARCH_GROUPS, SEARCH_TERMS)
+
+
 def member_picklist(spark, sf):
     return Q.member_picklist(carts(spark, sf), A.shares(spark, sf), SEARCH_GROUPS)
 
@@ -388,6 +394,19 @@ def sheet_rows(spark, sf):
     return P.sheet_rows(_pages(spark, sf, "item"))
 
 
+def sheet_files(spark, sf):
+    """The sheet written as ordered files, and every row read back with the place its file has in the manifest."""
+    folder = _shared_folder(spark, "sheet")
+    sheet = P.sheet_rows(_pages(spark, sf, "item"))
+    manifest = export_sheet(sheet, folder)
+    back = spark.read.schema(sheet.schema).parquet(f"{folder}/rows")
+    named = back.select("sheet_row", "group_name", "page_n", "item_1", "item_2", F.col("_metadata.file_name").alias("file"))
+    inside = F.col("sheet_row").between(F.col("first_row"), F.col("last_row"))
+    # files of whole pages, one after another
+    whole = (F.col("first_row") % 46 == 1) & (F.col("last_row") % 46 == 0) & (F.col("n_rows") == F.col("last_row") - F.col("first_row") + 1)
+    return named.join(manifest, "file").select("sheet_row", "group_name", "page_n", "item_1", "item_2", (inside & whole).alias("in_place"))
+
+
 def page_subset(spark, sf):
     return P.page_subset(P.two_column_sheet(_pages(spark, sf, "item")), "N1", 1)
 
@@ -458,7 +477,7 @@ def settings_remove(spark, sf):
 
 
 def _shared_folder(spark, name):
-    return f"{shared_dir(spark).rstrip('/')}/cartloom-{name}-{uuid.uuid4().hex}"
+    return f"{pin_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def _orders_by_file(spark, sf):
@@ -565,9 +584,9 @@ QUERIES = {
         reconciliation, pickup_calendar, calendar_gaps, pickup_histogram, first_pickup_slot,
         multi_pickup_members, synthetic_rows, standard_items, standard_full_match,
         standard_with_extras, standard_containment, standard_collapsed, standard_summary,
-        standards_conflict, standards_coverage, cart_search, member_picklist, item_picklist,
+        standards_conflict, standards_coverage, cart_search, cart_search_indexed, member_picklist, item_picklist,
         deletable_items, delete_report, order_only_members, lines_after_delete, plant_extract,
-        rows_per_member, page_packing, page_grid, two_column_sheet, sheet_rows, page_subset,
+        rows_per_member, page_packing, page_grid, two_column_sheet, sheet_rows, sheet_files, page_subset,
         page_overflow, item_symbols, item_labels, header_labels, cell_group_colour,
         cell_standard_bold, cell_format_rules, cell_styles, weekly_job, settings_append, settings_remove,
         orders_file_rows, orders_file_ids, orders_file_quarantine, settings_replaced, standards_upsert, rules_edit, keyword_lookup, rgb_parse, preview_top,

@@ -45,8 +45,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("rules", rules), ("exact", exact), ("near", near), ("mix", mix), ("pack", packed)]
 
-#: Near copies, the mix and tokens are beyond SQL; tests hold only columns, ids and the number of rows of the run
-#: against its own stages. The operators are tested by themselves.
+#: Near copies, the mix and tokens are beyond SQL; a test compares every stage and the run with brute force on a small table.
 ORACLE_SQL = None
 
 

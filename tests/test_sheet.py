@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cartloom.functions.fixed_values import FORMAT_RULES, LABEL_RULES
+from cartloom.operators import cart_index as X
 from cartloom.operators import deletes as D
 from cartloom.operators import keywords as K
 from cartloom.operators import labels as L
@@ -17,6 +18,7 @@ from cartloom.operators import pickup as U
 from cartloom.operators import rule_index
 from cartloom.operators import search as Q
 from cartloom.plans import weekly
+from cartloom.sources.export import export_sheet, read_sheet
 
 MEMBERS = "group_name string, firstname string, lastname string, `order` string, id long"
 SHARES = "group_name string, group_name_short string, food_list_group_name string, highlight_color_hex string"
@@ -98,6 +100,47 @@ def test_search_needs_every_term(spark):
     assert ("2x1 Oat", "1 Oat") in {tuple(r) for r in Q.item_picklist(df, shares, ["A"]).collect()}
 
 
+def test_index_finds_what_the_search_finds(spark):
+    shares = spark.createDataFrame([("Shop", None, "A", None)], SHARES)
+    df = carts(spark, [*ORDERS, "", ",", "1 Full, 3x1 Egg, 3x1 Egg"])
+    index = X.index_carts(df)
+    for groups in (["A"], ["H"]):
+        for terms in ([], [""], ["EGG"], ["egg", "", "oat"], ["egg", "l4"], ["egg", "nothing"], ["l.*f$"], ["egg", "f", "1 full", "x1"], ["egg"] * 70):
+            rows = [sorted(map(tuple, found.collect()), key=str) for found in (
+                Q.cart_search(df, shares, groups, terms), X.search_index(index, shares, groups, terms))]
+            assert rows[0] == rows[1], terms
+    # terms meet each distinct text once
+    assert index.dictionary.count() == index.postings.select("text").distinct().count() < index.postings.count()
+    assert {r.text for r in X.matching_texts(index, ["oat", "l1"]).collect()} == {"2x1 oat", "l1, f"}
+
+
+@pytest.mark.parametrize("fmt", ["parquet", "csv"])
+def test_sheet_files_in_order(spark, tmp_path, fmt):
+    sheet = spark.range(1, 4601).selectExpr(
+        "id AS sheet_row", "1 + (id - 1) div 46 AS page_n", "concat('a, \"', id, '\"') AS item_1", "if(id % 3 = 0, NULL, 'x') AS item_2")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        manifest = export_sheet(sheet.repartition(3), str(tmp_path / "s"), fmt).orderBy("first_row").collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert len(manifest) > 3 and manifest[0].first_row == 1 and manifest[-1].last_row == 4600
+    assert all(a.last_row + 1 == b.first_row for a, b in zip(manifest, manifest[1:], strict=False))
+    assert all(m.first_row % 46 == 1 and m.n_rows == m.last_row - m.first_row + 1 for m in manifest)
+    # the files one after another, each from its top, are the sheet
+    rows = []
+    for m in manifest:
+        one = f"{tmp_path}/s/rows/{m.file}"
+        reader = spark.read.schema(sheet.schema)
+        rows += (reader.option("header", True).option("escape", '"').csv(one) if fmt == "csv" else reader.parquet(one)).coalesce(1).collect()
+    assert rows == sheet.orderBy("sheet_row").collect()
+    some = read_sheet(spark, str(tmp_path / "s"), sheet.schema, 100, 146, fmt).orderBy("sheet_row").collect()
+    assert [r.sheet_row for r in some] == list(range(100, 147))
+    assert read_sheet(spark, str(tmp_path / "s"), sheet.schema, 5000, 6000, fmt).count() == 0
+
+
 RULES = [
     ("contains", "Mi.k", "*", "C"),
     ("contains", "Milk", "*", "C"),
