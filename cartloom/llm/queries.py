@@ -23,7 +23,7 @@ from cartloom.llm import (
     whitening,
 )
 from cartloom.llm.common import held_out
-from cartloom.plans.pinning import shared_dir
+from cartloom.plans.pinning import pin_folder
 
 
 def vocabulary(name: str) -> str:
@@ -41,7 +41,7 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = f"{shared_dir(spark).rstrip('/')}/cartloom-tokens-{uuid.uuid4().hex}"
+    folder = f"{pin_folder(spark)}/tokens-{uuid.uuid4().hex}"
     token_output.write_token_files(documents(spark, sf_dir), folder, vocabulary("byte_bpe_50k.json"), end_id=0)
     return token_output.token_digest(token_output.read_token_files(spark, folder))
 
