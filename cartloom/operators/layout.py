@@ -25,7 +25,6 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from cartloom.functions.cart import line, printed_lines
 from cartloom.functions.fixed_values import PAGE_ROWS
