@@ -46,7 +46,7 @@ BLOCKS = 20_000
 LEAST_SLOTS = 32
 SEED = 71
 #: Documents of one source are spread over chunks of about so many by their hash.
-CHUNK_ROWS = 1 << 16
+CHUNK_ROWS = 1 << 11
 PIECES_SCHEMA = (
     "doc_id long, source string, text_key long, pass long, begin long, length long, at long, slot long"
 )
