@@ -155,18 +155,23 @@ def word_starts(data: np.ndarray, fixed: list[bytes]) -> np.ndarray:
     return mark
 
 
+#: So many words go to a tokenizer in one call; what it gives back is far larger than their ids.
+WORDS_PER_CALL = 20_000
+
+
 class TextEncoder:
     """Whole texts to token ids with a public tokenizer, each distinct word of a batch encoded once.
 
     Texts are cut at places where no token reaches over (``word_starts``), the words are
     dictionary-encoded by Arrow, new ones go to the tokenizer in one call, and the ids of all
-    are gathered with numpy. Up to ``keep`` words are remembered between batches; a word of
-    over ``LONGEST`` characters never is, so memory is bounded whatever the texts hold.
+    are gathered with numpy. Up to ``keep`` words are remembered between batches, as one Arrow array
+    rather than as Python strings, which took several hundred MB a worker; a word of over
+    ``LONGEST`` characters never is, so memory is bounded whatever the texts hold.
     """
 
     LONGEST = 64
 
-    def __init__(self, path: str, end_id: int | None, keep: int = 1_000_000) -> None:
+    def __init__(self, path: str, end_id: int | None, keep: int = 500_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -176,7 +181,8 @@ class TextEncoder:
         # word number 0 is the end of a text
         self.ids = np.array([] if end_id is None else [end_id], self.dtype)
         self.lengths = np.array([len(self.ids)], np.int64)
-        self.known: dict[str, int] = {}
+        # word number k + 1 is the k-th remembered word
+        self.known = pa.array([], pa.large_string())
 
     @staticmethod
     def on_worker(path: str, end_id: int | None) -> TextEncoder:
@@ -186,11 +192,11 @@ class TextEncoder:
             made[path, end_id] = TextEncoder(path, end_id)
         return made[path, end_id]
 
-    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _encode_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of some words, one after another, and how many each has."""
         ids, counts = [], []
-        for at in range(0, len(words), 50_000):
-            some = words[at : at + 50_000]
+        for at in range(0, len(words), WORDS_PER_CALL):
+            some = words.slice(at, WORDS_PER_CALL).to_pylist()
             done = self.tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
             ids.append(np.array(done.ids, self.dtype))
             counts.append(np.bincount(np.array(done.word_ids, np.int64), minlength=len(some)))
@@ -198,20 +204,21 @@ class TextEncoder:
 
     def _numbers(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The number of each word, and the ids and lengths that numbers refer to."""
-        names = words.to_pylist()
-        number = np.array([self.known.get(w, 0) for w in names], np.int64)
+        found = pa.compute.index_in(words, value_set=self.known)
+        number = found.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) + 1
         new = np.flatnonzero(number == 0)
         if not len(new):
             return number, self.ids, self.lengths
-        length = np.array([len(names[i]) for i in new])
-        new = new[np.argsort(length, kind="stable")]
-        fresh = [names[i] for i in new]
+        length = pa.compute.utf8_length(words.take(pa.array(new))).to_numpy(zero_copy_only=False)
+        shortest = np.argsort(length, kind="stable")
+        new = new[shortest]
+        fresh = words.take(pa.array(new))
         ids, counts = self._encode_words(fresh)
         number[new] = len(self.lengths) + np.arange(len(new))
         all_ids, all_lengths = np.concatenate((self.ids, ids)), np.concatenate((self.lengths, counts))
         short = min(int((length <= self.LONGEST).sum()), self.keep - len(self.known))
         if short > 0:
-            self.known.update(zip(fresh[:short], range(len(self.lengths), len(self.lengths) + short), strict=True))
+            self.known = pa.concat_arrays([self.known, fresh.slice(0, short)])
             self.ids, self.lengths = np.concatenate((self.ids, ids[: int(counts[:short].sum())])), all_lengths[: len(self.lengths) + short]
         return number, all_ids, all_lengths
 

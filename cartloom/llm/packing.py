@@ -173,7 +173,7 @@ def pack(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bounds: dict[int, np.ndarray] = {}
         for batch in batches:
-            for part in parts(batch, "ids", 4 << 20):
+            for part in parts(batch, "ids", 1 << 20):
                 yield _pieces(part, number, totals, bounds, dtype, wanted)
 
     return placed.mapInArrow(run, PIECE_SCHEMA)

@@ -36,7 +36,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 IDS_SCHEMA = "doc_id long, n_tokens long, ids binary"
 SHARD_SCHEMA = "shard int, begin long, doc_id long, n_tokens long, control binary, data binary"
 #: Text that is encoded at once; a longer text is encoded by itself.
-TEXT_BYTES = 8 << 20
+TEXT_BYTES = 4 << 20
 #: Data bytes of the four values of each control byte.
 LENGTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
 

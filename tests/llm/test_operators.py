@@ -569,3 +569,23 @@ def test_due_times_equal_the_sorted_order():
         windows = np.arange(0, -(-totals.sum() // size) + 1)
         for w, got in zip(windows, packing.taken(windows, totals, size), strict=True):
             assert (got == np.bincount(order[: w * size], minlength=len(totals))).all()
+
+
+def test_remembered_words_stay_small():
+    """Words that no other batch holds: what the encoder keeps between batches is a few bytes a word."""
+    import tracemalloc
+
+    from cartloom.llm.common import TextEncoder
+
+    encoder, letters = TextEncoder(WORD, 2), "abcdefghijklmnop"
+    encoder.encode(pa.array(["first"]))
+    tracemalloc.start()
+    for begin in range(0, 200_000, 50_000):
+        words = ["".join(letters[n >> 4 * k & 15] for k in range(5)) for n in range(begin, begin + 50_000)]
+        encoder.encode(pa.array([" ".join(words)]))
+        del words
+    kept = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert len(encoder.known) > 190_000
+    assert kept < 12e6
+    assert encoder.known.nbytes < 6e6
