@@ -42,6 +42,8 @@ EMPTY_PAGE = (0, 0, 0, 0)  # rows of column 1 and 2, members of column 1 and 2
 PLACED_COLUMNS = "id bigint, n int, has_header boolean, page_n bigint, column_n int, rows_ahead int"
 #: So many sums of chunks are joined in one task.
 FAN_IN = 64
+#: So many deleted items at most go into the plan; longer lists are joined.
+LISTED = 1_000
 
 
 # ---------------------------------------------------------------- rows of a member
@@ -50,8 +52,9 @@ FAN_IN = 64
 def printable_rows(carts: DataFrame, deletes: DataFrame) -> DataFrame:
     """Adds ``rows``: a member's printed rows after all deletes, and ``has_header`` for the group.
 
-    Items of rows meet the delete list in a join whose form Spark chooses by size; only the
-    places of rows that it hits are gathered and go back to their members.
+    A delete list of up to ``LISTED`` items is tested inside the member's row, as a set in the plan, so
+    no member moves. Of a longer one only the places of rows that it hits are gathered: rows meet the list
+    in a join, and the places go back to their members.
     """
     rows = printed_lines(F.col("cart"), F.col("lastname"), F.col("firstname"))
     order_only = F.col("order_only") if "order_only" in carts.columns else is_order_only_member(F.col("cart"))
@@ -71,20 +74,21 @@ def printable_rows(carts: DataFrame, deletes: DataFrame) -> DataFrame:
     named = kept.withColumn("rows", F.transform(rows, flagged)).drop(
         "cart", "order_only", "full", "with_extras", "std_flags", "flag_null"
     )
-    # a row's place and item; the group's header is place -1, rows without an item match nothing
-    spots = F.concat(
-        F.array(F.struct(F.lit(-1).alias("at"), F.col("group_name").alias("item"))),
-        F.transform("rows", lambda x, i: F.struct(i.alias("at"), x["item"].alias("item"))),
-    )
-    spots = F.filter(spots, lambda x: x["item"].isNotNull())
     items = deletes.filter(F.col("item").isNotNull()).select("item").distinct()
-    hits = each_line(named, spots, "id").select("id", "line.at", "line.item").join(items, "item")
-    # a member's rows come from one record, so these places are bounded by the record
-    gone = hits.groupBy("id").agg(F.collect_set("at").alias("gone"))
-    marked = named.join(gone, "id", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
+    some = [r.item for r in items.limit(LISTED + 1).collect()]
+    if len(some) <= LISTED:
+        marked = named
+
+        def deleted(at: Column, item: Column) -> Column:
+            return F.coalesce(item.isin(some), F.lit(False)) if some else F.lit(False)
+    else:
+        marked = _with_places_gone(named, items)
+
+        def deleted(at: Column, item: Column) -> Column:
+            return F.array_contains("gone", at)
 
     def stays(at: Column, item: Column) -> Column:
-        return ~F.array_contains("gone", at) & ~is_plant(item)
+        return ~deleted(at, item) & ~is_plant(item)
 
     # the spacer has no item, so every member keeps at least one row
     kept_rows = F.filter("rows", lambda x, i: stays(i, x["item"]))
@@ -92,6 +96,20 @@ def printable_rows(carts: DataFrame, deletes: DataFrame) -> DataFrame:
     return out.drop("gone").withColumn("n", F.size("rows"))
 
 
+def _with_places_gone(named: DataFrame, items: DataFrame) -> DataFrame:
+    """Adds ``gone``: the places of a member's rows whose item is listed; the group's header is place -1."""
+    # rows without an item match nothing
+    spots = F.concat(
+        F.array(F.struct(F.lit(-1).alias("at"), F.col("group_name").alias("item"))),
+        F.transform("rows", lambda x, i: F.struct(i.alias("at"), x["item"].alias("item"))),
+    )
+    spots = F.filter(spots, lambda x: x["item"].isNotNull())
+    hits = each_line(named, spots, "id").select("id", "line.at", "line.item").join(items, "item")
+    # a member's rows come from one record, so these places are bounded by the record
+    gone = hits.groupBy("id").agg(F.collect_set("at").alias("gone"))
+    return named.join(gone, "id", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
+
+
 def rows_per_member(members: DataFrame, run_cols: Sequence[str] = ()) -> DataFrame:
     return members.select(
         *run_cols, "group_name", "description", "time", "lastname", "firstname", "id", "n", "has_header"
@@ -316,39 +334,54 @@ def pack_pages(
 CELL_FIELDS = ("id", "n", "rank", "quantity", "item", "standard_item", "name_long", "lastname", "firstname")
 
 
+#: Fields of a cell that come from the printed row; the others are the member's.
+ROW_FIELDS = ("rank", "quantity", "item", "standard_item")
+
+
 def _placed_rows(members: DataFrame, packed: DataFrame) -> tuple[DataFrame, Column, Column]:
-    """Members with their place, their rows as cells, and the rows of the page above them.
+    """Members with their place, whether they bring the group's header along, and the rows of the page above them.
 
-    The first member of a column (no rows ahead) brings the group header along, so headers
-    need no join of their own. Rows are numbered inside the member's row.
+    The first member of a column (no rows ahead) has the header on top, so headers
+    need no join of their own.
     """
     opens = (F.col("rows_ahead") == 0) & F.col("has_header")
     placed = members.join(packed.select("id", "page_n", "column_n", "rows_ahead"), "id")
-    row = line(-1, None, None, F.col("group_name"), None)
-    header = {c: row[c] for c in ("rank", "quantity", "item")} | {"id": F.lit(0).cast("long"), "n": F.lit(1)}
-
-    def cell(values: dict[str, Column]) -> Column:
-        return F.struct(*[values[c].alias(c) for c in CELL_FIELDS])
+    skip = F.col("rows_ahead") + F.when(F.col("has_header") & (F.col("rows_ahead") > 0), 1).otherwise(0)
+    return placed, opens, skip
 
-    def missing(name: str) -> Column:
-        kind = "int" if name == "standard_item" else "string"
-        return header.get(name, F.lit(None).cast(kind))
 
-    own = {c: F.col(c) for c in ("id", "n", "name_long", "lastname", "firstname")}
-    parts = ("rank", "quantity", "item", "standard_item")
-    filled = F.transform("rows", lambda r: cell(own | {c: r[c] for c in parts}))
-    top = F.array(cell({c: missing(c) for c in CELL_FIELDS}))
-    cells = F.concat(F.when(opens, top).otherwise(F.slice(filled, 1, 0)), filled)
-    skip = F.col("rows_ahead") + F.when(F.col("has_header") & (F.col("rows_ahead") > 0), 1).otherwise(0)
-    return placed, cells, skip
+def _in_header(field: str) -> Column:
+    """What a header's cell holds."""
+    row = line(-1, None, None, F.col("group_name"), None)
+    if field in ("rank", "quantity", "item"):
+        return row[field]
+    if field == "standard_item":
+        return F.lit(None).cast("int")
+    return {"id": F.lit(0).cast("long"), "n": F.lit(1)}.get(field, F.lit(None).cast("string"))
 
 
 def page_cells(members: DataFrame, packed: DataFrame, run_cols: Sequence[str] = ()) -> DataFrame:
-    """Filled cells: the group header on top of every used column, then the members' rows."""
-    placed, cells, skip = _placed_rows(members, packed)
+    """Filled cells: the group header on top of every used column, then the members' rows.
+
+    Rows are exploded as they are and become cells behind that: plain expressions, which Spark compiles,
+    where a function over the array is interpreted for every cell.
+    """
+    placed, opens, skip = _placed_rows(members, packed)
     place = [*run_cols, "group_name", "page_n"]
-    each = placed.select(*place, "column_n", skip.alias("skip"), F.posexplode(cells).alias("pos", "cell"))
-    return each.select(*place, (F.col("skip") + F.col("pos") + 1).cast("int").alias("row_n"), "column_n", "cell.*")
+    kind, none = members.schema["rows"].dataType.elementType, F.lit(None)
+    header = F.array(F.struct(*[(_in_header(f.name) if f.name in ROW_FIELDS else none).cast(f.dataType).alias(f.name) for f in kind]))
+    rows = F.concat(F.when(opens, header).otherwise(F.slice(header, 1, 0)), F.col("rows"))
+    own = [c for c in CELL_FIELDS if c not in ROW_FIELDS]
+    # outer: see each_line
+    each = placed.select(*place, "column_n", skip.alias("skip"), opens.alias("opens"), *own, F.posexplode_outer(rows).alias("pos", "row"))
+    on_top = F.col("opens") & (F.col("pos") == 0)
+
+    def cell(field: str) -> Column:
+        value = F.col("row")[field] if field in ROW_FIELDS else F.when(on_top, _in_header(field)).otherwise(F.col(field))
+        return value.alias(field)
+
+    row_n = (F.col("skip") + F.col("pos") + 1).cast("int").alias("row_n")
+    return each.filter("pos is not null").select(*place, row_n, "column_n", *[cell(c) for c in CELL_FIELDS])
 
 
 def page_columns(
@@ -359,29 +392,35 @@ def page_columns(
 ) -> DataFrame:
     """One row per page: ``cells_1`` and ``cells_2``, the cells of its columns from the top.
 
-    Members move to their page as they are, rows packed in arrays, in one shuffle; blank cells
+    Members move to their page with an array for each field, in one shuffle; blank cells
     never move. A page holds few members, so a group of any size is many small keys.
     """
-    placed, cells, _ = _placed_rows(members, packed)
-    wanted = F.transform(cells, lambda c: F.struct(*[c[f].alias(f) for f in fields]))
-    pieces = placed.select(*run_cols, "group_name", "page_n", F.struct("column_n", "rows_ahead", wanted.alias("cells")).alias("piece"))
-    return _by_page(pieces, run_cols, lambda x: x["cells"])
+    placed, opens, _ = _placed_rows(members, packed)
+
+    def values(field: str) -> Column:
+        own = F.col("rows")[field] if field in ROW_FIELDS else F.array_repeat(field, F.size("rows"))
+        top = F.array(_in_header(field))
+        return F.concat(F.when(opens, top).otherwise(F.slice(top, 1, 0)), own).alias(field)
+
+    piece = F.struct("column_n", F.col("rows_ahead").alias("at"), *[values(f) for f in fields])
+    return _by_page(placed.select(*run_cols, "group_name", "page_n", piece.alias("piece")), fields, run_cols)
 
 
 def gathered_pages(cells: DataFrame, fields: Sequence[str], run_cols: Sequence[str] = ()) -> DataFrame:
     """The same from filled cells, for what is known only per cell, such as labels."""
-    content = F.array(F.struct(*fields)).alias("cells")
-    pieces = cells.select(*run_cols, "group_name", "page_n", F.struct("column_n", "row_n", content).alias("piece"))
-    return _by_page(pieces, run_cols, lambda x: x["cells"])
+    piece = F.struct("column_n", F.col("row_n").alias("at"), *[F.array(f).alias(f) for f in fields])
+    return _by_page(cells.select(*run_cols, "group_name", "page_n", piece.alias("piece")), fields, run_cols)
 
 
-def _by_page(pieces: DataFrame, run_cols: Sequence[str], cells: Callable[[Column], Column]) -> DataFrame:
+def _by_page(pieces: DataFrame, fields: Sequence[str], run_cols: Sequence[str]) -> DataFrame:
+    """Pages from pieces of their columns: struct of ``column_n``, ``at`` and an array for each field."""
     page = [*run_cols, "group_name", "page_n"]
-    grouped = pieces.groupBy(*page).agg(F.sort_array(F.collect_list("piece")).alias("pieces"))
+    # members of a page are scattered over the table, so collecting before the shuffle gains nothing
+    grouped = pieces.repartition(*page).groupBy(*page).agg(F.sort_array(F.collect_list("piece")).alias("pieces"))
 
     def column(k: int) -> Column:
         mine = F.filter("pieces", lambda x: x["column_n"] == k)
-        return F.flatten(F.transform(mine, cells)).alias(f"cells_{k}")
+        return F.arrays_zip(*[F.flatten(mine[f]).alias(f) for f in fields]).alias(f"cells_{k}")
 
     return grouped.select(*page, column(1), column(2))
 

@@ -157,3 +157,26 @@ def test_pages_take_one_shuffle_after_the_join_with_their_places(spark, setup):
         assert shuffles(df) == placed + 1
     cells = pin_table(P.page_cells(members, packed))
     assert shuffles(P.two_column_sheet(P.gathered_pages(cells, ["item"]))) == 1
+
+
+def test_short_delete_lists_move_no_member(spark, setup, monkeypatch):
+    """They are tested in the member's row, and long ones in a join, with the same rows."""
+    carts, chosen, group_std = setup
+    short = S.apply_standards(carts, chosen.std_members, group_std)
+    gone = D.all_deletes(chosen.permanent_deletes, chosen.temporary_deletes)
+    in_row = P.printable_rows(short, gone)
+    assert shuffles(in_row) == shuffles(short)
+    monkeypatch.setattr(P, "LISTED", 0)
+    joined = P.printable_rows(short, gone).select(in_row.columns)
+    assert shuffles(joined) > shuffles(short)
+    assert in_row.exceptAll(joined).isEmpty() and joined.exceptAll(in_row).isEmpty()
+
+
+def test_cells_are_compiled(setup):
+    """No function over arrays is interpreted on the way from members to cells and to pages."""
+    carts, chosen, group_std = setup
+    members = weekly.printed_members(S.apply_standards(carts, chosen.std_members, group_std), chosen)
+    packed = weekly.packed_pages(members)
+    assert "lambda" not in plan(P.page_cells(members, packed))
+    # behind the shuffle the pieces of a page are told apart by their column, members' rows are not touched
+    assert "transform(" not in plan(P.page_columns(members, packed))
