@@ -462,10 +462,12 @@ def cell_styles(spark, sf):
 
 def weekly_job(spark, sf):
     """The labelled sheet of the whole job, with all its checks."""
-    rows = pinned_carts(spark, sf)
+    # the settings and the job read the same orders, so these are put together once
+    orders = pin_table(A.member_orders(spark, sf))
+    rows = pin_table(W.cleaned_carts(orders, A.shares(spark, sf)))
     last_day = U.pickup_calendar(A.rotation(spark, sf)).agg(F.max("date_all")).first()[0]
     chosen = replace(settings(spark, sf, rows), rotation=A.rotation(spark, sf))
-    return W.weekly_sheet(A.member_orders(spark, sf), chosen, last_day).sheet
+    return W.weekly_sheet(orders, chosen, last_day).sheet
 
 
 def settings_append(spark, sf):

@@ -180,3 +180,11 @@ def test_cells_are_compiled(setup):
     assert "lambda" not in plan(P.page_cells(members, packed))
     # behind the shuffle the pieces of a page are told apart by their column, members' rows are not touched
     assert "transform(" not in plan(P.page_columns(members, packed))
+
+
+def test_weekly_job_builds_its_orders_once(spark, monkeypatch):
+    built, make = [], q.A.member_orders
+    monkeypatch.setattr(q.A, "member_orders", lambda *at: built.append(at) or make(*at))
+    monkeypatch.setattr(q.W, "weekly_sheet", lambda orders, *more: weekly.WeeklySheet(orders, *[None] * 4, {}))
+    assert q.weekly_job(spark, SF).count() == 1500
+    assert len(built) == 1
