@@ -345,7 +345,8 @@ def _placed_rows(members: DataFrame, packed: DataFrame) -> tuple[DataFrame, Colu
     need no join of their own.
     """
     opens = (F.col("rows_ahead") == 0) & F.col("has_header")
-    placed = members.join(packed.select("id", "page_n", "column_n", "rows_ahead"), "id")
+    seq = [c for c in ("page_seq",) if c in packed.columns]
+    placed = members.join(packed.select("id", "page_n", "column_n", "rows_ahead", *seq), "id")
     skip = F.col("rows_ahead") + F.when(F.col("has_header") & (F.col("rows_ahead") > 0), 1).otherwise(0)
     return placed, opens, skip
 
@@ -394,8 +395,11 @@ def page_columns(
 
     Members move to their page with an array for each field, in one shuffle; blank cells
     never move. A page holds few members, so a group of any size is many small keys.
+    If the places are numbered (:func:`numbered_pages`), the pages keep their ``page_seq`` and come
+    in its order: in ranges, each of them sorted.
     """
     placed, opens, _ = _placed_rows(members, packed)
+    seq = ["page_seq"] if "page_seq" in packed.columns else []
 
     def values(field: str) -> Column:
         own = F.col("rows")[field] if field in ROW_FIELDS else F.array_repeat(field, F.size("rows"))
@@ -403,7 +407,7 @@ def page_columns(
         return F.concat(F.when(opens, top).otherwise(F.slice(top, 1, 0)), own).alias(field)
 
     piece = F.struct("column_n", F.col("rows_ahead").alias("at"), *[values(f) for f in fields])
-    return _by_page(placed.select(*run_cols, "group_name", "page_n", piece.alias("piece")), fields, run_cols)
+    return _by_page(placed.select(*run_cols, "group_name", "page_n", *seq, piece.alias("piece")), fields, run_cols, seq)
 
 
 def gathered_pages(cells: DataFrame, fields: Sequence[str], run_cols: Sequence[str] = ()) -> DataFrame:
@@ -412,17 +416,20 @@ def gathered_pages(cells: DataFrame, fields: Sequence[str], run_cols: Sequence[s
     return _by_page(cells.select(*run_cols, "group_name", "page_n", piece.alias("piece")), fields, run_cols)
 
 
-def _by_page(pieces: DataFrame, fields: Sequence[str], run_cols: Sequence[str]) -> DataFrame:
+def _by_page(pieces: DataFrame, fields: Sequence[str], run_cols: Sequence[str], seq: Sequence[str] = ()) -> DataFrame:
     """Pages from pieces of their columns: struct of ``column_n``, ``at`` and an array for each field."""
-    page = [*run_cols, "group_name", "page_n"]
+    page = [*run_cols, "group_name", "page_n", *seq]
+    order = [F.col(c).asc_nulls_last() for c in (*run_cols, *seq)]
     # members of a page are scattered over the table, so collecting before the shuffle gains nothing
-    grouped = pieces.repartition(*page).groupBy(*page).agg(F.sort_array(F.collect_list("piece")).alias("pieces"))
+    dealt = pieces.repartitionByRange(*order) if seq else pieces.repartition(*page)
+    grouped = dealt.groupBy(*page).agg(F.sort_array(F.collect_list("piece")).alias("pieces"))
 
     def column(k: int) -> Column:
         mine = F.filter("pieces", lambda x: x["column_n"] == k)
         return F.arrays_zip(*[F.flatten(mine[f]).alias(f) for f in fields]).alias(f"cells_{k}")
 
-    return grouped.select(*page, column(1), column(2))
+    pages = grouped.select(*page, column(1), column(2))
+    return pages.sortWithinPartitions(*order) if seq else pages
 
 
 def page_overflow(cells: DataFrame, max_rows: int = PAGE_ROWS) -> DataFrame:
@@ -490,13 +497,16 @@ def page_subset(sheet: DataFrame, group_name: str, page_n: int) -> DataFrame:
 
 
 def numbered_pages(pages: DataFrame, run_cols: Sequence[str] = ()) -> DataFrame:
-    """Adds ``n_pages`` of the group, its ``last_page``, and ``page_seq``: pages ahead on one long sheet per run."""
+    """Adds ``n_pages`` of the group, its ``last_page``, and ``page_seq``: pages ahead on one long sheet per run.
+
+    Takes pages or, as every page has a member, the places of members, which are much smaller.
+    """
     group = [*run_cols, "group_name"]
     found = pages.groupBy(*group).agg(F.max("page_n").alias("last_page"), F.min("page_n").alias("first_page"))
     found = found.withColumn("n_pages", F.col("last_page") - F.col("first_page") + 1).withColumn("all", F.lit(1))
     before = running_offsets(found, [*run_cols, "all"], [F.col("group_name").asc_nulls_last()], "n_pages")
-    # one row per group meets one row per page, not every line of it
-    numbered = join_on_keys(pages, before.drop("all", "total"), group)
+    # one row per group meets one row per page, not every line of it; a table, so that its size is known
+    numbered = join_on_keys(pages, pin_table(before.drop("all", "total")), group)
     page_seq = F.col("before") + F.col("page_n") - F.col("first_page")
     return numbered.withColumn("page_seq", page_seq).drop("before", "first_page")
 
@@ -504,8 +514,12 @@ def numbered_pages(pages: DataFrame, run_cols: Sequence[str] = ()) -> DataFrame:
 def sheet_rows(
     pages: DataFrame, value: str = "item", max_rows: int = PAGE_ROWS, run_cols: Sequence[str] = ()
 ) -> DataFrame:
-    """The two-column sheet with ``sheet_row``: the row on one long sheet per run, all pages below each other."""
-    lines = two_column_sheet(numbered_pages(pages, run_cols), value, max_rows, run_cols)
+    """The two-column sheet with ``sheet_row``: the row on one long sheet per run, all pages below each other.
+
+    Pages that come in the order of their numbers (:func:`page_columns`) give the sheet in order too.
+    """
+    numbered = pages if "page_seq" in pages.columns else numbered_pages(pages, run_cols)
+    lines = two_column_sheet(numbered, value, max_rows, run_cols)
     return lines.withColumn("sheet_row", F.col("page_seq") * max_rows + F.col("row_n")).drop("page_seq", "n_pages", "last_page")
 
 

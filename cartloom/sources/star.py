@@ -30,15 +30,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def packed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Item tokens of each order, packed as the order files hold them: the text is one field
     of one record, so an order is bounded by what a record can hold."""
+    fields = "l_linenumber, l_partkey, l_suppkey"
     lines = table(spark, sf_dir, "lineitem").join(
         table(spark, sf_dir, "part"), F.expr("l_partkey = p_partkey")
     )
     kind = "if(endswith(p_name, ' plate'), '1 Pot Plant - ', '1 Each ')"
     token = f"concat(1 + l_linenumber % 2, 'x', {kind}, p_name) AS token"
-    # lines of an order are scattered over the table, so collecting before the shuffle gains nothing
+    # lines of an order are scattered over the table, so collecting before the shuffle gains nothing;
+    # tokens are longer than names, so they are made behind it
     return (
-        lines.selectExpr("l_orderkey", f"struct(l_linenumber, l_partkey, l_suppkey, {token}) AS t")
+        lines.selectExpr("l_orderkey", *fields.split(", "), "p_name")
         .repartition("l_orderkey")
+        .selectExpr("l_orderkey", f"struct({fields}, {token}) AS t")
         .groupBy("l_orderkey")
         .agg(F.expr("array_join(sort_array(collect_list(t)).token, ', ') AS items"))
     )

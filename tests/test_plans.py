@@ -14,6 +14,7 @@ from cartloom.operators import search as Q
 from cartloom.operators import standards as S
 from cartloom.plans import pinning, weekly
 from cartloom.plans.pinning import pin_table
+from cartloom.sources import export
 
 SF = "/root/testdata/sf0.001"
 BAD = ["CartesianProduct", "BroadcastNestedLoopJoin"]
@@ -159,6 +160,34 @@ def test_pages_take_one_shuffle_after_the_join_with_their_places(spark, setup):
     assert shuffles(P.two_column_sheet(P.gathered_pages(cells, ["item"]))) == 1
 
 
+def test_rows_of_sheet_files_move_once(spark, setup, tmp_path, monkeypatch):
+    """Members go to their pages in the order of the files; the sheet's lines are not dealt again to be written."""
+    carts, chosen, group_std = setup
+    members = weekly.printed_members(S.apply_standards(carts, chosen.std_members, group_std), chosen)
+    packed = weekly.packed_pages(members)
+    sheet = P.sheet_rows(P.page_columns(members, P.numbered_pages(packed), ["item"]))
+    assert shuffles(sheet) == shuffles(P.page_cells(members, packed)) + 1 and plan(sheet).count("rangepartitioning") == 1
+    plain = P.sheet_rows(P.page_columns(members, packed, ["item"]))
+    assert sheet.columns == plain.columns
+    assert sheet.exceptAll(plain).isEmpty() and plain.exceptAll(sheet).isEmpty()
+    written = []
+    keep = export.export_table
+    monkeypatch.setattr(export, "export_table", lambda df, *more: written.append(df) or keep(df, *more))
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        manifest = export.export_sheet(sheet, str(tmp_path / "s"), in_order=True).orderBy("first_row").collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+    assert plan(written[0]).count("rangepartitioning") == 1
+    assert len(manifest) > 2 and manifest[0].first_row == 1 and manifest[-1].last_row == plain.count()
+    assert all(a.last_row + 1 == b.first_row for a, b in zip(manifest, manifest[1:], strict=False))
+    assert all(m.first_row % 46 == 1 and m.n_rows == m.last_row - m.first_row + 1 for m in manifest)
+    for m in manifest:
+        rows = spark.read.parquet(f"{tmp_path}/s/rows/{m.file}").coalesce(1).collect()
+        assert [r.sheet_row for r in rows] == list(range(m.first_row, m.last_row + 1))
+
+
 def test_short_delete_lists_move_no_member(spark, setup, monkeypatch):
     """They are tested in the member's row, and long ones in a join, with the same rows."""
     carts, chosen, group_std = setup
