@@ -458,7 +458,9 @@ def cell_format_rules(spark, sf):
 
 
 def cell_styles(spark, sf):
-    shown = pin_table(cells(spark, sf))
+    # styles depend on the place, rank, item and flag of a cell; names and quantities are not written again
+    styled = _cell_view(cells(spark, sf), "rank", "item", "standard_item")
+    shown = pin_table(styled, PACKED)
     formats = W.format_table(shown, L.format_rules(spark, FORMAT_EXAMPLES))
     return L.cell_styles(shown, A.shares(spark, sf), formats)
 

@@ -217,3 +217,11 @@ def test_weekly_job_builds_its_orders_once(spark, monkeypatch):
     monkeypatch.setattr(q.W, "weekly_sheet", lambda orders, *more: weekly.WeeklySheet(orders, *[None] * 4, {}))
     assert q.weekly_job(spark, SF).count() == 1500
     assert len(built) == 1
+
+
+def test_styles_write_only_what_they_depend_on(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(q, "pin_table", lambda df, *more: written.append(df.columns) or pin_table(df, *more))
+    q.cell_styles(spark, SF)
+    assert ["group_name", "page_n", "row_n", "column_n", "rank", "item", "standard_item"] in written
+    assert not any("row_n" in columns and "name_long" in columns for columns in written)
