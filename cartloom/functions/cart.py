@@ -45,22 +45,19 @@ def line(rank, seq, quantity, item, item_original) -> Column:
 def parse_cart(order: str, quantity_only_numeric: bool = False) -> Column:
     """Split every token at its first ``x`` and classify it: (rank, seq, quantity, item, item_original).
 
-    One step per array pass, so that no text is searched twice. With
-    ``quantity_only_numeric`` the text before ``x`` must be a number, so that an item
-    holding an ``x`` of its own stays whole.
+    Head and item are both the whole token where it has no ``x``, so equal ones mean no quantity. Functions
+    over arrays are interpreted, so they are few and short. With ``quantity_only_numeric`` the text before
+    ``x`` must be a number, so that an item holding an ``x`` of its own stays whole.
     """
-    splits = "contains(t, 'x')"
+    head, item = "substring_index(t, 'x', 1)", "substr(t, instr(t, 'x') + 1)"
     if quantity_only_numeric:
-        splits += r" AND t RLIKE r'^\d*\.?\d+x'"
+        head, item = (rf"if(t RLIKE r'^\d*\.?\d+x', {part}, t)" for part in (head, item))
     order_only = ", ".join(f"'{t}'" for t in ORDER_ONLY_ITEMS)
     trimmed = rf"transform({_tokens_sql(order)}, t -> btrim(t, '\t\r\n '))"
-    heads = f"transform({trimmed}, t -> struct(t AS token, if({splits}, substring_index(t, 'x', 1), NULL) AS head))"
-    items = f"""transform({heads}, t -> struct(
-        t.token, t.head, coalesce(substr(t.token, length(t.head) + 2), t.token) AS item))"""
-    return F.expr(f"""transform({items}, (t, i) -> struct(
-        CASE WHEN t.item IS NULL THEN 3
-            WHEN t.head <> t.item THEN if(contains(t.token, '{PICKUP_MARK}'), 2, 3)
-            WHEN t.item IN ({order_only}) THEN 3 ELSE 1 END AS rank,
+    parts = f"transform({trimmed}, t -> struct(t AS token, {head} AS head, {item} AS item))"
+    return F.expr(f"""transform({parts}, (t, i) -> struct(
+        CASE WHEN t.head <> t.item THEN if(contains(t.token, '{PICKUP_MARK}'), 2, 3)
+            WHEN t.item IS NULL OR t.item IN ({order_only}) THEN 3 ELSE 1 END AS rank,
         i AS seq,
         if(t.head <> t.item, t.head, NULL) AS quantity,
         t.item AS item,

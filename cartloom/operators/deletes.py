@@ -18,7 +18,8 @@ def is_plant(item: Column, mark: str = POT_PLANT_MARK) -> Column:
 
 def is_order_only_member(cart: Column) -> Column:
     """The cart holds an order-only line and nothing else of rank 3."""
-    only = F.exists(cart, lambda x: F.coalesce(x["item"].isin(ORDER_ONLY_ITEMS), F.lit(False)))
+    listed = F.array(*[F.lit(item) for item in ORDER_ONLY_ITEMS])
+    only = F.coalesce(F.arrays_overlap(cart["item"], listed), F.lit(False))
     return only & (F.size(of_rank(cart, 3)) == 1)
 
 

@@ -71,18 +71,19 @@ def printable_rows(carts: DataFrame, deletes: DataFrame) -> DataFrame:
             F.when(standard, 1).alias("standard_item"),
         )
 
-    named = kept.withColumn("rows", F.transform(rows, flagged)).drop(
-        "cart", "order_only", "full", "with_extras", "std_flags", "flag_null"
-    )
+    unused = ("cart", "order_only", "full", "with_extras")
     items = deletes.filter(F.col("item").isNotNull()).select("item").distinct()
     some = [r.item for r in items.limit(LISTED + 1).collect()]
     if len(some) <= LISTED:
-        marked = named
+        # rows that go are not flagged first
+        marked, then = kept.withColumn("rows", rows).drop(*unused), flagged
 
         def deleted(at: Column, item: Column) -> Column:
             return F.coalesce(item.isin(some), F.lit(False)) if some else F.lit(False)
     else:
-        marked = _with_places_gone(named, items)
+        # flagged before they move, without what is not printed
+        named = kept.withColumn("rows", F.transform(rows, flagged)).drop(*unused, "std_flags", "flag_null")
+        marked, then = _with_places_gone(named, items), None
 
         def deleted(at: Column, item: Column) -> Column:
             return F.array_contains("gone", at)
@@ -92,8 +93,9 @@ def printable_rows(carts: DataFrame, deletes: DataFrame) -> DataFrame:
 
     # the spacer has no item, so every member keeps at least one row
     kept_rows = F.filter("rows", lambda x, i: stays(i, x["item"]))
-    out = marked.withColumns({"rows": kept_rows, "has_header": stays(F.lit(-1), F.col("group_name"))})
-    return out.drop("gone").withColumn("n", F.size("rows"))
+    printed = F.transform(kept_rows, then) if then else kept_rows
+    out = marked.withColumns({"rows": printed, "has_header": stays(F.lit(-1), F.col("group_name"))})
+    return out.drop("gone", "std_flags", "flag_null").withColumn("n", F.size("rows"))
 
 
 def _with_places_gone(named: DataFrame, items: DataFrame) -> DataFrame:

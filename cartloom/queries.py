@@ -108,8 +108,10 @@ def region_standard_items(spark: SparkSession, sf: str, cart_rows: DataFrame) ->
 def region_standard_member(spark: SparkSession, sf: str, cart_rows: DataFrame) -> DataFrame:
     """One region is set by a member instead: its first member with exactly one item line."""
     shares = M.shares_by_short_name(A.shares(spark, sf)).select("group_name", "food_list_group_name")
-    one_line = F.size(F.filter("cart", lambda x: x["rank"] == 3)) == 1
-    with_item = F.exists("cart", lambda x: (x["rank"] == 3) & x["quantity"].isNotNull())
+    # only ranks and quantities are read
+    ranks, quantities = F.col("cart")["rank"], F.col("cart")["quantity"]
+    one_line = F.size(F.filter(ranks, lambda rank: rank == 3)) == 1
+    with_item = F.get(quantities, F.array_position(ranks, 3).cast("int") - 1).isNotNull()
     return (
         cart_rows.filter(one_line & with_item)
         .join(shares, "group_name")

@@ -225,3 +225,16 @@ def test_styles_write_only_what_they_depend_on(spark, monkeypatch):
     q.cell_styles(spark, SF)
     assert ["group_name", "page_n", "row_n", "column_n", "rank", "item", "standard_item"] in written
     assert not any("row_n" in columns and "name_long" in columns for columns in written)
+
+
+def test_steps_of_the_orders_carry_no_more_than_they_need(spark, setup):
+    # tokens are made behind the shuffle, from the names
+    text = plan(q.A.packed_items(spark, SF))
+    assert text.index("Pot Plant") < text.index("Exchange hashpartitioning(l_orderkey")
+    # the settings read two fields of a line, not its texts
+    member = plan(q.region_standard_member(spark, SF, q.pinned_carts(spark, SF)))
+    assert "cart:array<struct<rank:int,quantity:string>>" in member
+    # rows that are deleted are not flagged before
+    carts, chosen, group_std = setup
+    gone = D.all_deletes(chosen.permanent_deletes, chosen.temporary_deletes)
+    assert "transform(filter(concat(" in plan(P.printable_rows(S.apply_standards(carts, chosen.std_members, group_std), gone))
